@@ -37,7 +37,7 @@ STATES = len(ALPHABET) + 1
 #: Documents whose strings train the models: a fixed bound on labelled rows.
 TRAIN_DOCUMENTS = 4000
 #: A string is a secret if the ratio exceeds both, in nats: in all and for each bigram.
-MIN_RATIO, MIN_RATIO_EACH = 12.0, 0.5
+MIN_RATIO, MIN_RATIO_EACH = 15.0, 1.0
 
 _INDEX = np.full(128, STATES - 1, np.int64)
 _INDEX[[ord(c) for c in ALPHABET]] = np.arange(len(ALPHABET))
@@ -74,7 +74,8 @@ def labelled(text: str) -> tuple[list[str], list[str]]:
     rand = [text[s:e] for s, kind, e in spans if kind]
     rand += [m[2] for m in ASSIGN.finditer(text) if len(m[2]) >= 12]
     plain = [m[0] for m in IDENTIFIER.finditer(text) if not marks[m.start() : m.end()].any()]
-    return rand, plain
+    joined = [a.lower() + b.capitalize() for a, b in zip(plain, plain[1:])]  # the way identifiers are written in programs
+    return rand, plain + joined
 
 
 def generated(n: int = 1500, seed: int = 7) -> list[str]:
