@@ -74,7 +74,7 @@ def labelled(text: str) -> tuple[list[str], list[str]]:
     rand = [text[s:e] for s, kind, e in spans if kind]
     rand += [m[2] for m in ASSIGN.finditer(text) if len(m[2]) >= 12]
     plain = [m[0] for m in IDENTIFIER.finditer(text) if not marks[m.start() : m.end()].any()]
-    joined = [a.lower() + b.capitalize() for a, b in zip(plain, plain[1:])]  # the way identifiers are written in programs
+    joined = [x for a, b in zip(plain, plain[1:]) for x in (a.lower() + b.capitalize(), f"{a}-{b}".upper())]  # the way identifiers are written in programs
     return rand, plain + joined
 
 
