@@ -6,10 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parchmint.llm import bpe, licenses, secrets
+from parchmint.llm import bpe, flac, langid, licenses, secrets, token_counts
 from parchmint.session import table
 
 
+def op1_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flac.features(flac.store(table(spark, sf_dir, "documents")))
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.digest(table(spark, sf_dir, "documents"))
+
+
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.digest(table(spark, sf_dir, "documents"))
 
@@ -18,11 +26,15 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(table(spark, sf_dir, "documents"))
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count(table(spark, sf_dir, "documents"))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"))
 
 
-_ALL = (op4_license_scan, op8_secret_scan, op10_byte_bpe)
+_ALL = (op1_flac_media, op3_language_id, op4_license_scan, op8_secret_scan, op9_token_counts, op10_byte_bpe)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
