@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parchmint.llm import bpe, flac, langid, licenses, secrets, token_counts
+from parchmint.llm import bpe, flac, langid, licenses, mixing, oracles, secrets, token_counts
 from parchmint.session import table
 
 
@@ -22,6 +22,10 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.digest(table(spark, sf_dir, "documents"))
 
 
+def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.digest(table(spark, sf_dir, "documents"))
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(table(spark, sf_dir, "documents"))
 
@@ -34,7 +38,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"))
 
 
-_ALL = (op1_flac_media, op3_language_id, op4_license_scan, op8_secret_scan, op9_token_counts, op10_byte_bpe)
+_ALL = (op1_flac_media, op3_language_id, op4_license_scan, op7_mix_sources, op8_secret_scan, op9_token_counts, op10_byte_bpe)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -42,4 +46,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracles.SQL
