@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from parchmint.llm import quality
+
 _MIX = r"""
 with d as (
   select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size,
@@ -40,4 +42,55 @@ select doc_id, size, source_size, target,
 from m
 """
 
-SQL: dict[str, str] = {"op7_mix_sources": _MIX}
+
+
+def _quality() -> str:
+    """The quality rules; bins and thresholds come from the operator."""
+    bins = quality.BINS
+    words = ", ".join(f"'{w}'" for w in bins)
+    langs = ", ".join(f"'{x}'" for x in quality.COMMON)
+    return rf"""
+with d as (select row_number() over () as rid, doc_id, lang, coalesce(text, '') as t from documents),
+a as (
+  select rid, doc_id, lang, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') as w,
+    list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as lines,
+    regexp_extract_all(lower(t), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') as lw,
+    length(t) as n, length(regexp_replace(t, '[^\x20\x09-\x0D]+', '', 'g')) as blank,
+    length(regexp_replace(t, '[^A-Z]+', '', 'g')) as upper_, length(regexp_replace(t, '[\x09-\x0D\x20A-Za-z0-9\x{{80}}-\x{{10FFFF}}]+', '', 'g')) as other,
+    length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) as n_symbols from d),
+tri as (select rid, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] as g from (select rid, w, unnest(range(1, len(w) - 1)) as i from a where len(w) >= 3)),
+twice as (select rid, i from (select rid, i, count(*) over (partition by rid, g) as n from tri) where n > 1),
+rep as (select rid, count(distinct j) as n from (select rid, unnest([i, i + 1, i + 2]) as j from twice) group by rid),
+f as (
+  select a.rid, doc_id, lang, len(w)::bigint as n_words, (a.n - blank)::bigint as word_chars, n_symbols::bigint as n_symbols,
+    (len(lines) - len(list_distinct(lines)))::bigint as n_dup_lines, coalesce(rep.n, 0)::bigint as n_repeat_words,
+    a.n - blank - upper_ - other as c0, upper_ as c1, blank as c2, other as c3, lw
+  from a left join rep using (rid)),
+b as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from f),
+bin as (
+  select rid, lang, base_failed, 0 as kind, unnest([0, 1, 2, 3]) as bin, unnest([c0, c1, c2, c3]) as n from b
+  union all
+  select rid, any_value(lang), any_value(base_failed), 1, word, count(*) from (
+    select rid, lang, base_failed, unnest([coalesce(list_position([{words}], x), 0) for x in lw]) as word from b) group by rid, word),
+ref as (select lang, kind, bin, sum(n) as n from bin where not base_failed and lang in ({langs}) group by all),
+q as (select lang, kind, bin, n / sum(n) over (partition by lang, kind) as q from ref),
+size_ as (select rid, kind, sum(n) as total from bin group by all),
+pairs as (
+  select s.rid, q.lang, q.kind, q.q, coalesce(bin.n, 0) / s.total as p, s.total
+  from size_ s join q on s.kind = q.kind left join bin on bin.rid = s.rid and bin.kind = s.kind and bin.bin = q.bin where s.total > 0
+  union all
+  select bin.rid, l.lang, bin.kind, 0, bin.n / s.total, s.total
+  from bin join size_ s using (rid, kind) join (select distinct lang, kind from q) l on l.kind = bin.kind
+  where bin.n > 0 and not exists (select 1 from q where q.lang = l.lang and q.kind = bin.kind and q.bin = bin.bin)),
+js as (
+  select rid, lang, kind, any_value(total) as total, sqrt(greatest(sum(
+    case when p > 0 then p * ln(p / ((p + q) / 2)) else 0 end + case when q > 0 then q * ln(q / ((p + q) / 2)) else 0 end) / 2 / ln(2.0), 0)) as far
+  from pairs group by rid, lang, kind),
+bad as (
+  select distinct rid from (select rid, kind, any_value(total) as total, min(far) as far from js group by rid, kind)
+  where kind = 0 and total >= {quality.MIN_CHARS} and far > {quality.MAX_CLASS} or kind = 1 and total >= {quality.MIN_LETTER_WORDS} and far > {quality.MAX_WORDS})
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and rid not in (select rid from bad) as kept from b
+"""
+
+
+SQL: dict[str, str] = {"op2_quality_rules": _quality(), "op7_mix_sources": _MIX}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parchmint.llm import bpe, flac, langid, licenses, mixing, oracles, secrets, token_counts
+from parchmint.llm import bpe, flac, langid, licenses, mixing, oracles, quality, secrets, token_counts
 from parchmint.session import table
 
 
@@ -14,6 +14,10 @@ def op1_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flac.features(flac.store(table(spark, sf_dir, "documents")))
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judged(table(spark, sf_dir, "documents"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.digest(table(spark, sf_dir, "documents"))
 
@@ -38,7 +42,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"))
 
 
-_ALL = (op1_flac_media, op3_language_id, op4_license_scan, op7_mix_sources, op8_secret_scan, op9_token_counts, op10_byte_bpe)
+_ALL = (op1_flac_media, op2_quality_rules, op3_language_id, op4_license_scan, op7_mix_sources, op8_secret_scan, op9_token_counts, op10_byte_bpe)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
