@@ -54,7 +54,7 @@ with d as (select row_number() over () as rid, doc_id, lang, coalesce(text, '')
 a as (
   select rid, doc_id, lang, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') as w,
     list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as lines,
-    regexp_extract_all(lower(t), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') as lw,
+    regexp_extract_all(lower(t), '[^\x00-\x60\x7B-\x7F]+') as lw,
     length(t) as n, length(regexp_replace(t, '[^\x20\x09-\x0D]+', '', 'g')) as blank,
     length(regexp_replace(t, '[^A-Z]+', '', 'g')) as upper_, length(regexp_replace(t, '[\x09-\x0D\x20A-Za-z0-9\x{{80}}-\x{{10FFFF}}]+', '', 'g')) as other,
     length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) as n_symbols from d),

@@ -30,8 +30,8 @@ BINS = sorted({w for words in COMMON.values() for w in words.split()})
 #: Largest distances (base 2), and lengths below which a histogram isn't judged.
 MAX_CLASS, MAX_WORDS, MIN_CHARS, MIN_LETTER_WORDS = 0.11, 0.32, 200, 40
 SYMBOLS = r"[^#*$%&|<>]+"
-#: All but upper-case letters; all but ASCII that is no letter, digit or white space; runs of letters.
-NOT_UPPER, NOT_OTHER, LETTERS = r"[^A-Z]+", r"[\x09-\x0D\x20-\x20A-Za-z0-9\x{80}-\x{10FFFF}]+", r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+#: All but upper-case letters; all but ASCII that is no letter, digit or white space; runs of letters in lower case.
+NOT_UPPER, NOT_OTHER, LETTERS = r"[^A-Z]+", r"[\x09-\x0D\x20-\x20A-Za-z0-9\x{80}-\x{10FFFF}]+", r"[^\x00-\x60\x7B-\x7F]+"
 FACTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -62,9 +62,9 @@ def features(docs: DataFrame, carry: bool = False) -> DataFrame:
         "doc_id", "lang", *more, F.length("t").alias("n"), left(WORD).alias("blank"), left(NOT_UPPER).alias("upper"), left(NOT_OTHER).alias("other"), left(SYMBOLS).alias("n_symbols"),
         F.regexp_extract_all("t", F.lit(WORD), F.lit(0)).alias("w"),
         F.filter(F.split("t", "\n"), lambda x: x.rlike(WORD)).alias("lines"),
-        F.filter(F.regexp_extract_all(F.lower("t"), F.lit(LETTERS), F.lit(0)), lambda x: x.isin(BINS)).alias("c"),
-        F.regexp_count("t", F.lit(LETTERS)).alias("letter_words"),
+        F.regexp_extract_all(F.lower("t"), F.lit(LETTERS), F.lit(0)).alias("lw"),
     )
+    rows = rows.withColumn("c", F.filter("lw", lambda x: x.isin(BINS)))
     rows = rows.withColumn("tri", F.when(F.size("w") >= 3, F.transform(F.sequence(F.lit(0), F.size("w") - 3), lambda i: F.concat_ws(" ", F.get("w", i), F.get("w", i + 1), F.get("w", i + 2)))).otherwise(F.array().cast("array<string>")))
     rows = rows.select(
         "doc_id", "lang", *more,
@@ -74,7 +74,7 @@ def features(docs: DataFrame, carry: bool = False) -> DataFrame:
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         repeated(F.col("tri")).cast("long").alias("n_repeat_words"),
         F.array(F.col("n") - F.col("blank") - F.col("upper") - F.col("other"), F.col("upper"), F.col("blank"), F.col("other")).cast("array<long>").alias("classes"),
-        F.array(*(F.size("c") - F.size(F.array_remove("c", w)) for w in BINS), F.col("letter_words") - F.size("c")).alias("words"),
+        F.array(*(F.size("c") - F.size(F.array_remove("c", w)) for w in BINS), F.size("lw") - F.size("c")).alias("words"),
     )
     return rows.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
 
