@@ -27,6 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -61,9 +62,10 @@ class _Words(dict):
 _WORDS = _Words()
 
 
-def shingles(text: str | None) -> np.ndarray:
+def shingles(text: str | bytes | None) -> np.ndarray:
     """Sorted distinct 64-bit hashes of a text's shingles."""
-    words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
+    data = text if isinstance(text, bytes) else (text or "").encode("utf-8", "surrogatepass")
+    words = data.translate(_LOWER).split()
     if len(words) < SHINGLE:
         return np.array([xxhash.xxh3_64_intdigest(b" ".join(words), seed=len(words))] if words else [], np.uint64)
     h = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
@@ -78,8 +80,11 @@ def shingles(text: str | None) -> np.ndarray:
     return np.unique(out)
 
 
-def prefix(tokens: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The indexed shingles of a set, rare ones and frequent ones: the upper halves of its first hashes in the global order."""
+def prefix(tokens: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """The indexed shingles of a set, rare and frequent ones: the upper halves of its first hashes in the global order.
+
+    The third value tells where in the order they end.
+    """
     n = len(tokens)
     last = np.zeros(n, bool)
     if len(frequent) and n:
@@ -87,7 +92,9 @@ def prefix(tokens: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.nda
         last = frequent[at] == tokens
     half = (tokens >> np.uint64(32)).astype(np.uint32).view(np.int32)
     rare, often, size = half[~last], half[last], n - (-(-n * NUM // DEN)) + 1 if n else 0
-    return rare[:size], often[: max(0, size - len(rare))]
+    rare, often = rare[:size], often[: max(0, size - len(rare))]
+    end = (1 << 32) + int(often[-1:].view(np.uint32)[0]) if len(often) else int(rare[-1:].view(np.uint32)[0]) if len(rare) else 0
+    return rare, often, end
 
 
 def required(x: int, y: int) -> int:
@@ -148,7 +155,7 @@ def frequent_shingles(docs: DataFrame) -> np.ndarray:
     schema = pa.schema([("token", pa.int64()), ("n", pa.int64())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in chunks(batches, limit=16 << 20):
+        for b in chunks(batches, limit=4 << 20):
             sets = [shingles(t) for t in column(b, "text")]
             tokens, n = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int64)), pa.array(n.astype(np.int64))], schema=schema)
@@ -159,8 +166,8 @@ def frequent_shingles(docs: DataFrame) -> np.ndarray:
 
 
 def indexed(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """doc_id, n_shingles, key (hash of the whole set; null if empty), rare and often array<int> (the prefix)."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("key", pa.binary()), ("rare", pa.list_(pa.int32())), ("often", pa.list_(pa.int32()))])
+    """doc_id, n_shingles, key (hash of the whole set; null if empty), rare and often array<int> (the prefix), end."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("key", pa.binary()), ("rare", pa.list_(pa.int32())), ("often", pa.list_(pa.int32())), ("end", pa.int64())])
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,18 +176,18 @@ def indexed(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
             rows = [(i, len(s), xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None, *prefix(s, shared.value)) for i, s in zip(column(b, "doc_id"), sets)]
             yield batch_of(schema, rows)
 
-    return texts(docs).mapInArrow(run, "doc_id long, n_shingles long, key binary, rare array<int>, often array<int>")
+    return texts(docs).mapInArrow(run, "doc_id long, n_shingles long, key binary, rare array<int>, often array<int>, end long")
 
 
 def _searched(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """a, b of the pairs that link: each ``a`` is searched in the inverted lists of its ``b``.
 
-    ``sets`` has node, text. A query with many candidates is dealt to several index blocks.
+    ``sets`` has node, data. A query with many candidates is dealt to several index blocks.
     """
     block = F.pmod(F.xxhash64("b"), F.greatest(F.ceil(F.col("n") / 256), F.lit(1))).cast("int")
     dealt = pairs.join(pairs.groupBy("a").agg(F.count("*").alias("n")), "a").select("a", "b", block.alias("block"))
-    queries = dealt.select("a", "block").distinct().join(sets, F.col("a") == F.col("node")).select("a", "block", F.lit(None).cast("long").alias("b"), "text")
-    others = dealt.join(sets, F.col("b") == F.col("node")).select("a", "block", "b", "text")
+    queries = dealt.select("a", "block").distinct().join(sets, F.col("a") == F.col("node")).select("a", "block", F.lit(None).cast("long").alias("b"), "data")
+    others = dealt.join(sets, F.col("b") == F.col("node")).select("a", "block", "b", "data")
     rows = queries.unionByName(others)
     rows = rows.repartition("a", "block").sortWithinPartitions("a", "block", F.col("b").asc_nulls_first())
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -194,18 +201,19 @@ def _searched(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             ids, held, size = [], [], 0
             return found
 
-        for batch in chunks(batches):
+        unpack = zstandard.ZstdDecompressor()
+        for batch in chunks(batches, "data"):
             out = []
-            for a, block, b, text in zip(*(column(batch, c) for c in ("a", "block", "b", "text"))):
+            for a, block, b, data in zip(*(column(batch, c) for c in ("a", "block", "b", "data"))):
                 if (a, block) != group or size > INDEX_SHINGLES:
                     out += flush()
                 if b is None:
-                    group, query = (a, block), shingles(text)
+                    group, query = (a, block), shingles(unpack.decompress(data))
                     continue
                 if ids and ids[-1] == b:  # a repeated row
                     continue
                 ids.append(b)
-                held.append(shingles(text))
+                held.append(shingles(unpack.decompress(data)))
                 size += len(held[-1])
             yield batch_of(schema, out)
         yield batch_of(schema, flush())
@@ -216,30 +224,28 @@ def _searched(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
     made = materialize(indexed(docs, frequent_shingles(docs)), "prefixes")
-    nodes = made.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"))
+    nodes = made.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("end").alias("end"))
     nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     # One row's prefix stands for its node. Rows that repeat an id with the same set are equal.
-    first = made.filter("key is not null").join(nodes.select(F.col("key").alias("k"), F.col("doc_id").alias("d"), "node", "n"), F.col("key").eqNullSafe(F.col("k")) & F.col("doc_id").eqNullSafe(F.col("d")))
+    first = made.filter("key is not null").join(nodes.select(F.col("key").alias("k"), F.col("doc_id").alias("d"), "node", "n", F.col("end").alias("e")), F.col("key").eqNullSafe(F.col("k")) & F.col("doc_id").eqNullSafe(F.col("d")))
     # Lists of rare shingles are short. Those of frequent ones may hold any share of all nodes, and are
     # therefore never gathered: they stay rows that share an id.
-    rare = first.select(F.explode("rare").alias("token"), "node", "n").groupBy("token").agg(F.collect_set(F.struct("n", "node")).alias("list")).filter(F.size("list") > 1)
-    often = first.select(F.explode(F.transform("often", lambda t: t.cast("long") * 2 + 1)).alias("id"), "n", "node").distinct()
+    rare = first.select(F.explode("rare").alias("token"), "node", "n", "e").groupBy("token").agg(F.collect_set(F.struct("n", "node", "e")).alias("list")).filter(F.size("list") > 1)
+    often = first.select(F.explode(F.transform("often", lambda t: t.cast("long") * 2 + 1)).alias("id"), "n", "node", "e").distinct()
     shared = often.groupBy("id").agg(F.count("*").alias("size")).filter("size > 1").select("id")
     lists = rare.select((F.col("token").cast("long") * 2).alias("id"), F.inline("list")).unionByName(often.join(shared, "id"))
-    lists = materialize(lists, "lists")  # id, n, node
-    near = lambda x, y: (NUM * F.greatest(x, y) <= DEN * F.least(x, y))  # noqa: E731  sizes at which sets can link
+    lists = materialize(lists, "lists")  # id, n, node, e
 
-    # Round 1: the first node of each list against the others.
-    heads = lists.groupBy("id").agg(F.min(F.struct("n", "node")).alias("h"))
-    stars = lists.join(heads, "id").filter((F.col("h.node") != F.col("node")) & near(F.col("h.n"), F.col("n")))
-    stars = materialize(stars.select(F.least("h.node", "node").alias("a"), F.greatest("h.node", "node").alias("b")).distinct(), "stars1")
+    # Round 1: the first node of each list against those that share most of their lists with it.
+    heads = lists.groupBy("id").agg(F.min(F.struct("node", "n", "e")).alias("h")).select("id", F.col("h.n").alias("n"), F.col("h.node").alias("node"), F.col("h.e").alias("e"))
+    stars = materialize(_likely(heads.alias("x").join(lists.alias("y"), (F.col("x.id") == F.col("y.id")) & (F.col("x.node") != F.col("y.node"))), 2), "stars1")
     wanted = lists.select("node").distinct().join(nodes.select("node", F.col("doc_id").alias("d"), "key"), "node")
     sets = materialize(_texts_of(docs, wanted), "sets")
     links = materialize(_searched(stars, sets), "links1")
 
     # Round 2: nodes of one list that are not connected yet.
     known = connected_components(links)
-    labelled = lists.join(known, "node", "left").select("id", "n", "node", F.coalesce("component", "node").alias("c"))
+    labelled = lists.join(known, "node", "left").select("id", "n", "node", "e", F.coalesce("component", "node").alias("c"))
     rest = materialize(_crossing(labelled).join(stars, ["a", "b"], "left_anti"), "pairs2")
     more = materialize(_searched(rest, sets), "links2")
     whole = connected_components(links.unionByName(more))
@@ -254,32 +260,46 @@ def _crossing(labelled: DataFrame) -> DataFrame:
     """a, b: nodes of one list that are in different classes c and that could link.
 
     Each list's largest class is only met by the nodes of its other classes. A pair is found in
-    every list that holds both of its nodes, so their number bounds the overlap: beyond the shorter
-    prefix at most the rest of a set is shared. Two shingles of one prefix may share their upper
-    half; SLACK stands for more such clashes than texts have.
+    every list that holds both of its nodes.
     """
     sizes = labelled.groupBy("id", "c").agg(F.count("*").alias("size"))
     main = sizes.groupBy("id").agg(F.max(F.struct("size", "c")).alias("m"), F.count("*").alias("kinds")).filter("kinds > 1").select("id", F.col("m.c").alias("main"))
     open_ = labelled.join(main, "id")
     x, y = open_.filter("c != main").alias("x"), open_.alias("y")
     once = (F.col("y.c") == F.col("y.main")) | (F.col("x.node") < F.col("y.node"))
-    size = NUM * F.greatest("x.n", "y.n") <= DEN * F.least("x.n", "y.n")
-    pairs = x.join(y, (F.col("x.id") == F.col("y.id")) & (F.col("x.c") != F.col("y.c")) & once & size)
-    low = F.col("x.node") < F.col("y.node")
-    pairs = pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"), F.when(low, F.col("x.n")).otherwise(F.col("y.n")).alias("na"), F.when(low, F.col("y.n")).otherwise(F.col("x.n")).alias("nb"))
-    counted = pairs.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("lists"))
-    need = F.ceil((F.col("na") + F.col("nb")) * NUM / (NUM + DEN) - 1e-9)
-    beyond = F.ceil(F.greatest("na", "nb") * NUM / DEN - 1e-9) - 1
-    return counted.filter(F.col("lists") + SLACK + beyond >= need).select("a", "b")
+    return _likely(x.join(y, (F.col("x.id") == F.col("y.id")) & (F.col("x.c") != F.col("y.c")) & once))
+
+
+def _likely(pairs: DataFrame, times: int = 1) -> DataFrame:
+    """a, b of the pairs x, y (one row for each shared list) whose sizes and numbers of lists let them link.
+
+    Shingles up to the end of the prefix that ends first are shared in both prefixes, and so in
+    lists; beyond it that set has only so many left. Two shingles of one prefix may share their
+    upper half; SLACK stands for more such clashes than texts have.
+    """
+    pairs = pairs.filter(NUM * F.greatest("x.n", "y.n") <= DEN * F.least("x.n", "y.n"))
+    first = F.col("x.node") < F.col("y.node")
+    side = lambda c, one: F.when(first == one, F.col(f"x.{c}")).otherwise(F.col(f"y.{c}"))
+    counted = pairs.select(*(side(c, one).alias(f"{c}{int(one)}") for c in ("node", "n", "e") for one in (True, False)))
+    counted = counted.groupBy(*counted.columns).agg(F.count("*").alias("lists"))
+    up = lambda x, num, den: F.ceil(x * num / den - 1e-9)  # noqa: E731  exact for whole numbers
+    need = up(F.col("n1") + F.col("n0"), NUM, NUM + DEN)
+    left = F.when(F.col("e1") < F.col("e0"), F.col("n1")).when(F.col("e1") > F.col("e0"), F.col("n0")).otherwise(F.greatest("n1", "n0"))
+    return counted.filter(times * F.col("lists") + SLACK + up(left, NUM, DEN) - 1 >= need).select(F.col("node1").alias("a"), F.col("node0").alias("b"))
 
 
 def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """node, text of the wanted nodes (node, d, key); ids may repeat with other texts, which are left out."""
-    schema = pa.schema([("node", pa.int64()), ("text", pa.string())])
+    """node, data (compressed text) of the wanted nodes (node, d, key).
+
+    Ids may repeat with other texts, which are left out.
+    """
+    packed_schema = pa.schema([("doc_id", pa.int64()), ("key", pa.binary()), ("data", pa.binary())])
 
-    def matching(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=3)
         for b in chunks(batches):
-            yield batch_of(schema, [(n, t) for n, t, k in zip(column(b, "node"), column(b, "text"), column(b, "key")) if xxhash.xxh3_128_digest(shingles(t).tobytes()) == k])
+            rows = ((i, shingles(t), t) for i, t in zip(column(b, "doc_id"), column(b, "text")))
+            yield batch_of(packed_schema, [(i, xxhash.xxh3_128_digest(s.tobytes()), pack.compress(t.encode("utf-8", "surrogatepass"))) for i, s, t in rows if len(s)])
 
-    rows = texts(docs).join(wanted, F.col("doc_id").eqNullSafe(F.col("d"))).select("text", "node", "key")
-    return rows.mapInArrow(matching, "node long, text string")
+    rows = texts(docs).mapInArrow(packed, "doc_id long, key binary, data binary")
+    return rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("d")) & (rows["key"] == wanted["key"])).select("node", "data")
