@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -49,3 +50,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's tables, by Spark's own reader only."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Give executors this package, once a Spark context: Python workers need not have it installed."""
+    context = spark.sparkContext
+    if not getattr(context, "_parchmint_shipped", False):
+        home = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+        folder = tempfile.mkdtemp(prefix="parchmint-code-")
+        context.addPyFile(shutil.make_archive(os.path.join(folder, "parchmint"), "zip", home, "parchmint"))
+        context._parchmint_shipped = True
+    return spark
