@@ -163,3 +163,17 @@ def round_trip(docs: DataFrame, path: str | None = None, pattern: str | None = N
             yield batch_of(schema, [(i, len(x), hashlib.sha256(np.array(x, "<u4").tobytes()).hexdigest(), hashlib.sha256(coder.decode(x)).hexdigest()) for i, x in zip(column(b, "doc_id"), ids)])
 
     return texts(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+
+def tokenized(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
+    """doc_id, n_tokens, ids array<int>, decoded_sha256: encoded rows for training, with the digest of what decodes from them."""
+    path, pattern = path or default_ranks(), pattern or default_pattern()
+    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded_sha256", pa.string())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = encoder(path, pattern)
+        for b in chunks(batches):
+            ids = coder.encode([t or "" for t in column(b, "text")])
+            yield batch_of(schema, [(i, len(x), x, hashlib.sha256(coder.decode(x)).hexdigest()) for i, x in zip(column(b, "doc_id"), ids)])
+
+    return texts(docs).mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, decoded_sha256 string")

@@ -10,6 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from parchmint.session import ship
+
 #: Rows of an Arrow batch; long texts are cut further by ``chunks``.
 BATCH_ROWS = 512
 #: Text bytes that an operator holds at once inside a task (one longer text is a chunk of its own).
@@ -21,7 +23,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 def prepare(spark: SparkSession) -> SparkSession:
     """Small Arrow batches, so that a batch of long texts still fits a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    return spark
+    return ship(spark)
 
 
 def texts(docs: DataFrame, *more: str) -> DataFrame:

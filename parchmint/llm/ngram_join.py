@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from parchmint.llm.common import batch_of, chunks, column, texts
@@ -221,8 +221,8 @@ def _searched(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long")
 
 
-def classes(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row."""
+def solved(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(``indexed`` rows, nodes with key, doc_id and c: a node of their class that all of it shares)."""
     made = materialize(indexed(docs, frequent_shingles(docs)), "prefixes")
     nodes = made.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("end").alias("end"))
     nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
@@ -250,12 +250,36 @@ def classes(docs: DataFrame) -> DataFrame:
     more = materialize(_searched(rest, sets), "links2")
     whole = connected_components(links.unionByName(more))
 
-    least = nodes.join(whole, "node", "left").select("key", "doc_id", F.coalesce("component", "node").alias("c"))
-    roots = least.groupBy("c").agg(F.min("doc_id").alias("component_id"))
-    label = least.join(roots, "c").select("key", "component_id")
+    return made, nodes.join(whole, "node", "left").select("key", "doc_id", F.coalesce("component", "node").alias("c"))
+
+
+def classes(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row."""
+    made, nodes = solved(docs)
+    roots = nodes.groupBy("c").agg(F.min("doc_id").alias("component_id"))
+    label = nodes.join(roots, "c").select("key", "component_id")
     return made.select("doc_id", "n_shingles", "key").join(label, "key", "left").select("doc_id", "n_shingles", F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` without near-duplicates: of each class the one with the smallest id stays.
+
+    Of rows that repeat it one stays. Rows without shingles are classes of their own and all stay.
+    """
+    _, nodes = solved(docs)
+    kept = nodes.groupBy("c").agg(F.min(F.struct("doc_id", "key")).alias("k")).select(F.col("k.doc_id").alias("__d"), F.col("k.key").alias("__k"))
+
+    @F.pandas_udf("binary")
+    def key(col):
+        return col.map(lambda t: xxhash.xxh3_128_digest(s.tobytes()) if len(s := shingles(t)) else None, na_action=None)
+
+    rows = docs.withColumn("__key", key(F.col("text").cast("string")))
+    rows = rows.withColumn("__id", F.col("doc_id").cast("long"))
+    same = rows.filter("__key is not null").join(kept, F.col("__id").eqNullSafe(F.col("__d")) & (F.col("__key") == F.col("__k")))
+    one = same.withColumn("__n", F.row_number().over(Window.partitionBy("__id", "__key").orderBy(F.lit(1)))).filter("__n = 1")
+    return one.select(*docs.columns).unionByName(rows.filter("__key is null").select(*docs.columns))
+
+
 def _crossing(labelled: DataFrame) -> DataFrame:
     """a, b: nodes of one list that are in different classes c and that could link.
 

@@ -121,6 +121,10 @@ def judged(docs: DataFrame) -> DataFrame:
 
 
 def keep(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are kept, with all their columns."""
+    """The rows of ``docs`` that are kept, with all their columns.
+
+    inline() of one row or none filters after the features are made; a filter's condition would be
+    moved below them and make them over and over.
+    """
     known = references(materialize(features(docs).select("lang", "base_failed", "classes", "words"), "references"))
-    return features(docs, carry=True).filter(verdict(known)).select("row.*")
+    return features(docs, carry=True).select(F.inline(F.when(verdict(known), F.array("row"))))

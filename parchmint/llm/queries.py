@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parchmint.llm import bpe, flac, langid, licenses, mixing, ngram_join, oracles, quality, secrets, token_counts
+from parchmint.llm import bpe, flac, langid, licenses, mixing, ngram_join, oracles, quality, secrets, suffix_dedup, token_counts
 from parchmint.session import table
 
 
@@ -26,6 +26,10 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.digest(table(spark, sf_dir, "documents"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.removed(table(spark, sf_dir, "documents"))
+
+
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.classes(table(spark, sf_dir, "documents"))
 
@@ -47,7 +51,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _ALL = (
-    op1_flac_media, op2_quality_rules, op3_language_id, op4_license_scan, op6_ngram_join, op7_mix_sources, op8_secret_scan, op9_token_counts, op10_byte_bpe)
+    op1_flac_media, op2_quality_rules, op3_language_id, op4_license_scan, op5_suffix_dedup, op6_ngram_join, op7_mix_sources, op8_secret_scan, op9_token_counts, op10_byte_bpe)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -33,7 +33,7 @@ from parchmint.session import materialize
 #: Bytes of a repeated string (by contract), bytes of an anchor.
 SPAN, KGRAM = 200, 32
 #: Bytes that are hashed at once, context bytes that are sorted at once.
-PIECE, BLOCK_BYTES = 4 << 20, 3 << 20
+PIECE, BLOCK_BYTES = 1 << 17, 3 << 20
 #: Digests of sent contexts that a task remembers.
 REMEMBERED = 400_000
 
@@ -51,10 +51,11 @@ def _hashes(data: np.ndarray) -> np.ndarray:
     """64-bit hash of the KGRAM bytes from each position on."""
     h, width = data.astype(np.uint64) + np.uint64(1), 1
     for m in _MIX:
-        h = h[:-width] * m + h[width:]
-        h ^= h >> np.uint64(29)
-        width *= 2
+        left = h[:-width] * m
+        left += h[width:]
+        h, width = left, width * 2
     assert width == KGRAM
+    h ^= h >> np.uint64(29)
     h *= _MIX[1]
     h ^= h >> np.uint64(32)
     return h
@@ -68,13 +69,17 @@ def runs(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     first, count, anchor = [], [], []
     lengths = np.diff(np.concatenate([[0], ends]))
     w = SPAN - KGRAM + 1
+    room = np.ones(len(data), bool)  # whether SPAN bytes of the text follow
+    for end, length in zip(ends.tolist(), lengths.tolist()):
+        room[max(end - SPAN + 1, end - length) : end] = False
     for lo in range(0, len(data), PIECE):
         part = data[lo : lo + PIECE + SPAN - 1]
         n = len(part) - SPAN + 1
         if n <= 0:
             break
         h = _hashes(part)
-        packed = h & ~np.uint64((1 << 28) - 1) | np.arange(len(h), dtype=np.uint64)
+        packed = h & ~np.uint64((1 << 28) - 1)
+        packed |= np.arange(len(h), dtype=np.uint64)
         rows = -(-len(packed) // w)
         grid = np.full(rows * w, np.iinfo(np.uint64).max, np.uint64)
         grid[: len(packed)] = packed
@@ -82,8 +87,7 @@ def runs(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
         before = np.minimum.accumulate(grid, axis=1).ravel()
         after = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()
         place = (np.minimum(after[:n], before[w - 1 : w - 1 + n]) & np.uint64((1 << 28) - 1)).astype(np.int64)
-        valid = np.repeat(ends, lengths)[lo : lo + n] - np.arange(lo, lo + n) >= SPAN
-        v = np.flatnonzero(valid)
+        v = np.flatnonzero(room[lo : lo + n])
         if not len(v):
             continue
         p = place[v]
