@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -222,8 +223,12 @@ def _searched(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def solved(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(``indexed`` rows, nodes with key, doc_id and c: a node of their class that all of it shares)."""
-    made = materialize(indexed(docs, frequent_shingles(docs)), "prefixes")
+    """(``indexed`` rows, nodes with key, doc_id and c: a node of their class that all of it shares).
+
+    The three large tables are kept on the executors' disks and made again where one is lost; ids
+    of nodes and all links are written to the shared folder.
+    """
+    made = indexed(docs, frequent_shingles(docs)).persist(StorageLevel.DISK_ONLY)
     nodes = made.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("end").alias("end"))
     nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     # One row's prefix stands for its node. Rows that repeat an id with the same set are equal.
@@ -234,23 +239,24 @@ def solved(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     often = first.select(F.explode(F.transform("often", lambda t: t.cast("long") * 2 + 1)).alias("id"), "n", "node", "e").distinct()
     shared = often.groupBy("id").agg(F.count("*").alias("size")).filter("size > 1").select("id")
     lists = rare.select((F.col("token").cast("long") * 2).alias("id"), F.inline("list")).unionByName(often.join(shared, "id"))
-    lists = materialize(lists, "lists")  # id, n, node, e
+    lists = lists.persist(StorageLevel.DISK_ONLY)  # id, n, node, e
 
     # Round 1: the first node of each list against those that share most of their lists with it.
     heads = lists.groupBy("id").agg(F.min(F.struct("node", "n", "e")).alias("h")).select("id", F.col("h.n").alias("n"), F.col("h.node").alias("node"), F.col("h.e").alias("e"))
     stars = materialize(_likely(heads.alias("x").join(lists.alias("y"), (F.col("x.id") == F.col("y.id")) & (F.col("x.node") != F.col("y.node"))), 2), "stars1")
     wanted = lists.select("node").distinct().join(nodes.select("node", F.col("doc_id").alias("d"), "key"), "node")
-    sets = materialize(_texts_of(docs, wanted), "sets")
+    sets = _texts_of(docs, wanted).persist(StorageLevel.DISK_ONLY)
     links = materialize(_searched(stars, sets), "links1")
 
     # Round 2: nodes of one list that are not connected yet.
     known = connected_components(links)
     labelled = lists.join(known, "node", "left").select("id", "n", "node", "e", F.coalesce("component", "node").alias("c"))
     rest = materialize(_crossing(labelled).join(stars, ["a", "b"], "left_anti"), "pairs2")
+    lists.unpersist()
     more = materialize(_searched(rest, sets), "links2")
+    sets.unpersist()
     whole = connected_components(links.unionByName(more))
-
-    return made, nodes.join(whole, "node", "left").select("key", "doc_id", F.coalesce("component", "node").alias("c"))
+    return made, materialize(nodes.join(whole, "node", "left").select("key", "doc_id", F.coalesce("component", "node").alias("c")), "classes")
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -258,7 +264,10 @@ def classes(docs: DataFrame) -> DataFrame:
     made, nodes = solved(docs)
     roots = nodes.groupBy("c").agg(F.min("doc_id").alias("component_id"))
     label = nodes.join(roots, "c").select("key", "component_id")
-    return made.select("doc_id", "n_shingles", "key").join(label, "key", "left").select("doc_id", "n_shingles", F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    rows = made.select("doc_id", "n_shingles", "key").join(label, "key", "left").select("doc_id", "n_shingles", F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    rows = materialize(rows, "members")
+    made.unpersist()
+    return rows
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
@@ -266,7 +275,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     Of rows that repeat it one stays. Rows without shingles are classes of their own and all stay.
     """
-    _, nodes = solved(docs)
+    made, nodes = solved(docs)
+    made.unpersist()
     kept = nodes.groupBy("c").agg(F.min(F.struct("doc_id", "key")).alias("k")).select(F.col("k.doc_id").alias("__d"), F.col("k.key").alias("__k"))
 
     @F.pandas_udf("binary")
