@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-MODULES: list = []
-FLAGSHIP = ""
+from parchmint.operators import records, retrieval, temporal
+
+MODULES: list = [retrieval, temporal, records]
+FLAGSHIP = "bm25_passage_topk"
 
 
 def queries() -> dict:
