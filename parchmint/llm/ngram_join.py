@@ -180,16 +180,16 @@ def indexed(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
     return texts(docs).mapInArrow(run, "doc_id long, n_shingles long, key binary, rare array<int>, often array<int>, end long")
 
 
-def _searched(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _searched(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """a, b of the pairs that link: each ``a`` is searched in the inverted lists of its ``b``.
 
-    ``sets`` has node, data. A query with many candidates is dealt to several index blocks.
+    A query with many candidates is dealt to several index blocks. Texts are read once.
     """
     block = F.pmod(F.xxhash64("b"), F.greatest(F.ceil(F.col("n") / 256), F.lit(1))).cast("int")
     dealt = pairs.join(pairs.groupBy("a").agg(F.count("*").alias("n")), "a").select("a", "b", block.alias("block"))
-    queries = dealt.select("a", "block").distinct().join(sets, F.col("a") == F.col("node")).select("a", "block", F.lit(None).cast("long").alias("b"), "data")
-    others = dealt.join(sets, F.col("b") == F.col("node")).select("a", "block", "b", "data")
-    rows = queries.unionByName(others)
+    roles = dealt.select(F.col("b").alias("node"), "a", "block", "b").unionByName(dealt.select(F.col("a").alias("node"), "a", "block", F.lit(None).cast("long").alias("b")).distinct())
+    wanted = roles.join(nodes.select("node", F.col("doc_id").alias("d"), "key"), "node")
+    rows = _texts_of(docs, wanted, ["a", "block", "b"])
     rows = rows.repartition("a", "block").sortWithinPartitions("a", "block", F.col("b").asc_nulls_first())
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -225,7 +225,7 @@ def _searched(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def solved(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(``indexed`` rows, nodes with key, doc_id and c: a node of their class that all of it shares).
 
-    The three large tables are kept on the executors' disks and made again where one is lost; ids
+    The two large tables are kept on the executors' disks and made again where one is lost; ids
     of nodes and all links are written to the shared folder.
     """
     made = indexed(docs, frequent_shingles(docs)).persist(StorageLevel.DISK_ONLY)
@@ -244,17 +244,14 @@ def solved(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     # Round 1: the first node of each list against those that share most of their lists with it.
     heads = lists.groupBy("id").agg(F.min(F.struct("node", "n", "e")).alias("h")).select("id", F.col("h.n").alias("n"), F.col("h.node").alias("node"), F.col("h.e").alias("e"))
     stars = materialize(_likely(heads.alias("x").join(lists.alias("y"), (F.col("x.id") == F.col("y.id")) & (F.col("x.node") != F.col("y.node"))), 2), "stars1")
-    wanted = lists.select("node").distinct().join(nodes.select("node", F.col("doc_id").alias("d"), "key"), "node")
-    sets = _texts_of(docs, wanted).persist(StorageLevel.DISK_ONLY)
-    links = materialize(_searched(stars, sets), "links1")
+    links = materialize(_searched(stars, docs, nodes), "links1")
 
     # Round 2: nodes of one list that are not connected yet.
     known = connected_components(links)
     labelled = lists.join(known, "node", "left").select("id", "n", "node", "e", F.coalesce("component", "node").alias("c"))
     rest = materialize(_crossing(labelled).join(stars, ["a", "b"], "left_anti"), "pairs2")
     lists.unpersist()
-    more = materialize(_searched(rest, sets), "links2")
-    sets.unpersist()
+    more = materialize(_searched(rest, docs, nodes), "links2")
     whole = connected_components(links.unionByName(more))
     return made, materialize(nodes.join(whole, "node", "left").select("key", "doc_id", F.coalesce("component", "node").alias("c")), "classes")
 
@@ -322,8 +319,8 @@ def _likely(pairs: DataFrame, times: int = 1) -> DataFrame:
     return counted.filter(times * F.col("lists") + SLACK + up(left, NUM, DEN) - 1 >= need).select(F.col("node1").alias("a"), F.col("node0").alias("b"))
 
 
-def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """node, data (compressed text) of the wanted nodes (node, d, key).
+def _texts_of(docs: DataFrame, wanted: DataFrame, columns: list[str]) -> DataFrame:
+    """columns of the wanted rows (d, key: a row's id and set) with data, its compressed text.
 
     Ids may repeat with other texts, which are left out.
     """
@@ -336,4 +333,4 @@ def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             yield batch_of(packed_schema, [(i, xxhash.xxh3_128_digest(s.tobytes()), pack.compress(t.encode("utf-8", "surrogatepass"))) for i, s, t in rows if len(s)])
 
     rows = texts(docs).mapInArrow(packed, "doc_id long, key binary, data binary")
-    return rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("d")) & (rows["key"] == wanted["key"])).select("node", "data")
+    return rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("d")) & (rows["key"] == wanted["key"])).select(*columns, "data")
