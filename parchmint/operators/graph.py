@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parchmint.session import materialize
+from parchmint.session import materialize, table
 
 
 def _star(edges: DataFrame, larger: bool) -> DataFrame:
@@ -42,3 +42,72 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         mark = tuple(seen)
     nodes = ends.select(F.explode(F.array("x", "y")).alias("node")).distinct()
     return nodes.join(now.select(F.col("a").alias("node"), F.col("b").alias("component")), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+
+
+def reach(edges: DataFrame, start: DataFrame, max_depth: int, src: str = "src", dst: str = "dst") -> DataFrame:
+    """node, depth: nodes within ``max_depth`` edges of the start (a column node), by frontiers."""
+    seen = frontier = start.select("node").distinct().withColumn("depth", F.lit(0))
+    steps = edges.select(F.col(src).alias("node"), F.col(dst).alias("next"))
+    for depth in range(1, max_depth + 1):
+        fresh = frontier.join(steps, "node").select(F.col("next").alias("node")).distinct().join(seen.select("node"), "node", "left_anti")
+        frontier = materialize(fresh.withColumn("depth", F.lit(depth)), "frontier")
+        if frontier.isEmpty():
+            break
+        seen = seen.unionByName(frontier)
+    return seen
+
+
+def shrink(rows: DataFrame, row_id: str, reference: str) -> DataFrame:
+    """Rows whose references lead to rows that stay; dropping repeats until no reference dangles. Null refers to nothing."""
+    now, count = rows, rows.count()
+    while True:
+        ids = now.select(F.col(row_id).alias("__id"))
+        now = materialize(now.join(ids, F.col(reference) == F.col("__id"), "left_semi").unionByName(now.filter(F.col(reference).isNull())), "kept")
+        left = now.count()
+        if left == count:
+            return now
+        count = left
+
+
+def tips(edges: DataFrame, new: str, old: str, nodes: DataFrame) -> DataFrame:
+    """node: what no edge supersedes."""
+    return nodes.select("node").join(edges.select(F.col(old).alias("node")), "node", "left_anti")
+
+
+def _supply(spark, d):
+    s = table(spark, d, "supplier")
+    return s.select(F.col("s_suppkey").alias("src"), ((F.col("s_suppkey") * 3 + 1) % 97).alias("dst"))
+
+
+_SUPPLY = "select s_suppkey as src, (s_suppkey * 3 + 1) % 97 as dst from supplier"
+
+
+def _reach(spark, d):
+    return reach(_supply(spark, d), spark.createDataFrame([(1,), (5,)], "node long"), 6).select("node", "depth")
+
+
+def _components(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", F.md5("text").alias("h"))
+    first = docs.groupBy("h").agg(F.min("doc_id").alias("first"))
+    return connected_components(docs.join(first, "h"), "doc_id", "first")
+
+
+def _shrink(spark, d):
+    rows = table(spark, d, "orders").filter("o_orderkey % 13 != 5").select("o_orderkey", F.when(F.col("o_orderkey") % 4 > 0, F.floor(F.col("o_orderkey") / 2).cast("long")).alias("parent"))
+    return shrink(rows, "o_orderkey", "parent")
+
+
+def _tips(spark, d):
+    e = _supply(spark, d).filter("src % 2 = 0")
+    return tips(e, "src", "dst", table(spark, d, "supplier").select(F.col("s_suppkey").alias("node")))
+
+
+QUERIES = {
+    "reachability": (_reach, f"with recursive e as ({_SUPPLY}), r as (select node, 0 as depth from (values (1::bigint), (5::bigint)) t(node) union select dst, depth + 1 from r join e on src = node where depth < 6) select node, min(depth) as depth from r group by node"),
+    "components_of_copies": (_components, "select doc_id as node, min(doc_id) over (partition by md5(text)) as component from documents"),
+    "referential_shrink": (_shrink, """
+with recursive o as (select o_orderkey, case when o_orderkey % 4 > 0 then o_orderkey // 2 end as parent from orders where o_orderkey % 13 != 5),
+k as (select o_orderkey, parent from o where parent is null union all select o.o_orderkey, o.parent from o join k on o.parent = k.o_orderkey) select distinct o_orderkey, parent from k
+union select o_orderkey, parent from o where parent = o_orderkey"""),
+    "supersession_tips": (_tips, f"with e as (select * from ({_SUPPLY}) where src % 2 = 0) select s_suppkey as node from supplier where s_suppkey not in (select dst from e)"),
+}

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from parchmint.operators import records, retrieval, temporal
+from parchmint.operators import graph, records, refresh, retrieval, spatial, temporal, validate
 
-MODULES: list = [retrieval, temporal, records]
+MODULES: list = [retrieval, temporal, records, refresh, validate, spatial, graph]
 FLAGSHIP = "bm25_passage_topk"
 
 
