@@ -7,6 +7,7 @@ import shutil
 import tempfile
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -61,3 +62,12 @@ def ship(spark: SparkSession) -> SparkSession:
         context.addPyFile(shutil.make_archive(os.path.join(folder, "parchmint"), "zip", home, "parchmint"))
         context._parchmint_shipped = True
     return spark
+
+
+def held(df: DataFrame) -> DataFrame:
+    """Keep what ``df`` makes on the executors' disks; parts that are lost are made again.
+
+    For tables that come straight from a scan. What must not change between runs of a task (made
+    ids) or would drag shuffles along is written by ``materialize``.
+    """
+    return df.persist(StorageLevel.DISK_ONLY)
