@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from parchmint.llm.common import WORD
-from parchmint.session import materialize
+from parchmint.session import held
 
 #: Weights by position (fixed by contract), share of all words, most repeats of a source.
 WEIGHTS, SHARE, CAP = (3, 1, 2), 1.5, 2.0
@@ -172,7 +172,9 @@ def assigned(rows: DataFrame, quotas: tuple[DataFrame, DataFrame, DataFrame]) ->
 
 def mix(docs: DataFrame, shards: int = SHARDS, seed: int = 0) -> DataFrame:
     """The mixed rows: the columns of ``docs``, a row each time it is taken, shuffled within its shard."""
-    quotas = plan(materialize(sizes(docs), "sizes"), shards, seed)
+    sized = held(sizes(docs))
+    quotas = plan(sized, shards, seed)
+    sized.unpersist()
     out = assigned(placed(docs), quotas).select(*docs.columns, F.posexplode("__shards").alias("__copy", "__shard"))
     local = F.xxhash64(F.col("doc_id"), F.col("__copy"), F.lit(seed))
     return out.repartitionById(shards, F.col("__shard")).sortWithinPartitions("__shard", local).select(*docs.columns)
@@ -180,5 +182,5 @@ def mix(docs: DataFrame, shards: int = SHARDS, seed: int = 0) -> DataFrame:
 
 def digest(docs: DataFrame) -> DataFrame:
     """The contract's columns."""
-    sized = materialize(sizes(docs), "sizes")
+    sized = held(sizes(docs))
     return assigned(sized, plan(sized)).select("doc_id", F.col("__size").alias("size"), "source_size", "target", (F.col("__draws") * F.col("__size")).cast("long").alias("taken"))

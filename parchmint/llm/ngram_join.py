@@ -28,13 +28,12 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from parchmint.llm.common import batch_of, chunks, column, texts
 from parchmint.operators.graph import connected_components
-from parchmint.session import materialize
+from parchmint.session import held, materialize
 
 SHINGLE = 5
 #: Similarity of 0.8 as a fraction, so that thresholds are exact.
@@ -42,9 +41,10 @@ NUM, DEN = 4, 5
 #: Share of texts whose shingles are counted for the order, count from which a shingle comes
 #: last, and the most shingles that do so (a broadcast of at most 8 bytes each).
 SAMPLE, OFTEN, MAX_FREQUENT = 1 / 32, 2, 500_000
-#: Shingles of the candidates that one index holds; clashes of half hashes that are allowed for.
+#: Shingles of the candidates that one index holds; clashes of half hashes that are
+#: allowed for, first queries of a long list.
 INDEX_SHINGLES = 1_000_000
-SLACK = 2
+SLACK, HEADS = 2, 16
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
@@ -228,7 +228,7 @@ def solved(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     The two large tables are kept on the executors' disks and made again where one is lost; ids
     of nodes and all links are written to the shared folder.
     """
-    made = indexed(docs, frequent_shingles(docs)).persist(StorageLevel.DISK_ONLY)
+    made = held(indexed(docs, frequent_shingles(docs)))
     nodes = made.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("end").alias("end"))
     nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     # One row's prefix stands for its node. Rows that repeat an id with the same set are equal.
@@ -239,10 +239,13 @@ def solved(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     often = first.select(F.explode(F.transform("often", lambda t: t.cast("long") * 2 + 1)).alias("id"), "n", "node", "e").distinct()
     shared = often.groupBy("id").agg(F.count("*").alias("size")).filter("size > 1").select("id")
     lists = rare.select((F.col("token").cast("long") * 2).alias("id"), F.inline("list")).unionByName(often.join(shared, "id"))
-    lists = lists.persist(StorageLevel.DISK_ONLY)  # id, n, node, e
+    lists = held(lists)  # id, n, node, e
 
-    # Round 1: the first node of each list against those that share most of their lists with it.
-    heads = lists.groupBy("id").agg(F.min(F.struct("node", "n", "e")).alias("h")).select("id", F.col("h.n").alias("n"), F.col("h.node").alias("node"), F.col("h.e").alias("e"))
+    # Round 1: a few nodes of each list against those that share most of their lists with them. Lists
+    # of frequent shingles (odd ids) have HEADS such nodes, the first of each residue, others one.
+    firsts = [F.min(F.when(F.pmod(F.xxhash64("node"), F.lit(HEADS)) == j, F.struct("node", "n", "e"))) for j in range(HEADS)]
+    heads = lists.groupBy("id").agg(F.array_compact(F.array(*firsts)).alias("h"))
+    heads = heads.select("id", F.inline(F.when(F.col("id") % 2 != 0, F.col("h")).otherwise(F.array(F.array_min("h")))))
     stars = materialize(_likely(heads.alias("x").join(lists.alias("y"), (F.col("x.id") == F.col("y.id")) & (F.col("x.node") != F.col("y.node"))), 2), "stars1")
     links = materialize(_searched(stars, docs, nodes), "links1")
 

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parchmint.llm.common import WORD
-from parchmint.session import materialize
+from parchmint.session import held
 
 #: Common words of the reference languages (fixed values).
 COMMON = {
@@ -116,7 +116,7 @@ def verdict(known: list[tuple[list[float], list[float]]]) -> Column:
 
 def judged(docs: DataFrame) -> DataFrame:
     """The fixed counts, base_failed and kept of every row; what is kept passes both."""
-    made = materialize(features(docs), "quality")
+    made = held(features(docs))
     return made.select("doc_id", *FACTS, "base_failed", verdict(references(made)).alias("kept"))
 
 
@@ -126,5 +126,5 @@ def keep(docs: DataFrame) -> DataFrame:
     inline() of one row or none filters after the features are made; a filter's condition would be
     moved below them and make them over and over.
     """
-    known = references(materialize(features(docs).select("lang", "base_failed", "classes", "words"), "references"))
+    known = references(features(docs))
     return features(docs, carry=True).select(F.inline(F.when(verdict(known), F.array("row"))))

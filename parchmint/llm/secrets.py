@@ -2,8 +2,8 @@
 
 Two first-order Markov chains over characters, one of random strings and one of ordinary
 identifiers, are compared by their log-likelihood ratio. The chains are trained from labelled
-samples: values that the fixed patterns find are labelled random, all other identifier-like
-strings of the same documents ordinary. Only bigram counts leave the executors.
+samples: values that the fixed patterns find are labelled random, other identifier-like strings
+of the same documents ordinary, unless they are as long as those that the models judge. Only bigram counts leave the executors.
 
 Null or empty text: no spans. Repeated rows: a result each. Other columns are ignored.
 """
@@ -28,9 +28,9 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
 KINDS = ("assign", "access", "hex", "markov")
 
-#: Strings that the models judge.
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
-#: Identifier-like strings that the ordinary model learns from.
+#: Strings that the models judge: at least 20 characters, with a letter.
+CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[^A-Za-z\s]*[A-Za-z])[A-Za-z0-9+/_=-]{20,}")
+#: Identifier-like strings that the ordinary model learns from, if they are too short to be judged.
 IDENTIFIER = re.compile(r"[A-Za-z0-9+/_=-]{4,}")
 ALPHABET = string.ascii_letters + string.digits + "+/_=-."
 STATES = len(ALPHABET) + 1
@@ -73,7 +73,7 @@ def labelled(text: str) -> tuple[list[str], list[str]]:
         marks[s:e] = 1
     rand = [text[s:e] for s, kind, e in spans if kind]
     rand += [m[2] for m in ASSIGN.finditer(text) if len(m[2]) >= 12]
-    plain = [m[0] for m in IDENTIFIER.finditer(text) if not marks[m.start() : m.end()].any()]
+    plain = [m[0] for m in IDENTIFIER.finditer(text) if m.end() - m.start() < 20 and not marks[m.start() : m.end()].any()]
     joined = [x for a, b in zip(plain, plain[1:]) for x in (a.lower() + b.capitalize(), f"{a}-{b}".upper())]  # the way identifiers are written in programs
     return rand, plain + joined
 
@@ -109,8 +109,19 @@ def fit(docs: DataFrame, max_documents: int = TRAIN_DOCUMENTS) -> np.ndarray:
     for kind, cell, n in picked.mapInArrow(count, "kind int, cell int, n long").groupBy("kind", "cell").agg(F.sum("n")).collect():
         counts[kind, cell] = n
     counts[0] += bigrams(generated())
-    probs = (counts + 0.5).reshape(2, STATES, STATES)
-    logs = np.log(probs / probs.sum(axis=2, keepdims=True))
+    return ratios_of(counts)
+
+
+def ratios_of(counts: np.ndarray) -> np.ndarray:
+    """Log-likelihood ratios from bigram counts of random and ordinary strings.
+
+    Rare first characters fall back to how often the second one stands anywhere.
+    """
+    counts = counts.reshape(2, STATES, STATES)
+    single = counts.sum(axis=1) + 0.5
+    single /= single.sum(axis=1, keepdims=True)
+    probs = (counts + 30 * single[:, None, :]) / (counts.sum(axis=2, keepdims=True) + 30)
+    logs = np.log(probs)
     return logs[0] - logs[1]
 
 

@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parchmint.llm.common import batch_of, chunks, column, texts
+from parchmint.session import held as keep
 from parchmint.session import materialize
 
 #: Bytes of a repeated string (by contract), bytes of an anchor.
@@ -348,7 +349,7 @@ def _cut(held: DataFrame, spans: DataFrame) -> DataFrame:
 
 def removed(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row."""
-    made = materialize(_anchored(docs), "anchors")
+    made = keep(_anchored(docs))
     nodes = made.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
     nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "texts")
     first = made.join(nodes.select(F.col("key").alias("k"), F.col("doc_id").alias("d"), "node", "copies"), F.col("key").eqNullSafe(F.col("k")) & F.col("doc_id").eqNullSafe(F.col("d")))
