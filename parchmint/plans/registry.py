@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from parchmint.functions import citations
 from parchmint.operators import graph, records, refresh, retrieval, spatial, temporal, validate
+from parchmint.sources import html
+from parchmint.streaming import events
 
-MODULES: list = [retrieval, temporal, records, refresh, validate, spatial, graph]
+MODULES: list = [retrieval, temporal, records, refresh, validate, spatial, graph, citations, html, events]
 FLAGSHIP = "bm25_passage_topk"
 
 

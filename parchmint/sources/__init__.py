@@ -1 +1 @@
-"""Sources."""
+"""Readers of pages and structured documents into tables."""
