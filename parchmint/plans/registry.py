@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from parchmint.functions import citations
-from parchmint.operators import graph, records, refresh, retrieval, spatial, temporal, validate
-from parchmint.sources import html
+from parchmint.operators import corpus, graph, records, refresh, retrieval, spatial, temporal, validate
+from parchmint.plans import federation
+from parchmint.sources import html, sinks
 from parchmint.streaming import events
 
-MODULES: list = [retrieval, temporal, records, refresh, validate, spatial, graph, citations, html, events]
+MODULES: list = [retrieval, temporal, records, refresh, validate, spatial, graph, citations, html, events, sinks, federation, corpus]
 FLAGSHIP = "bm25_passage_topk"
 
 
