@@ -355,7 +355,8 @@ def removed(docs: DataFrame) -> DataFrame:
     first = made.join(nodes.select(F.col("key").alias("k"), F.col("doc_id").alias("d"), "node", "copies"), F.col("key").eqNullSafe(F.col("k")) & F.col("doc_id").eqNullSafe(F.col("d")))
     # Rows that repeat id and text would count an anchor twice; their texts have copies and are cut anyway.
     places = first.filter(F.size("anchors") > 0).select("node", F.explode("anchors").alias("anchor"))
-    twice = places.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor")
+    # Written, so that the join reads two plain shuffles and Spark can split an anchor that many texts share.
+    twice = materialize(places.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor"), "twice")
     wanted = places.join(twice, "anchor").groupBy("node").agg(F.collect_set("anchor").alias("twice")).join(nodes, "node").select("node", "twice", "key", F.col("doc_id").alias("d"), "copies")
     held = _packed(docs).join(wanted, F.col("doc_id").eqNullSafe(F.col("d"))).select("node", "data", "twice", "key", "copies")
     held = materialize(held, "held")
