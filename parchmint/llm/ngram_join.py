@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parchmint.llm.common import batch_of, chunks, column, texts
@@ -44,7 +44,7 @@ SAMPLE, OFTEN, MAX_FREQUENT = 1 / 32, 2, 500_000
 #: Shingles of the candidates that one index holds; clashes of half hashes that are
 #: allowed for, first queries of a long list.
 INDEX_SHINGLES = 1_000_000
-SLACK, HEADS = 2, 16
+SLACK, HEADS = 2, 12
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
@@ -98,6 +98,12 @@ def prefix(tokens: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.nda
     return rare, often, end
 
 
+def sketch(tokens: np.ndarray) -> list[int]:
+    """256 parities of a set's hashes; two sets differ in at least as many shingles as their sketches in bits."""
+    odd = (np.bincount((tokens & np.uint64(255)).astype(np.int64), minlength=256) & 1).astype(np.uint8)
+    return np.packbits(odd).view(np.int64).tolist()
+
+
 def required(x: int, y: int) -> int:
     """Least overlap at which sets of these sizes link."""
     return -(-NUM * (x + y) // (NUM + DEN))
@@ -167,17 +173,17 @@ def frequent_shingles(docs: DataFrame) -> np.ndarray:
 
 
 def indexed(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """doc_id, n_shingles, key (hash of the whole set; null if empty), rare and often array<int> (the prefix), end."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("key", pa.binary()), ("rare", pa.list_(pa.int32())), ("often", pa.list_(pa.int32())), ("end", pa.int64())])
+    """doc_id, n_shingles, key (hash of the whole set; null if empty), rare and often array<int> (the prefix), end, sketch."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("key", pa.binary()), ("rare", pa.list_(pa.int32())), ("often", pa.list_(pa.int32())), ("end", pa.int64()), ("sketch", pa.list_(pa.int64()))])
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches):
             sets = [shingles(t) for t in column(b, "text")]
-            rows = [(i, len(s), xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None, *prefix(s, shared.value)) for i, s in zip(column(b, "doc_id"), sets)]
+            rows = [(i, len(s), xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None, *prefix(s, shared.value), sketch(s)) for i, s in zip(column(b, "doc_id"), sets)]
             yield batch_of(schema, rows)
 
-    return texts(docs).mapInArrow(run, "doc_id long, n_shingles long, key binary, rare array<int>, often array<int>, end long")
+    return texts(docs).mapInArrow(run, "doc_id long, n_shingles long, key binary, rare array<int>, often array<int>, end long, sketch array<long>")
 
 
 def _searched(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -229,29 +235,31 @@ def solved(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     of nodes and all links are written to the shared folder.
     """
     made = held(indexed(docs, frequent_shingles(docs)))
-    nodes = made.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("end").alias("end"))
+    nodes = made.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("end").alias("end"), F.first("sketch").alias("sketch"))
     nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     # One row's prefix stands for its node. Rows that repeat an id with the same set are equal.
-    first = made.filter("key is not null").join(nodes.select(F.col("key").alias("k"), F.col("doc_id").alias("d"), "node", "n", F.col("end").alias("e")), F.col("key").eqNullSafe(F.col("k")) & F.col("doc_id").eqNullSafe(F.col("d")))
+    first = made.filter("key is not null").join(nodes.select(F.col("key").alias("k"), F.col("doc_id").alias("d"), "node"), F.col("key").eqNullSafe(F.col("k")) & F.col("doc_id").eqNullSafe(F.col("d")))
     # Lists of rare shingles are short. Those of frequent ones may hold any share of all nodes, and are
     # therefore never gathered: they stay rows that share an id.
-    rare = first.select(F.explode("rare").alias("token"), "node", "n", "e").groupBy("token").agg(F.collect_set(F.struct("n", "node", "e")).alias("list")).filter(F.size("list") > 1)
-    often = first.select(F.explode(F.transform("often", lambda t: t.cast("long") * 2 + 1)).alias("id"), "n", "node", "e").distinct()
+    rare = first.select(F.posexplode("rare").alias("p", "token"), "node").groupBy("token").agg(F.collect_set(F.struct("node", "p")).alias("list")).filter(F.size("list") > 1)
+    often = first.select(F.size("rare").alias("p0"), F.posexplode(F.transform("often", lambda t: t.cast("long") * 2 + 1)).alias("p", "id"), "node").select("id", "node", (F.col("p") + F.col("p0")).alias("p")).distinct()
     shared = often.groupBy("id").agg(F.count("*").alias("size")).filter("size > 1").select("id")
-    lists = rare.select((F.col("token").cast("long") * 2).alias("id"), F.inline("list")).unionByName(often.join(shared, "id"))
-    lists = held(lists)  # id, n, node, e
+    # id, node, p (its place in the node's order), n (shingles), e (where the node's prefix ends), s (sketch; frequent only)
+    facts = nodes.select("node", "n", F.col("end").alias("e"))
+    lists = rare.select((F.col("token").cast("long") * 2).alias("id"), F.inline("list")).join(facts, "node").withColumn("s", F.lit(None).cast("array<long>"))
+    lists = held(lists.unionByName(often.join(shared, "id").join(facts.join(nodes.select("node", F.col("sketch").alias("s")), "node"), "node")))
 
     # Round 1: a few nodes of each list against those that share most of their lists with them. Lists
     # of frequent shingles (odd ids) have HEADS such nodes, the first of each residue, others one.
-    firsts = [F.min(F.when(F.pmod(F.xxhash64("node"), F.lit(HEADS)) == j, F.struct("node", "n", "e"))) for j in range(HEADS)]
+    firsts = [F.min(F.when(F.pmod(F.xxhash64("node"), F.lit(HEADS)) == j, F.struct("node", "n", "e", "p", "s"))) for j in range(HEADS)]
     heads = lists.groupBy("id").agg(F.array_compact(F.array(*firsts)).alias("h"))
     heads = heads.select("id", F.inline(F.when(F.col("id") % 2 != 0, F.col("h")).otherwise(F.array(F.array_min("h")))))
-    stars = materialize(_likely(heads.alias("x").join(lists.alias("y"), (F.col("x.id") == F.col("y.id")) & (F.col("x.node") != F.col("y.node"))), 2), "stars1")
+    stars = materialize(_likely(heads.alias("x").join(lists.alias("y"), (F.col("x.id") == F.col("y.id")) & (F.col("x.node") != F.col("y.node")) & _possible()), F.when(F.col("x.id") % 2 != 0, 8).otherwise(2)), "stars1")
     links = materialize(_searched(stars, docs, nodes), "links1")
 
     # Round 2: nodes of one list that are not connected yet.
     known = connected_components(links)
-    labelled = lists.join(known, "node", "left").select("id", "n", "node", "e", F.coalesce("component", "node").alias("c"))
+    labelled = lists.join(known, "node", "left").select("id", "n", "node", "e", "p", "s", F.coalesce("component", "node").alias("c"))
     rest = materialize(_crossing(labelled).join(stars, ["a", "b"], "left_anti"), "pairs2")
     lists.unpersist()
     more = materialize(_searched(rest, docs, nodes), "links2")
@@ -301,25 +309,42 @@ def _crossing(labelled: DataFrame) -> DataFrame:
     open_ = labelled.join(main, "id")
     x, y = open_.filter("c != main").alias("x"), open_.alias("y")
     once = (F.col("y.c") == F.col("y.main")) | (F.col("x.node") < F.col("y.node"))
-    return _likely(x.join(y, (F.col("x.id") == F.col("y.id")) & (F.col("x.c") != F.col("y.c")) & once))
+    return _likely(x.join(y, (F.col("x.id") == F.col("y.id")) & (F.col("x.c") != F.col("y.c")) & once & _possible()))
+
+
+def _up(x: Column, num: int, den: int) -> Column:
+    """Whole numbers times a fraction, rounded up."""
+    return F.ceil(x * num / den - 1e-9)
+
+
+def _possible() -> Column:
+    """Whether x and y, which share a shingle at their places p, may link.
+
+    Their sizes must allow it, and so must what stands before the shared one in both, together with
+    what stands from it on; and their sketches must not differ more than sets that link. Rows that fail belong to pairs that don't link, whose other rows don't
+    count.
+    """
+    most = F.least("x.p", "y.p") + F.least(F.col("x.n") - F.col("x.p"), F.col("y.n") - F.col("y.p"))
+    differ = sum((F.bit_count(F.col("x.s")[i].bitwiseXOR(F.col("y.s")[i])) for i in range(4)), F.lit(0))
+    alike = F.coalesce((NUM + DEN) * differ <= (DEN - NUM) * (F.col("x.n") + F.col("y.n")), F.lit(True))
+    return (NUM * F.greatest("x.n", "y.n") <= DEN * F.least("x.n", "y.n")) & alike & (most >= _up(F.col("x.n") + F.col("y.n"), NUM, NUM + DEN))
 
 
-def _likely(pairs: DataFrame, times: int = 1) -> DataFrame:
+def _likely(pairs: DataFrame, weight: Column | int = 1) -> DataFrame:
     """a, b of the pairs x, y (one row for each shared list) whose sizes and numbers of lists let them link.
 
     Shingles up to the end of the prefix that ends first are shared in both prefixes, and so in
     lists; beyond it that set has only so many left. Two shingles of one prefix may share their
-    upper half; SLACK stands for more such clashes than texts have.
+    upper half; SLACK stands for more such clashes than texts have. ``weight`` is what a shared list
+    counts, where the rows don't hold all lists of a pair.
     """
-    pairs = pairs.filter(NUM * F.greatest("x.n", "y.n") <= DEN * F.least("x.n", "y.n"))
     first = F.col("x.node") < F.col("y.node")
     side = lambda c, one: F.when(first == one, F.col(f"x.{c}")).otherwise(F.col(f"y.{c}"))
-    counted = pairs.select(*(side(c, one).alias(f"{c}{int(one)}") for c in ("node", "n", "e") for one in (True, False)))
-    counted = counted.groupBy(*counted.columns).agg(F.count("*").alias("lists"))
-    up = lambda x, num, den: F.ceil(x * num / den - 1e-9)  # noqa: E731  exact for whole numbers
-    need = up(F.col("n1") + F.col("n0"), NUM, NUM + DEN)
+    counted = pairs.select(*(side(c, one).alias(f"{c}{int(one)}") for c in ("node", "n", "e") for one in (True, False)), (weight if isinstance(weight, Column) else F.lit(weight)).alias("weight"))
+    counted = counted.groupBy(*counted.columns[:-1]).agg(F.sum("weight").alias("lists"))
+    need = _up(F.col("n1") + F.col("n0"), NUM, NUM + DEN)
     left = F.when(F.col("e1") < F.col("e0"), F.col("n1")).when(F.col("e1") > F.col("e0"), F.col("n0")).otherwise(F.greatest("n1", "n0"))
-    return counted.filter(times * F.col("lists") + SLACK + up(left, NUM, DEN) - 1 >= need).select(F.col("node1").alias("a"), F.col("node0").alias("b"))
+    return counted.filter(F.col("lists") + SLACK + _up(left, NUM, DEN) - 1 >= need).select(F.col("node1").alias("a"), F.col("node0").alias("b"))
 
 
 def _texts_of(docs: DataFrame, wanted: DataFrame, columns: list[str]) -> DataFrame:

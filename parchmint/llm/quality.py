@@ -84,8 +84,10 @@ def references(made: DataFrame) -> list[tuple[list[float], list[float]]]:
 
     At most one row for each language of COMMON reaches the driver.
     """
-    sums = [F.sum(F.col("classes")[i]).alias(f"c{i}") for i in range(4)] + [F.sum(F.col("words")[i]).alias(f"w{i}") for i in range(len(BINS) + 1)]
-    rows = made.filter(F.col("lang").isin(*COMMON) & ~F.col("base_failed")).groupBy("lang").agg(*sums).orderBy("lang").collect()
+    # Conditional sums: a filter on base_failed would be moved below the features and make them twice.
+    good = lambda x: F.coalesce(F.sum(F.when(~F.col("base_failed"), x)), F.lit(0))
+    sums = [good(F.col("classes")[i]).alias(f"c{i}") for i in range(4)] + [good(F.col("words")[i]).alias(f"w{i}") for i in range(len(BINS) + 1)]
+    rows = made.filter(F.col("lang").isin(*COMMON)).groupBy("lang").agg(*sums).orderBy("lang").collect()
     out = []
     for r in rows:
         c, w = [r[f"c{i}"] for i in range(4)], [r[f"w{i}"] for i in range(len(BINS) + 1)]
