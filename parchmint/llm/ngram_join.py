@@ -44,7 +44,7 @@ SAMPLE, OFTEN, MAX_FREQUENT = 1 / 32, 2, 500_000
 #: Shingles of the candidates that one index holds; clashes of half hashes that are
 #: allowed for, first queries of a long list.
 INDEX_SHINGLES = 1_000_000
-SLACK, HEADS = 2, 12
+SLACK, HEADS = 2, 4
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
@@ -254,7 +254,7 @@ def solved(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     firsts = [F.min(F.when(F.pmod(F.xxhash64("node"), F.lit(HEADS)) == j, F.struct("node", "n", "e", "p", "s"))) for j in range(HEADS)]
     heads = lists.groupBy("id").agg(F.array_compact(F.array(*firsts)).alias("h"))
     heads = heads.select("id", F.inline(F.when(F.col("id") % 2 != 0, F.col("h")).otherwise(F.array(F.array_min("h")))))
-    stars = materialize(_likely(heads.alias("x").join(lists.alias("y"), (F.col("x.id") == F.col("y.id")) & (F.col("x.node") != F.col("y.node")) & _possible()), F.when(F.col("x.id") % 2 != 0, 8).otherwise(2)), "stars1")
+    stars = materialize(_likely(heads.alias("x").join(lists.alias("y"), (F.col("x.id") == F.col("y.id")) & (F.col("x.node") != F.col("y.node")) & _possible()), 2), "stars1")
     links = materialize(_searched(stars, docs, nodes), "links1")
 
     # Round 2: nodes of one list that are not connected yet.
@@ -330,7 +330,7 @@ def _possible() -> Column:
     return (NUM * F.greatest("x.n", "y.n") <= DEN * F.least("x.n", "y.n")) & alike & (most >= _up(F.col("x.n") + F.col("y.n"), NUM, NUM + DEN))
 
 
-def _likely(pairs: DataFrame, weight: Column | int = 1) -> DataFrame:
+def _likely(pairs: DataFrame, weight: int = 1) -> DataFrame:
     """a, b of the pairs x, y (one row for each shared list) whose sizes and numbers of lists let them link.
 
     Shingles up to the end of the prefix that ends first are shared in both prefixes, and so in
@@ -340,11 +340,11 @@ def _likely(pairs: DataFrame, weight: Column | int = 1) -> DataFrame:
     """
     first = F.col("x.node") < F.col("y.node")
     side = lambda c, one: F.when(first == one, F.col(f"x.{c}")).otherwise(F.col(f"y.{c}"))
-    counted = pairs.select(*(side(c, one).alias(f"{c}{int(one)}") for c in ("node", "n", "e") for one in (True, False)), (weight if isinstance(weight, Column) else F.lit(weight)).alias("weight"))
-    counted = counted.groupBy(*counted.columns[:-1]).agg(F.sum("weight").alias("lists"))
+    counted = pairs.select(*(side(c, one).alias(f"{c}{int(one)}") for c in ("node", "n", "e") for one in (True, False)))
+    counted = counted.groupBy(*counted.columns).agg(F.count("*").alias("lists"))
     need = _up(F.col("n1") + F.col("n0"), NUM, NUM + DEN)
     left = F.when(F.col("e1") < F.col("e0"), F.col("n1")).when(F.col("e1") > F.col("e0"), F.col("n0")).otherwise(F.greatest("n1", "n0"))
-    return counted.filter(F.col("lists") + SLACK + _up(left, NUM, DEN) - 1 >= need).select(F.col("node1").alias("a"), F.col("node0").alias("b"))
+    return counted.filter(weight * F.col("lists") + SLACK + _up(left, NUM, DEN) - 1 >= need).select(F.col("node1").alias("a"), F.col("node0").alias("b"))
 
 
 def _texts_of(docs: DataFrame, wanted: DataFrame, columns: list[str]) -> DataFrame:
