@@ -6,6 +6,9 @@
    have equal anchors at equal places. Only anchors that occur twice can lie in repeated windows.
 3. The text around such anchors is dealt out by anchor, so equal windows meet in one task. A context
    that a task has already sent twice is not sent again: all of its windows are known to repeat.
+   Contexts of an anchor that stands in more than HOT places are dealt out window by window instead,
+   by a 128-bit digest of the SPAN bytes, and compared with their neighbours in the sorted stream:
+   no task ever holds all contexts of an anchor.
 4. A task sorts the suffixes of a block of contexts in two stages: those smaller than their
    successors are sorted directly, the others are induced by scans over the buckets of first
    bytes. Windows whose common prefix with their neighbour has SPAN bytes repeat.
@@ -37,6 +40,8 @@ SPAN, KGRAM = 200, 32
 PIECE, BLOCK_BYTES = 1 << 17, 3 << 20
 #: Digests of sent contexts that a task remembers.
 REMEMBERED = 400_000
+#: Places of an anchor up to which its contexts are sorted in one block.
+HOT = 4_096
 
 _MIX = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
@@ -264,31 +269,45 @@ def _packed(docs: DataFrame) -> DataFrame:
 def _contexts(held: DataFrame) -> DataFrame:
     """anchor, node, start, owned, data: the text around anchors that occur twice.
 
-    Where data is null, all owned windows are known to repeat.
+    Where data is null, all owned windows are known to repeat. Where owned is 0, data is the digest of
+    the one window at start, whose anchor is in ``hot``.
     """
     schema = pa.schema([("anchor", pa.int64()), ("node", pa.int64()), ("start", pa.int64()), ("owned", pa.int32()), ("data", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
         sent: dict[bytes, int] = {}
+
+        def times(mark: bytes) -> int:
+            seen = sent.get(mark, 0)
+            if seen < 2:
+                if len(sent) > REMEMBERED:
+                    sent.clear()
+                sent[mark] = seen + 1
+            return seen
+
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
                 values = [unpack.decompress(d) for d in column(part, "data")]
                 rows = []
-                for node, v, twice, key, (s, n, a) in zip(column(part, "node"), values, column(part, "twice"), column(part, "key"), text_runs(values)):
+                for node, v, twice, hot, key, (s, n, a) in zip(column(part, "node"), values, column(part, "twice"), column(part, "hot"), column(part, "key"), text_runs(values)):
                     if xxhash.xxh3_128_digest(v) != key:  # another text under a repeated id
                         continue
-                    some = np.isin((a >> np.uint64(32)).astype(np.uint32).view(np.int32), np.array(twice, np.int32))
-                    for start, owned, anchor in zip(s[some].tolist(), n[some].tolist(), a[some].view(np.int64).tolist()):
+                    upper = (a >> np.uint64(32)).astype(np.uint32).view(np.int32)
+                    some = np.isin(upper, np.array(twice, np.int32))
+                    dense = np.isin(upper[some], np.array(hot, np.int32))
+                    for start, owned, anchor, single in zip(s[some].tolist(), n[some].tolist(), a[some].view(np.int64).tolist(), dense.tolist()):
                         context = v[start : start + owned - 1 + SPAN]
-                        mark = xxhash.xxh3_128_digest(context)
-                        seen = sent.get(mark, 0)
-                        if seen < 2:
-                            if len(sent) > REMEMBERED:
-                                sent.clear()
-                            sent[mark] = seen + 1
-                        rows.append((anchor, node, start, owned, context if seen < 2 else None))
+                        if times(b"c" + xxhash.xxh3_128_digest(context)) >= 2:
+                            rows.append((anchor, node, start, owned, None))
+                        elif not single:
+                            rows.append((anchor, node, start, owned, context))
+                        else:
+                            marks = [xxhash.xxh3_128_digest(context[k : k + SPAN]) for k in range(owned)]
+                            known = np.array([times(m) >= 2 for m in marks])
+                            rows += [(anchor, node, start + k, 0, marks[k]) for k in np.flatnonzero(~known).tolist()]
+                            rows += [(anchor, node, start + low, high - low - SPAN + 1, None) for low, high in intervals(np.flatnonzero(known))]
                     if len(rows) > 4000:
                         yield batch_of(schema, rows)
                         rows = []
@@ -323,6 +342,26 @@ def _sorted_blocks(dealt: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "node long, low long, high long")
 
 
+def _met(windows: DataFrame) -> DataFrame:
+    """node, low, high: windows whose digest a neighbour shares, from windows in the order of digests."""
+    schema = pa.schema([("node", pa.int64()), ("low", pa.int64()), ("high", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, told = (None, 0, 0), False
+        for batch in batches:
+            out = []
+            for mark, node, start in zip(*(column(batch, c) for c in ("data", "node", "start"))):
+                same = mark == last[0]
+                if same and not told:
+                    out.append((last[1], last[2], last[2] + SPAN))
+                if same:
+                    out.append((node, start, start + SPAN))
+                last, told = (mark, node, start), same
+            yield batch_of(schema, out)
+
+    return windows.mapInArrow(run, "node long, low long, high long")
+
+
 def _cut(held: DataFrame, spans: DataFrame) -> DataFrame:
     """node, n_removed, n_spans, kept (bytes that are left) of the nodes with repeated windows."""
     schema = pa.schema([("node", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())])
@@ -356,14 +395,16 @@ def removed(docs: DataFrame) -> DataFrame:
     # Rows that repeat id and text would count an anchor twice; their texts have copies and are cut anyway.
     places = first.filter(F.size("anchors") > 0).select("node", F.explode("anchors").alias("anchor"))
     # Written, so that the join reads two plain shuffles and Spark can split an anchor that many texts share.
-    twice = materialize(places.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor"), "twice")
-    wanted = places.join(twice, "anchor").groupBy("node").agg(F.collect_set("anchor").alias("twice")).join(nodes, "node").select("node", "twice", "key", F.col("doc_id").alias("d"), "copies")
-    held = _packed(docs).join(wanted, F.col("doc_id").eqNullSafe(F.col("d"))).select("node", "data", "twice", "key", "copies")
+    twice = materialize(places.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor", (F.col("n") > HOT).alias("hot")), "twice")
+    wanted = places.join(twice, "anchor").groupBy("node").agg(F.collect_set("anchor").alias("twice"), F.collect_set(F.when(F.col("hot"), F.col("anchor"))).alias("hot"))
+    wanted = wanted.join(nodes, "node").select("node", "twice", "hot", "key", F.col("doc_id").alias("d"), "copies")
+    held = _packed(docs).join(wanted, F.col("doc_id").eqNullSafe(F.col("d"))).select("node", "data", "twice", "hot", "key", "copies")
     held = materialize(held, "held")
     around = materialize(_contexts(held), "contexts")
     known = around.filter("data is null").select("node", F.col("start").alias("low"), (F.col("start") + F.col("owned") - 1 + SPAN).alias("high"))
-    dealt = around.filter("data is not null").repartition("anchor").sortWithinPartitions("anchor")
-    spans = _sorted_blocks(dealt).unionByName(known)
+    dealt = around.filter("data is not null and owned > 0").repartition("anchor").sortWithinPartitions("anchor")
+    single = around.filter("data is not null and owned = 0").repartition("data").sortWithinPartitions("data")
+    spans = _sorted_blocks(dealt).unionByName(_met(single.select("data", "node", "start"))).unionByName(known)
     # Texts with copies are removed as a whole, so only the others are cut.
     cut = _cut(held.filter("copies = 1"), spans).select("node", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
     label = nodes.join(cut, "node", "left").select("key", "copies", "n_removed", "n_spans", "kept_sha256")

@@ -113,6 +113,21 @@ def test_removed_bytes_equal_brute_force(spark):
     assert suffix_dedup.removed(spark.createDataFrame([], EXTRA)).collect() == []
 
 
+def test_hot_anchors_are_not_sorted_in_one_block(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "HOT", 8, raising=False)
+    blocks, largest = suffix_dedup._sorted_blocks, []
+
+    def watched(dealt):
+        largest.append(max(r["count"] for r in dealt.groupBy("anchor").count().collect()))
+        return blocks(dealt)
+
+    monkeypatch.setattr(suffix_dedup, "_sorted_blocks", watched)
+    rows = corpus(4, 120) + [(970, "ab" * 300, "en", "s", 600), (971, "xyz" * 400, "en", "s", 1)]
+    got = suffix_dedup.removed(spark.createDataFrame(rows, EXTRA)).collect()
+    assert Counter(map(tuple, got)) == Counter(brute_cut(rows))
+    assert largest and largest[0] <= 8
+
+
 def test_suffixes_are_sorted():
     rng = random.Random(8)
     contexts = [bytes(rng.choice(b"abc") for _ in range(rng.randint(200, 320))) for _ in range(5)] + [b"a" * 260]
