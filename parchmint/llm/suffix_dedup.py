@@ -254,16 +254,16 @@ def _anchored(docs: DataFrame) -> DataFrame:
 
 
 def _packed(docs: DataFrame) -> DataFrame:
-    """doc_id, data: texts of SPAN bytes or more, compressed for the shuffle."""
-    schema = pa.schema([("doc_id", pa.int64()), ("data", pa.binary())])
+    """doc_id, key, data: texts of SPAN bytes or more with their digest, compressed for the shuffle."""
+    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.binary()), ("data", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=3)
         for b in chunks(batches):
             values = [(i, raw(t)) for i, t in zip(column(b, "doc_id"), column(b, "text"))]
-            yield batch_of(schema, [(i, pack.compress(v)) for i, v in values if len(v) >= SPAN])
+            yield batch_of(schema, [(i, xxhash.xxh3_128_digest(v), pack.compress(v)) for i, v in values if len(v) >= SPAN])
 
-    return texts(docs).mapInArrow(run, "doc_id long, data binary")
+    return texts(docs).mapInArrow(run, "doc_id long, key binary, data binary")
 
 
 def _contexts(held: DataFrame) -> DataFrame:
@@ -291,9 +291,7 @@ def _contexts(held: DataFrame) -> DataFrame:
                 part = batch.slice(at, 64)
                 values = [unpack.decompress(d) for d in column(part, "data")]
                 rows = []
-                for node, v, twice, hot, key, (s, n, a) in zip(column(part, "node"), values, column(part, "twice"), column(part, "hot"), column(part, "key"), text_runs(values)):
-                    if xxhash.xxh3_128_digest(v) != key:  # another text under a repeated id
-                        continue
+                for node, v, twice, hot, (s, n, a) in zip(column(part, "node"), values, column(part, "twice"), column(part, "hot"), text_runs(values)):
                     upper = (a >> np.uint64(32)).astype(np.uint32).view(np.int32)
                     some = np.isin(upper, np.array(twice, np.int32))
                     dense = np.isin(upper[some], np.array(hot, np.int32))
@@ -397,8 +395,9 @@ def removed(docs: DataFrame) -> DataFrame:
     # Written, so that the join reads two plain shuffles and Spark can split an anchor that many texts share.
     twice = materialize(places.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor", (F.col("n") > HOT).alias("hot")), "twice")
     wanted = places.join(twice, "anchor").groupBy("node").agg(F.collect_set("anchor").alias("twice"), F.collect_set(F.when(F.col("hot"), F.col("anchor"))).alias("hot"))
-    wanted = wanted.join(nodes, "node").select("node", "twice", "hot", "key", F.col("doc_id").alias("d"), "copies")
-    held = _packed(docs).join(wanted, F.col("doc_id").eqNullSafe(F.col("d"))).select("node", "data", "twice", "hot", "key", "copies")
+    wanted = wanted.join(nodes, "node").select("node", "twice", "hot", F.col("key").alias("k"), F.col("doc_id").alias("d"), "copies")
+    # By id and digest: other texts may stand under the same id, or under none.
+    held = _packed(docs).join(wanted, (F.col("key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("d"))).select("node", "data", "twice", "hot", "copies")
     held = materialize(held, "held")
     around = materialize(_contexts(held), "contexts")
     known = around.filter("data is null").select("node", F.col("start").alias("low"), (F.col("start") + F.col("owned") - 1 + SPAN).alias("high"))

@@ -128,6 +128,15 @@ def test_hot_anchors_are_not_sorted_in_one_block(spark, monkeypatch):
     assert largest and largest[0] <= 8
 
 
+def test_long_texts_under_one_id_or_none_are_cut_once(spark):
+    rng = random.Random(11)
+    letters = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    shared = letters(260)
+    rows = [(i, letters(300) + shared + letters(300), "en", "s", 1) for i in (1, 1, 1, 2, None, None, None)]
+    got = suffix_dedup.removed(spark.createDataFrame(rows, EXTRA)).collect()
+    assert Counter(map(tuple, got)) == Counter(brute_cut(rows))
+
+
 def test_suffixes_are_sorted():
     rng = random.Random(8)
     contexts = [bytes(rng.choice(b"abc") for _ in range(rng.randint(200, 320))) for _ in range(5)] + [b"a" * 260]
