@@ -74,13 +74,13 @@ def close_labels(typed: DataFrame, labels: DataFrame, k: int = 5) -> DataFrame:
 
 
 def _planted(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", F.substring("text", 1, 60).alias("head"))
+    docs = table(spark, d, "documents").select("doc_id", F.col("text").alias("whole"))
     cites = [" 25 U.S.C. 450", " 40 CFR 1502.4", " Pub. L. 93-638", " 88 Stat. 2203", " 61 FR 18840", " 515 U.S. 277", " 1076-AF18"]
-    return docs.withColumn("text", F.concat("head", F.element_at(F.array(*map(F.lit, cites)), (F.col("doc_id") % 7 + 1).cast("int"))))
+    return docs.withColumn("text", F.concat("whole", F.element_at(F.array(*map(F.lit, cites)), (F.col("doc_id") % 7 + 1).cast("int"))))
 
 
 def _extract(spark, d):
-    return counts(_planted(spark, d), "text").drop("head", "text")
+    return counts(_planted(spark, d), "text").drop("whole", "text")
 
 
 def _routes(spark, d):

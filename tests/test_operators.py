@@ -138,6 +138,17 @@ def test_citation_spans_are_disjoint(text):
     assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))
 
 
+def test_citation_counts_scan_whole_texts(spark, tmp_path):
+    late = "words " * 30
+    texts = [late + "see 25 U.S.C. 450 and 40 CFR 1502.4", late + "88 Stat. 2203 " + late + "61 FR 18840 ", "", None, "515 U.S. 277, " + late]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    cites = [" 25 U.S.C. 450", " 40 CFR 1502.4", " Pub. L. 93-638", " 88 Stat. 2203", " 61 FR 18840", " 515 U.S. 277", " 1076-AF18"]
+    got = {r["doc_id"]: r.asDict() for r in citations.QUERIES["citation_counts"][0](spark, str(tmp_path)).collect()}
+    for i, t in enumerate(texts):
+        kinds = [h[0] for h in citations.find(t + cites[i % 7])] if t is not None else None
+        assert all(got[i][f"n_{k}"] == (kinds.count(k) if kinds is not None else None) for k in citations.PATTERNS)
+
+
 def test_blocks(spark):
     page = "<html><title>T</title><script>no</script><h1>One &amp; all</h1><p>a <b>b</b><br>é</p><nav><p>menu</p></nav><ul><li>x<li>y</ul></html>"
     assert html.read_blocks(page) == [("title", "T"), ("h1", "One & all"), ("p", "a b é"), ("li", "x"), ("li", "y")]
