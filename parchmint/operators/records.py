@@ -70,6 +70,25 @@ def merge_listings(rows: DataFrame) -> DataFrame:
     ).select("document", F.col("place.rank").alias("rank"), F.col("best.listing").alias("primary"), "alternates")
 
 
+def text_key(text: str) -> Column:
+    """A hash of the whole normalised text (lower case, white space as single blanks), of any length; null for null."""
+    return F.md5(F.trim(F.regexp_replace(F.lower(text), r"\s+", " ")))
+
+
+def passages_within(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """item_id, doc_id: documents that hold an item's whole text, of any length.
+
+    A word of the item with white space on both sides is a word of the document too, so the longest
+    one finds the candidates. Items without such a word are compared with every document.
+    """
+    inner = F.transform(F.regexp_extract_all("text", F.lit(r"(?<=\s)\S+(?=\s)"), F.lit(0)), lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))
+    keys = items.select("item_id", F.col("text").alias("passage"), F.array_max(inner)["w"].alias("word")).filter("length(passage) > 0").distinct()
+    words = docs.select("doc_id", "text", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0)))).alias("word"))
+    hits = words.join(F.broadcast(keys.filter("word is not null")), "word").filter("contains(text, passage)").select("item_id", "doc_id")
+    rest = docs.join(F.broadcast(keys.filter("word is null")), F.expr("contains(text, passage)")).select("item_id", "doc_id")
+    return hits.unionByName(rest)
+
+
 def group_places(rows: DataFrame, key: list[str], order: str) -> DataFrame:
     """The first row of each key with the number of its places."""
     return rows.groupBy(*key).agg(F.min(order).alias("first"), F.count("*").alias("places"))
@@ -139,10 +158,14 @@ def _unclassified(spark, d):
     return c.join(F.broadcast(rules), c["c_mktsegment"] == rules["label"], "left_anti").select("c_custkey", "c_mktsegment")
 
 
-def _merge(spark, d):
+def _merge_whole(spark, d):
+    return _merge(spark, d, text_key("text"))
+
+
+def _merge(spark, d, match=None):
     docs = table(spark, d, "documents")
     rank = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
-    match = F.when(F.length("text") >= 100, F.md5(F.substring(F.lower("text"), 1, 100)))
+    match = F.when(F.length("text") >= 100, F.md5(F.substring(F.lower("text"), 1, 100))) if match is None else match
     rows = docs.select(F.col("doc_id").cast("string").alias("listing"), "source", F.substring("source", 4, 9).cast("int").alias("precedence"), rank.alias("rank"), match.alias("match"))
     return merge_listings(rows)
 
@@ -156,6 +179,10 @@ def _places(spark, d):
     return group_places(hits.select("item_id", "doc_id"), ["item_id"], "doc_id")
 
 
+def _places_whole(spark, d):
+    return group_places(passages_within(table(spark, d, "documents"), table(spark, d, "benchmark")), ["item_id"], "doc_id")
+
+
 def _diff(spark, d):
     c = table(spark, d, "conversations")
     return unique_changes(c.filter("conv_id % 2 = 0").select("text"), c.filter("conv_id % 2 = 1").select("text"), "text").select(F.md5("text").alias("text"), "change")
@@ -196,6 +223,8 @@ select c_custkey, string_agg(layer, ',' order by layer) as basis from m group by
 with r as (select doc_id::varchar as listing, source[4:]::int as precedence, row_number() over (partition by source order by doc_id)::int as rank, case when length(text) >= 100 then md5(lower(text)[1:100]) end as m from documents),
 k as (select *, coalesce('match:' || m, 'listing:' || listing) as document from r)
 select document, min(rank) as rank, (min(struct_pack(a := precedence, b := rank, c := listing))).c as primary, count(*) - 1 as alternates from k group by document"""),
+    "rank_interleave_merge_whole": (_merge_whole, None),
+    "in_text_group_places_whole": (_places_whole, None),
     "in_text_group_places": (_places, "select item_id, min(doc_id) as first, count(*) as places from documents d join (select item_id, text[1:40] as lead from benchmark where length(text) >= 40) b on contains(d.text, lead) group by item_id"),
     "version_diff_unique_text": (_diff, """
 with a as (select text, count(*) as na from conversations where conv_id % 2 = 0 group by text), b as (select text, count(*) as nb from conversations where conv_id % 2 = 1 group by text)

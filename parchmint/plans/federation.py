@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from parchmint.operators.records import merge_listings
+from parchmint.operators.records import merge_listings, text_key
 from parchmint.session import table
 
 
@@ -62,10 +62,10 @@ def linked(rows: DataFrame, keys: list[str], targets: DataFrame, target: str) ->
     return out.withColumn("target", F.coalesce(*found)).drop(*(f"__t{i}" for i in range(len(keys))))
 
 
-def _listings(spark, d):
+def _listings(spark, d, match=None):
     docs = table(spark, d, "documents")
     rank = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
-    match = F.when(F.length("text") >= 100, F.md5(F.substring("text", 1, 100)))
+    match = F.when(F.length("text") >= 100, F.md5(F.substring("text", 1, 100))) if match is None else match
     return docs.select(F.col("doc_id").cast("string").alias("listing"), "source", "lang", F.substring("source", 4, 9).cast("int").alias("precedence"), rank.alias("rank"), match.alias("match"), F.concat_ws(":", "lang", "source").alias("lane"))
 
 
@@ -83,6 +83,10 @@ def _reasons(spark, d):
     return with_reasons(_listings(spark, d))
 
 
+def _reasons_whole(spark, d):
+    return with_reasons(_listings(spark, d, text_key("text")))
+
+
 def _worst(spark, d):
     rows = table(spark, d, "orders").select("o_orderpriority", F.when(F.col("o_orderstatus") == "P", "partial").when(F.col("o_totalprice") > 450_000, "failed").otherwise("ok").alias("o"))
     return worst_outcome(rows, "o_orderpriority", "o")
@@ -113,6 +117,7 @@ o as (select source || '|' || kind || '|' || lower(text) as lane, min(position)
 select lane, source, case when row_number() over (order by position, precedence, lane) <= 6 then 'run' else 'over_budget' end as state from o"""),
     "lane_left_out": (_left, "select source, count_if(lang = 'en') as kept, count_if(lang is null or lang != 'en') as left_out from documents group by source"),
     "merged_lanes": (_reasons, _LIST + " select document, min(rank) as rank, (min(struct_pack(a := precedence, b := rank, c := listing))).c as primary, count(*) - 1 as alternates, string_agg(distinct lane, ',' order by lane) as reasons from k group by document"),
+    "merged_lanes_whole": (_reasons_whole, None),
     "worst_outcome": (_worst, "select o_orderpriority, arg_max(o, case o when 'failed' then 2 when 'partial' then 1 else 0 end) as outcome from (select o_orderpriority, case when o_orderstatus = 'P' then 'partial' when o_totalprice > 450000 then 'failed' else 'ok' end as o from orders) group by 1"),
     "coverage_blockers": (_coverage, "with b as (select s_suppkey, concat_ws(',', case when not s_acctbal > 0 then 'review_expired' end, case when not s_nationkey % 4 > 0 then 'no_terms' end, case when not s_suppkey % 5 > 0 then 'inactive' end) as blockers from supplier) select s_suppkey, blockers, blockers = '' as usable from b"),
     "paging_state": (_paging, "select l_partkey, case when l_partkey % 7 = 0 then 'unknown' when count(*) <= 25 then 'complete' when count(*) > 40 then 'cap' else 'more' end as paging from lineitem group by l_partkey"),

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from parchmint.functions import citations
 from parchmint.functions import text as T
 from parchmint.operators import corpus, graph, records, refresh, retrieval, spatial, temporal, validate
+from parchmint.plans import federation
 from parchmint.sources import html, sinks
 from parchmint.streaming import events
 
@@ -138,6 +139,22 @@ def test_citation_spans_are_disjoint(text):
     assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))
 
 
+def test_whole_texts_decide_matches(spark, tmp_path):
+    lead = "the same beginning of a page " * 5
+    texts = [lead + "one end", lead + "another end", "short copy", "Short \n copy", lead + "one  end", None, "xshort copy it is", "a word"]
+    docs = [(i, t, "en", f"src{i % 2}") for i, t in enumerate(texts)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    items = [(1, lead + "one end"), (2, lead + "no such end"), (3, "short copy"), (4, "copy it is"), (5, ""), (6, None)]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    merged = records.QUERIES["rank_interleave_merge_whole"][0](spark, str(tmp_path)).collect()
+    assert sorted(r["alternates"] for r in merged) == [0, 0, 0, 0, 1, 1]
+    lanes = federation.QUERIES["merged_lanes_whole"][0](spark, str(tmp_path)).collect()
+    assert sorted(r["alternates"] for r in lanes) == [0, 0, 0, 0, 1, 1]
+    got = records.QUERIES["in_text_group_places_whole"][0](spark, str(tmp_path)).collect()
+    want = {i: [d for d, t, *_ in docs if t and p in t] for i, p in items if p}
+    assert {tuple(r) for r in got} == {(i, min(h), len(h)) for i, h in want.items() if h}
+
+
 def test_citation_counts_scan_whole_texts(spark, tmp_path):
     late = "words " * 30
     texts = [late + "see 25 U.S.C. 450 and 40 CFR 1502.4", late + "88 Stat. 2203 " + late + "61 FR 18840 ", "", None, "515 U.S. 277, " + late]
