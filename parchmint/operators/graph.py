@@ -97,8 +97,12 @@ def _shrink(spark, d):
     return shrink(rows, "o_orderkey", "parent")
 
 
-def _tips(spark, d):
-    e = _supply(spark, d).filter("src % 2 = 0")
+def _tips_whole(spark, d):
+    return _tips(spark, d, "true")
+
+
+def _tips(spark, d, some: str = "src % 2 = 0"):
+    e = _supply(spark, d).filter(some)
     return tips(e, "src", "dst", table(spark, d, "supplier").select(F.col("s_suppkey").alias("node")))
 
 
@@ -109,5 +113,6 @@ QUERIES = {
 with recursive o as (select o_orderkey, case when o_orderkey % 4 > 0 then o_orderkey // 2 end as parent from orders where o_orderkey % 13 != 5),
 k as (select o_orderkey, parent from o where parent is null union all select o.o_orderkey, o.parent from o join k on o.parent = k.o_orderkey) select distinct o_orderkey, parent from k
 union select o_orderkey, parent from o where parent = o_orderkey"""),
+    "supersession_tips_whole": (_tips_whole, None),
     "supersession_tips": (_tips, f"with e as (select * from ({_SUPPLY}) where src % 2 = 0) select s_suppkey as node from supplier where s_suppkey not in (select dst from e)"),
 }

@@ -188,9 +188,13 @@ def _diff(spark, d):
     return unique_changes(c.filter("conv_id % 2 = 0").select("text"), c.filter("conv_id % 2 = 1").select("text"), "text").select(F.md5("text").alias("text"), "change")
 
 
-def _pivot(spark, d):
+def _pivot_whole(spark, d):
+    return _pivot(spark, d, "true")
+
+
+def _pivot(spark, d, users: str = "user_id < 40"):
     e = table(spark, d, "events").select("user_id", "event_type", F.get_json_object("props", "$.k").alias("k"))
-    return dimension_pivot(e.filter("user_id < 40"), "user_id", "event_type", "k", ["click", "view", "purchase", "refund"])
+    return dimension_pivot(e.filter(users), "user_id", "event_type", "k", ["click", "view", "purchase", "refund"])
 
 
 def _evidence(spark, d):
@@ -229,6 +233,7 @@ select document, min(rank) as rank, (min(struct_pack(a := precedence, b := rank,
     "version_diff_unique_text": (_diff, """
 with a as (select text, count(*) as na from conversations where conv_id % 2 = 0 group by text), b as (select text, count(*) as nb from conversations where conv_id % 2 = 1 group by text)
 select md5(text) as text, case when nb is null then 'removed' when na is null then 'added' else 'kept' end as change from a full join b using (text) where coalesce(na, 0) <= 1 and coalesce(nb, 0) <= 1"""),
+    "dimension_pivot_whole": (_pivot_whole, None),
     "dimension_pivot": (_pivot, """
 with e as (select user_id, event_type, json_extract_string(props, '$.k') as k from events where user_id < 40),
 c as (select user_id, event_type, string_agg(distinct k, ',' order by k) as v from e group by all),

@@ -87,6 +87,13 @@ def _revision(spark, d):
     return at_revision(table(spark, d, "events"), "user_id", "event_id", 500).select("user_id", "event_id", "event_type")
 
 
+def _revision_whole(spark, d):
+    """At the revision halfway to the largest id."""
+    e = table(spark, d, "events")
+    half = (e.agg(F.max("event_id")).first()[0] or 0) // 2
+    return at_revision(e, "user_id", "event_id", half).select("user_id", "event_id", "event_type")
+
+
 def _forecast(spark, d):
     return forecast(table(spark, d, "documents").select("source", F.octet_length("text").alias("size")), "source", "size", 120_000)
 
@@ -103,6 +110,7 @@ select doc_id, case when h is null then 'new' when g is null then 'gone' when g
     "active_deadline": (_active, """
 with e as (select *, case when event_id % 2 = 0 then event_id - 40 end as replaces from events)
 select user_id, case when count(*) = 1 then 'active' else 'ambiguous' end as state, count(*) as n from e where event_id not in (select replaces from e where replaces is not null) group by user_id"""),
+    "revision_state_whole": (_revision_whole, None),
     "revision_state": (_revision, "select user_id, event_id, event_type from events where event_id <= 500 qualify row_number() over (partition by user_id order by event_id desc) = 1"),
     "storage_forecast": (_forecast, """
 with s as (select source, count(*) as files, sum(strlen(text))::bigint as bytes from documents group by source)

@@ -115,9 +115,13 @@ def _rerank(spark, d):
     return rerank(scored)
 
 
-def _df(spark, d):
+def _df_whole(spark, d):
+    return _df(spark, d, 1)
+
+
+def _df(spark, d, least: int = 5):
     words = passages(table(spark, d, "documents")).select("doc_id", "pos", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term"))
-    return words.groupBy("term").agg(F.count("*").alias("df")).filter("df >= 5")
+    return words.groupBy("term").agg(F.count("*").alias("df")).filter(F.col("df") >= least)
 
 
 def _lengths(spark, d):
@@ -164,6 +168,7 @@ select doc_id, pos, md5(coalesce(h, '')) as heading, md5(coalesce(b, '')) as bef
     "passage_rerank": (_rerank, _P + """, z as (select doc_id, pos, round(bm, 6) as score from k where round(bm, 6) > 0),
 r as (select *, row_number() over (partition by doc_id order by score desc, pos) - 1 as rank from z)
 select doc_id, round(max(score) + 0.25 * sum(case when rank < 3 then score end), 6) as doc_score, round(sum(score / (1 + 0.18 * rank)), 6) as reweighted, count(*) as passages from r group by doc_id"""),
+    "term_df_whole": (_df_whole, None),
     "term_df": (_df, r"""
 with line as (select unnest(string_split(text, chr(10))) as text from documents)
 select term, count(*) as df from (select unnest(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'))) as term from line) group by term having count(*) >= 5"""),

@@ -54,12 +54,17 @@ def _topology(spark, d):
     return _boxes(spark, d, "a").join(_boxes(spark, d, "b"), F.col("a_id") == F.col("b_id")).select("a_id", relation("a", "b").alias("relation"))
 
 
-def _overlaps(spark, d):
-    pairs = overlap_join(_boxes(spark, d, "a").filter("a_id % 5 = 0"), _boxes(spark, d, "b"), 25)
+def _overlaps_whole(spark, d):
+    return _overlaps(spark, d, "true")
+
+
+def _overlaps(spark, d, left: str = "a_id % 5 = 0"):
+    pairs = overlap_join(_boxes(spark, d, "a").filter(left), _boxes(spark, d, "b"), 25)
     return pairs.withColumn("relation", relation("a", "b")).filter("relation != 'disjoint'").groupBy("relation").agg(F.count("*").alias("pairs"))
 
 
 QUERIES = {
     "box_topology": (_topology, f"{_BOXES} select a_id, {_REL} as relation from a join b on a_id = b_id"),
+    "box_overlap_join_whole": (_overlaps_whole, None),
     "box_overlap_join": (_overlaps, f"{_BOXES} select relation, count(*) as pairs from (select {_REL} as relation from a, b where a_id % 5 = 0) where relation != 'disjoint' group by relation"),
 }

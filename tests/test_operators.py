@@ -1,6 +1,8 @@
 """Edge cases of the operators on hand-made tables."""
 
 import itertools
+import random
+from collections import Counter
 
 import pytest
 from hypothesis import given, settings
@@ -155,6 +157,27 @@ def test_whole_texts_decide_matches(spark, tmp_path):
     assert {tuple(r) for r in got} == {(i, min(h), len(h)) for i, h in want.items() if h}
 
 
+def test_whole_tables_are_read(spark, tmp_path):
+    rng = random.Random(5)
+    put = lambda name, rows, schema: spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+    run = lambda module, name: [tuple(r) for r in module.QUERIES[name][0](spark, str(tmp_path)).collect()]
+    kinds = ["click", "view", "purchase", "refund"]
+    log = [(i, rng.randrange(80), rng.choice(kinds), rng.choice("ab")) for i in range(1, 1301)]
+    put("events", [(i, u, t, f'{{"k": "{k}"}}') for i, u, t, k in log], "event_id long, user_id long, event_type string, props string")
+    coded = {(u, t): ",".join(sorted({k for _, v, s, k in log if (v, s) == (u, t)})) for u in {r[1] for r in log} for t in kinds}
+    assert sorted(run(records, "dimension_pivot_whole")) == sorted((u, t, "coded" if v else "not_coded_unknown", v) for (u, t), v in coded.items())
+    assert sorted(run(refresh, "revision_state_whole")) == sorted((u, i, t) for u, (i, t) in {u: (i, t) for i, u, t, _ in log if i <= 650}.items())
+    sizes = {k: rng.randint(1, 50) for k in range(1, 121)}
+    put("part", list(sizes.items()), "p_partkey long, p_size int")
+    box = lambda k, fx, fy: (k * fx % 1000, k * fx % 1000 + sizes[k], k * fy % 1000, k * fy % 1000 + 2 * sizes[k])
+    pairs = Counter(brute_relation(box(a, 37, 91), box(b, 53, 29)) for a in sizes for b in sizes)
+    assert dict(run(spatial, "box_overlap_join_whole")) == {k: n for k, n in pairs.items() if k != "disjoint"}
+    put("documents", [(1, "once twice\ntwice twice", "en", "s"), (2, "rare", "en", "s")], "doc_id long, text string, lang string, source string")
+    assert dict(run(retrieval, "term_df_whole")) == {"once": 1, "twice": 2, "rare": 1}
+    put("supplier", [(k,) for k in range(1, 150)], "s_suppkey long")
+    assert {r[0] for r in run(graph, "supersession_tips_whole")} == set(range(1, 150)) - {(k * 3 + 1) % 97 for k in range(1, 150)}
+
+
 def test_citation_counts_scan_whole_texts(spark, tmp_path):
     late = "words " * 30
     texts = [late + "see 25 U.S.C. 450 and 40 CFR 1502.4", late + "88 Stat. 2203 " + late + "61 FR 18840 ", "", None, "515 U.S. 277, " + late]
