@@ -2,18 +2,22 @@
 
 Each text gives two histograms: code points by class (lower-case letters and digits with all
 non-ASCII characters, upper-case letters, white space, everything else) and words by a list of
-common words of the reference languages (one bin each, one for all others). A language's reference
-is the sum of the histograms of all its texts that pass the fixed rules. A text is kept if, for
-both histograms, its Jensen-Shannon distance to the nearest language's reference is small enough;
-histograms below a minimum length are not judged. All of it is DataFrame functions.
+common words (one bin each, one for all others). A language's reference is the sum of the histograms
+of all its texts that pass the fixed rules. A text is kept if, for both histograms, its
+Jensen-Shannon distance to a reference is small enough; histograms below a minimum length are not
+judged. All of it is DataFrame functions.
 
-Null or empty text: no words, so it fails the fixed rules. Null or unlisted languages don't add to
-a reference; without any reference only the fixed rules decide. Repeated rows: a result each.
+The languages of COMMON share its words as bins, and the nearest of their references counts. Every
+other labelled language has its own OWN_BINS commonest words as bins and its own reference, both
+from all its texts that pass the fixed rules, if there are OWN_TEXTS of them.
+
+Null or empty text: no words, so it fails the fixed rules. Texts of a null language or of one without
+a reference are held to the fixed rules only. Repeated rows: a result each.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parchmint.llm.common import WORD
@@ -29,6 +33,8 @@ COMMON = {
 BINS = sorted({w for words in COMMON.values() for w in words.split()})
 #: Largest distances (base 2), and lengths below which a histogram isn't judged.
 MAX_CLASS, MAX_WORDS, MIN_CHARS, MIN_LETTER_WORDS = 0.11, 0.32, 200, 40
+#: Common words of any other language, and texts that it must have.
+OWN_BINS, OWN_TEXTS = 12, 50
 SYMBOLS = r"[^#*$%&|<>]+"
 #: All but upper-case letters; all but ASCII that is no letter, digit or white space; runs of letters in lower case.
 NOT_UPPER, NOT_OTHER, LETTERS = r"[^A-Z]+", r"[\x09-\x0D\x20-\x20A-Za-z0-9\x{80}-\x{10FFFF}]+", r"[^\x00-\x60\x7B-\x7F]+"
@@ -51,15 +57,39 @@ def repeated(tri: Column) -> Column:
     return F.when(F.size(F.array_distinct(tri)) == F.size(tri), 0).otherwise(let(F.array_sort(placed), covered))
 
 
-def features(docs: DataFrame, carry: bool = False) -> DataFrame:
-    """doc_id, lang, the fixed counts, base_failed, classes array<long>, words array<int>; row, if carried."""
+def own_bins(docs: DataFrame) -> DataFrame:
+    """lang, bins: the commonest words of each labelled language that isn't in COMMON."""
+    if "lang" not in docs.columns:
+        docs = docs.withColumn("lang", F.lit(None).cast("string"))
+    rows = features(docs.filter(other_language()), letter_words=True)
+    # Conditional, for the same reason as in ``references``.
+    rows = rows.select("lang", F.when(~F.col("base_failed"), F.col("lw")).alias("lw"))
+    words = rows.select("lang", F.explode(F.concat(F.array(F.lit("")), "lw")).alias("word"))  # the empty word counts texts
+    order = Window.partitionBy("lang").orderBy((F.col("word") != "").cast("int"), F.desc("n"), "word")
+    best = words.groupBy("lang", "word").agg(F.count("*").alias("n")).withColumn("place", F.row_number().over(order)).filter(F.col("place") <= OWN_BINS + 1)
+    made = best.groupBy("lang").agg(F.max(F.when(F.col("word") == "", F.col("n"))).alias("texts"), F.array_sort(F.collect_list(F.when(F.col("word") != "", F.col("word")))).alias("bins"))
+    return made.filter((F.col("texts") >= OWN_TEXTS) & (F.size("bins") == OWN_BINS)).select("lang", "bins")
+
+
+def other_language() -> Column:
+    return F.coalesce(~F.col("lang").cast("string").isin(*COMMON), F.lit(False))
+
+
+def features(docs: DataFrame, carry: bool = False, own: DataFrame | None = None, letter_words: bool = False) -> DataFrame:
+    """doc_id, lang, the fixed counts, base_failed, classes array<long>, words array<int>; row, if carried.
+
+    With the bins of ``own_bins`` also own_words array<int>, null for languages without bins.
+    """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     left = lambda pattern: F.length(F.regexp_replace("t", pattern, ""))  # noqa: E731  what is left without the pattern
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
     more = ["row"] if carry else []
+    bins = ["bins"] if own is not None else []
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), lang.alias("lang"), text.alias("t"), *([F.struct(*docs.columns).alias("row")] if carry else []))
+    if own is not None:
+        rows = rows.join(F.broadcast(own), "lang", "left")
     rows = rows.select(
-        "doc_id", "lang", *more, F.length("t").alias("n"), left(WORD).alias("blank"), left(NOT_UPPER).alias("upper"), left(NOT_OTHER).alias("other"), left(SYMBOLS).alias("n_symbols"),
+        "doc_id", "lang", *more, *bins, F.length("t").alias("n"), left(WORD).alias("blank"), left(NOT_UPPER).alias("upper"), left(NOT_OTHER).alias("other"), left(SYMBOLS).alias("n_symbols"),
         F.regexp_extract_all("t", F.lit(WORD), F.lit(0)).alias("w"),
         F.filter(F.split("t", "\n"), lambda x: x.rlike(WORD)).alias("lines"),
         F.regexp_extract_all(F.lower("t"), F.lit(LETTERS), F.lit(0)).alias("lw"),
@@ -75,10 +105,27 @@ def features(docs: DataFrame, carry: bool = False) -> DataFrame:
         repeated(F.col("tri")).cast("long").alias("n_repeat_words"),
         F.array(F.col("n") - F.col("blank") - F.col("upper") - F.col("other"), F.col("upper"), F.col("blank"), F.col("other")).cast("array<long>").alias("classes"),
         F.array(*(F.size("c") - F.size(F.array_remove("c", w)) for w in BINS), F.size("lw") - F.size("c")).alias("words"),
+        *([own_words().alias("own_words")] if own is not None else []), *(["lw"] if letter_words else []),
     )
     return rows.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
 
 
+def own_words() -> Column:
+    """Counts of a row's own bins, then of all other words."""
+    counts = lambda c: F.concat(F.transform("bins", lambda w: F.size(c) - F.size(F.array_remove(c, w))), F.array(F.size("lw") - F.size(c)))
+    return F.when(F.col("bins").isNotNull(), let(F.filter("lw", lambda x: F.array_contains("bins", x)), counts))
+
+
+def own_references(made: DataFrame) -> DataFrame:
+    """lang, own_class, own_word: distributions of the languages that have bins of their own."""
+    good = lambda x: F.coalesce(F.sum(F.when(~F.col("base_failed") & F.col("own_words").isNotNull(), x)), F.lit(0))
+    sums = lambda name, n: F.array(*(good(F.col(name)[i]) for i in range(n)))
+    rows = made.filter(other_language()).groupBy("lang").agg(sums("classes", 4).alias("c"), sums("own_words", OWN_BINS + 1).alias("w"))
+    total = lambda name: F.aggregate(F.col(name), F.lit(0).cast("long"), lambda a, x: a + x)
+    shares = lambda name: let(total(name).cast("double"), lambda n: F.transform(name, lambda x: x / n))
+    return rows.filter((total("c") > 0) & (total("w") > 0)).select("lang", shares("c").alias("own_class"), shares("w").alias("own_word"))
+
+
 def references(made: DataFrame) -> list[tuple[list[float], list[float]]]:
     """(class, word) distributions of each language, from all texts that pass the fixed rules.
 
@@ -96,11 +143,11 @@ def references(made: DataFrame) -> list[tuple[list[float], list[float]]]:
     return out
 
 
-def distance(counts: Column, reference: list[float]) -> Column:
+def distance(counts: Column, reference: list[float] | Column) -> Column:
     """Jensen-Shannon distance (base 2) of counts to a distribution."""
     half = lambda x, m: F.when(x > 0, x * F.log(x / m)).otherwise(0.0)
     total = F.aggregate(counts, F.lit(0).cast("long"), lambda a, x: a + x)
-    terms = lambda n: F.zip_with(counts, F.lit(reference), lambda x, q: let(x / n, lambda p: half(p, (p + q) / 2) + half(q, (p + q) / 2)))
+    terms = lambda n: F.zip_with(counts, reference if isinstance(reference, Column) else F.lit(reference), lambda x, q: let(x / n, lambda p: half(p, (p + q) / 2) + half(q, (p + q) / 2)))
     return let(total.cast("double"), lambda n: F.sqrt(F.greatest(F.aggregate(terms(n), F.lit(0.0), lambda a, x: a + x) / 2 / F.log(F.lit(2.0)), F.lit(0.0))))
 
 
@@ -113,13 +160,20 @@ def verdict(known: list[tuple[list[float], list[float]]]) -> Column:
         n = F.aggregate(F.col(name), F.lit(0).cast("long"), lambda a, x: a + x)
         return (n < least) | (F.least(*(distance(F.col(name), r[k]) for r in known), F.lit(2.0)) <= most)
 
-    return F.when(F.col("base_failed"), F.lit(False)).otherwise(near("classes", 0, MAX_CLASS, MIN_CHARS) & near("words", 1, MAX_WORDS, MIN_LETTER_WORDS))
+    def own(name: str, reference: str, most: float, least: int) -> Column:
+        n = F.aggregate(F.col(name), F.lit(0).cast("long"), lambda a, x: a + x)
+        return (n < least) | (distance(F.col(name), F.col(reference)) <= most)
+
+    listed = near("classes", 0, MAX_CLASS, MIN_CHARS) & near("words", 1, MAX_WORDS, MIN_LETTER_WORDS)
+    other = own("classes", "own_class", MAX_CLASS, MIN_CHARS) & own("own_words", "own_word", MAX_WORDS, MIN_LETTER_WORDS)
+    judged_ = F.when(F.col("lang").isin(*COMMON), listed).when(F.col("own_word").isNotNull(), other).otherwise(F.lit(True))
+    return F.when(F.col("base_failed"), F.lit(False)).otherwise(judged_)
 
 
 def judged(docs: DataFrame) -> DataFrame:
     """The fixed counts, base_failed and kept of every row; what is kept passes both."""
-    made = held(features(docs))
-    return made.select("doc_id", *FACTS, "base_failed", verdict(references(made)).alias("kept"))
+    made = held(features(docs, own=own_bins(docs)))
+    return made.join(F.broadcast(own_references(made)), "lang", "left").select("doc_id", *FACTS, "base_failed", verdict(references(made)).alias("kept"))
 
 
 def keep(docs: DataFrame) -> DataFrame:
@@ -128,5 +182,7 @@ def keep(docs: DataFrame) -> DataFrame:
     inline() of one row or none filters after the features are made; a filter's condition would be
     moved below them and make them over and over.
     """
-    known = references(features(docs))
-    return features(docs, carry=True).select(F.inline(F.when(verdict(known), F.array("row"))))
+    bins = held(own_bins(docs))
+    made = features(docs, own=bins)
+    known, own = references(made), held(own_references(made))
+    return features(docs, carry=True, own=bins).join(F.broadcast(own), "lang", "left").select(F.inline(F.when(verdict(known), F.array("row"))))

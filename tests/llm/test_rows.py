@@ -89,6 +89,19 @@ def test_quality_counts(spark):
     assert r["n_repeat_words"] == len(covered) and r["base_failed"] and not r["kept"]
 
 
+def test_quality_judges_each_language_by_its_own_texts(spark):
+    rng = random.Random(7)
+    common = "w i na z do nie jest to o od za po".split() * 2 + [f"słowo{chr(97 + i)}" for i in range(26)]
+    prose = lambda: " ".join(rng.choice(common) for _ in range(200)).capitalize() + "."
+    english = lambda: " ".join(rng.choice(quality.COMMON["en"].split() + [f"word{chr(97 + i)}" for i in range(26)]) for _ in range(200)) + "."
+    rows = [(i, english(), "en") for i in range(60)] + [(100 + i, prose(), "pl") for i in range(60)]
+    rows += [(200, " ".join(w + "###" for w in prose().split()), "pl"), (201, prose(), "xx"), (202, prose(), None), (203, "za mało", "pl")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = {r["doc_id"] for r in quality.judged(docs).collect() if r["kept"]}
+    assert kept == {r[0] for r in rows} - {200, 203}
+    assert {r["doc_id"] for r in quality.keep(docs).collect()} == kept
+
+
 def test_quality_tells_prose_from_symbols(spark):
     rng = random.Random(3)
     words = [w for w in quality.COMMON["en"].split()] * 3 + [f"word{chr(97 + i)}" for i in range(26)]
