@@ -29,11 +29,13 @@ def local_session(cores: str = "*", partitions: int = 8) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    A cluster names it in ``spark.checkpoint.dir``. Where that is unset (tests, one machine) a
-    temporary folder is made once and set for the session.
+    A cluster names it in ``spark.checkpoint.dir``. Where that is unset on one machine (tests) a
+    temporary folder is made once and set for the session; on a cluster it must be set.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="parchmint-")
         spark.sparkContext.setCheckpointDir(found)
         found = spark.sparkContext.getCheckpointDir() or found
@@ -64,10 +66,22 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
+_HELD: dict[str, list[DataFrame]] = {}
+
+
 def held(df: DataFrame) -> DataFrame:
     """Keep what ``df`` makes on the executors' disks; parts that are lost are made again.
 
     For tables that come straight from a scan. What must not change between runs of a task (made
-    ids) or would drag shuffles along is written by ``materialize``.
+    ids) or would drag shuffles along is written by ``materialize``. ``let_go`` frees what the
+    caller has not freed by ``unpersist``.
     """
-    return df.persist(StorageLevel.DISK_ONLY)
+    kept = df.persist(StorageLevel.DISK_ONLY)
+    _HELD.setdefault(df.sparkSession.sparkContext.applicationId, []).append(kept)
+    return kept
+
+
+def let_go(spark: SparkSession) -> None:
+    """Free all tables that ``held`` keeps: for the end of a job whose result has been written."""
+    for df in _HELD.pop(spark.sparkContext.applicationId, []):
+        df.unpersist()
