@@ -92,14 +92,6 @@ k as (select doc_id, pos, text, w, n, tf, len(list_filter(tf, lambda x: x > 0))
 """
 
 
-def _top(spark, d):
-    return search(passages(table(spark, d, "documents")), TERMS, 20).select("doc_id", "pos", "score")
-
-
-def _phrase(spark, d):
-    return search(passages(table(spark, d, "documents")), TERMS, 20, phrase=["mit", "license"]).select("doc_id", "pos", "score")
-
-
 def _all_terms(spark, d):
     return search(passages(table(spark, d, "documents")), ["license", "mit"], 50, all_terms=True).select("doc_id", "pos")
 
@@ -115,13 +107,9 @@ def _rerank(spark, d):
     return rerank(scored)
 
 
-def _df_whole(spark, d):
-    return _df(spark, d, 1)
-
-
-def _df(spark, d, least: int = 5):
+def _df(spark, d):
     words = passages(table(spark, d, "documents")).select("doc_id", "pos", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term"))
-    return words.groupBy("term").agg(F.count("*").alias("df")).filter(F.col("df") >= least)
+    return words.groupBy("term").agg(F.count("*").alias("df"))
 
 
 def _lengths(spark, d):
@@ -149,8 +137,6 @@ select word, case when regexp_matches(word, '^[a-z]{5,}$') then v else word end
 """
 
 QUERIES = {
-    "bm25_passage_topk": (_top, _P + "select doc_id, pos, round(bm + 1.25 * matched, 6) as score from k where matched > 0 order by score desc, doc_id, pos limit 20"),
-    "phrase_gate": (_phrase, _P + "select doc_id, pos, round(bm + 1.25 * matched + 4, 6) as score from k where matched > 0 and contains(' ' || array_to_string(w, ' ') || ' ', ' mit license ') order by score desc, doc_id, pos limit 20"),
     "all_terms_gate": (_all_terms, r"""
 with line as (select doc_id, unnest(string_split(text, chr(10))) as text, generate_subscripts(string_split(text, chr(10)), 1) - 1 as pos from documents),
 p as (select *, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') as w from line where regexp_matches(text, '[\p{L}\p{N}]')),
@@ -168,10 +154,9 @@ select doc_id, pos, md5(coalesce(h, '')) as heading, md5(coalesce(b, '')) as bef
     "passage_rerank": (_rerank, _P + """, z as (select doc_id, pos, round(bm, 6) as score from k where round(bm, 6) > 0),
 r as (select *, row_number() over (partition by doc_id order by score desc, pos) - 1 as rank from z)
 select doc_id, round(max(score) + 0.25 * sum(case when rank < 3 then score end), 6) as doc_score, round(sum(score / (1 + 0.18 * rank)), 6) as reweighted, count(*) as passages from r group by doc_id"""),
-    "term_df_whole": (_df_whole, None),
     "term_df": (_df, r"""
 with line as (select unnest(string_split(text, chr(10))) as text from documents)
-select term, count(*) as df from (select unnest(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'))) as term from line) group by term having count(*) >= 5"""),
+select term, count(*) as df from (select unnest(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'))) as term from line)  group by term"""),
     "doc_length_stats": (_lengths, r"""
 with line as (select lang, unnest(string_split(text, chr(10))) as text from documents)
 select lang, count(*) as passages, sum(len(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')))::bigint as words from line where regexp_matches(text, '[\p{L}\p{N}]') group by lang"""),
