@@ -1,15 +1,16 @@
-"""Legal citations, identifiers and typo-tolerant labels in texts."""
+"""Legal citations, identifiers and typed queries in texts."""
 
 from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parchmint.session import table
+from parchmint.session import ship, table
 
-#: Patterns of citations (fixed values), in order: what an earlier kind covers, a later one leaves.
+#: Patterns of citations (fixed values of public citation forms): title, number.
 PATTERNS = {
     "usc": r"\b(\d{1,2})\s+U\.?\s?S\.?\s?C\.?\s+(?:§+\s*)?(\d+[a-z]{0,2})",
     "cfr": r"\b(\d{1,2})\s+C\.?F\.?R\.?\s+(?:part\s+|§+\s*)?(\d+(?:\.\d+)?)",
@@ -18,19 +19,117 @@ PATTERNS = {
     "register": r"\b(\d{1,3})\s+F(?:ed)?\.?\s?R(?:eg)?\.?\s+(\d{1,6})",
     "reports": r"\b(\d{1,3})\s+U\.\s?S\.\s+(\d{1,4})",
     "rin": r"\b(\d{4})-([A-Z]{2}\d{2})\b",
+    "washington": r"\bRCW\s+(\d+[A-Z]?)\.(\d+[A-Z]?(?:\.\d+)?)",
+    "oregon": r"\bORS\s+(\d+[A-Z]?)\.(\d+)",
+    "idaho": r"\bIdaho\s+Code\s+§*\s*(\d+)-(\d+)",
+    "executive_order": r"\b(?:Executive|Exec\.)\s+(Order)\s+(?:No\.\s+)?(\d{4,5})\b",
+    "uslm_usc": r"/us/usc/t(\d+)/s(\d+[a-z]*)",
+    "uslm_public_law": r"/us/pl/(\d+)/(\d+)",
+    "uslm_statutes": r"/us/stat/(\d+)/(\d+)",
+    "uslm_cfr": r"/us/cfr/t(\d+)/(?:s|pt)(\d+(?:\.\d+)?)",
 }
 _RULES = {k: re.compile(p) for k, p in PATTERNS.items()}
+#: What continues a citation: further numbers of a list, the end of a range, "et seq.", "note".
+_MORE = re.compile(r"(?:,\s+(?:and\s+)?|\s+and\s+)(\d+[a-z]{0,2}(?:\.\d+)?)(?![\w.]*\s+(?:U\.?\s?S|C\.?F|Stat|F(?:ed)?\.?\s?R))")
+_TAIL = re.compile(r"\s*(?:[-–]|to)\s*(\d+[a-z]{0,2}(?:\.\d+)?)|\s+(et\s+seq\.|note\b)")
 
 
-def find(text: str | None) -> list[tuple[str, str, str, int, int]]:
-    """(kind, title, number, start, end) of a text's citations; of overlapping ones the longest stays."""
-    hits = [(k, m[1], m[2], m.start(), m.end()) for k, rule in _RULES.items() for m in rule.finditer(text or "")]
-    hits.sort(key=lambda h: (h[3] - h[4], h[3]))
-    kept: list[tuple[str, str, str, int, int]] = []
+def find(text: str | None) -> list[tuple[str, str, str, str, int, int]]:
+    """(kind, title, number, more, start, end) of a text's citations; of overlapping ones the longest stays.
+
+    ``more`` is the end of a range, "et seq." or "note". Numbers that a list adds to a code's or a
+    regulation's citation are citations of their own under its title.
+    """
+    text = text or ""
+    hits: list[tuple[str, str, str, str, int, int]] = []
+    for kind, rule in _RULES.items():
+        for m in rule.finditer(text):
+            tail = _TAIL.match(text, m.end()) if kind in ("usc", "cfr") else None
+            more, end = (tail[1] or re.sub(r"\s+", " ", tail[2]), tail.end()) if tail else ("", m.end())
+            hits.append((kind, m[1], m[2], more, m.start(), end))
+            while kind in ("usc", "cfr") and (x := _MORE.match(text, end)):
+                hits.append((kind, m[1], x[1], "", x.start(1), x.end(1)))
+                end = x.end()
+    hits.sort(key=lambda h: (h[4] - h[5], h[4]))
+    kept: list[tuple[str, str, str, str, int, int]] = []
     for h in hits:
-        if all(h[4] <= o[3] or o[4] <= h[3] for o in kept):
+        if all(h[5] <= o[4] or o[5] <= h[4] for o in kept):
             kept.append(h)
-    return sorted(kept, key=lambda h: h[3])
+    return sorted(kept, key=lambda h: h[4])
+
+
+def spans(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """key, kind, title, number, more, start, stop: a row for each citation."""
+    ship(rows.sparkSession)
+
+    @F.pandas_udf("array<struct<kind:string,title:string,number:string,more:string,start:int,stop:int>>")
+    def found(col: pd.Series) -> pd.Series:
+        names = ("kind", "title", "number", "more", "start", "stop")
+        return col.map(lambda t: [dict(zip(names, h)) for h in find(t)], na_action=None)
+
+    return rows.select(key, F.inline(found(F.col(text))))
+
+
+def parsed(text: Column) -> Column:
+    """struct(kind, title, number) of a text that is one citation and nothing else, or null."""
+    t, out = F.trim(text), None
+    for kind, p in PATTERNS.items():
+        whole = f"^(?:{p})$"
+        found = F.struct(F.lit(kind.removeprefix("uslm_")).alias("kind"), F.regexp_extract(t, whole, 1).alias("title"), F.regexp_extract(t, whole, 2).alias("number"))
+        out = F.when(t.rlike(whole), found) if out is None else out.when(t.rlike(whole), found)
+    return out
+
+
+def target(kind: Column, title: Column, number: Column) -> Column:
+    """What a citation points to, one form for all its spellings: sections by their base number."""
+    base = F.regexp_extract(number, r"^\d+", 0)
+    return (
+        F.when(kind == "usc", F.format_string("/us/usc/t%s/s%s", title, number))
+        .when(kind == "cfr", F.format_string("/us/cfr/t%s/pt%s", title, base))
+        .when(kind == "public_law", F.format_string("/us/pl/%s/%s", title, number))
+        .when(kind == "statutes", F.format_string("/us/stat/%s/%s", title, number))
+        .otherwise(F.concat_ws("/", F.lit(""), kind, title, number))
+    )
+
+
+def label(kind: Column, title: Column, number: Column) -> Column:
+    """A citation as it is shown."""
+    return (
+        F.when(kind == "usc", F.format_string("%s U.S.C. %s", title, number))
+        .when(kind == "cfr", F.format_string("%s CFR %s", title, number))
+        .when(kind == "public_law", F.format_string("Pub. L. %s-%s", title, number))
+        .when(kind == "statutes", F.format_string("%s Stat. %s", title, number))
+        .when(kind == "executive_order", F.concat(F.lit("Executive Order "), number))
+        .otherwise(F.concat_ws(" ", title, kind, number))
+    )
+
+
+def docket(text: Column) -> Column:
+    """struct(court, year, number) of a federal docket such as "1:24-cv-00123", or null."""
+    p = r"^(\d):(\d{2})-(cv|cr|mc)-(\d{5})$"
+    return F.when(F.trim(text).rlike(p), F.struct(F.regexp_extract(F.trim(text), p, 3).alias("court"), F.concat(F.lit("20"), F.regexp_extract(F.trim(text), p, 2)).alias("year"), F.regexp_extract(F.trim(text), p, 4).cast("int").alias("number")))
+
+
+def masked(text: Column, names: list[str]) -> Column:
+    """The text with each of the names (whole words, any case) as blanks of the same length; longer names win."""
+    pattern = re.compile(r"(?<!\w)(?:" + "|".join(re.escape(n) for n in sorted(names, key=lambda n: (-len(n), n))) + r")(?!\w)", re.I)
+    return F.pandas_udf(lambda col: col.map(lambda t: pattern.sub(lambda m: " " * len(m[0]), t), na_action="ignore"), "string", F.PandasUDFType.SCALAR)(text)
+
+
+def mask_spans(text: Column, names: list[str]) -> Column:
+    """array<struct<start, stop>> of the names in a text; spans with only white space between are one."""
+    pattern = re.compile(r"(?<!\w)(?:" + "|".join(re.escape(n) for n in sorted(names, key=lambda n: (-len(n), n))) + r")(?!\w)", re.I)
+
+    def one(t):
+        out: list[dict] = []
+        for m in pattern.finditer(t or ""):
+            if out and not t[out[-1]["stop"] : m.start()].strip():
+                out[-1]["stop"] = m.end()
+            else:
+                out.append({"start": m.start(), "stop": m.end()})
+        return out
+
+    return F.pandas_udf(lambda col: col.map(one, na_action=None), "array<struct<start:int,stop:int>>", F.PandasUDFType.SCALAR)(text)
 
 
 def counts(rows: DataFrame, text: str) -> DataFrame:
@@ -38,39 +137,38 @@ def counts(rows: DataFrame, text: str) -> DataFrame:
     return rows.withColumns({f"n_{k}": F.regexp_count(text, F.lit(p)).cast("long") for k, p in PATTERNS.items()})
 
 
-#: What a typed query may be, in the order in which readings are tried (fixed values).
+#: What a typed query may hold, in the order in which readings are tried (fixed values).
 ROUTES = {
-    "docket": r"(?i)^[a-z]{2,5}-\d{4}-\d{3,5}$",
-    "rin": r"^\d{4}-[A-Z]{2}\d{2}$",
-    "register_document": r"^\d{4}-\d{5}$",
-    "executive_order": r"(?i)^(?:e\.?o\.?|executive order)\s*\d{4,5}$",
-    "bill": r"(?i)^(?:h\.?\s?r\.?|s|hb|sb)\.?\s?\d{1,5}$",
+    "docket": r"(?i)\b[a-z]{2,5}-\d{4}-\d{3,5}\b",
     "citation": "|".join(f"(?:{p})" for p in list(PATTERNS.values())[:6]),
+    "court_docket": r"\b\d:\d{2}-(?:cv|cr|mc)-\d{5}\b",
+    "rin": r"\b\d{4}-[A-Z]{2}\d{2}\b",
+    "register_document": r"\b\d{4}-\d{5}\b",
+    "executive_order": r"(?i)\b(?:e\.?o\.?|executive order)\s*\d{4,5}\b",
+    "bill": r"(?i)\b(?:h\.?\s?r\.?|s|hb|sb)\.?\s?\d{1,5}\b",
 }
 
 
-def route(query):
-    """The kind of a query, or words."""
-    out = None
-    for kind, pattern in ROUTES.items():
-        test = F.trim(query).rlike(pattern)
-        out = F.when(test, kind) if out is None else out.when(test, kind)
-    return out.otherwise("words")
+def routed(query: Column) -> Column:
+    """struct(kind, rest, ambiguous) of a typed query: the first reading that claims a part of it.
 
+    Each reading sees what earlier ones left; ambiguous if a later one claims a part too. Nothing
+    claimed: words.
+    """
+    left, kinds = query, []
+    for kind, p in ROUTES.items():
+        kinds.append(F.when(left.rlike(p), F.lit(kind)))
+        left = F.regexp_replace(left, p, " ")
+    found = F.array_compact(F.array(*kinds))
+    return F.struct(F.coalesce(F.get(found, F.lit(0)), F.lit("words")).alias("kind"), F.trim(F.regexp_replace(left, r"\s+", " ")).alias("rest"), (F.size(found) > 1).alias("ambiguous"))
 
-def close_labels(typed: DataFrame, labels: DataFrame, k: int = 5) -> DataFrame:
-    """typed, label, edits: for each typed word the k closest labels within its budget.
 
-    Words under 4 letters or with digits allow no edits, under 8 one, others two. Only labels with
-    the same first letter and a length within the budget are compared.
-    """
-    budget = F.when(F.col("typed").rlike(r"\d") | (F.length("typed") < 4), 0).when(F.length("typed") < 8, 1).otherwise(2)
-    q = typed.select("typed", budget.alias("budget"), F.lower(F.substring("typed", 1, 1)).alias("first"))
-    q = q.withColumn("size", F.explode(F.sequence(F.length("typed") - F.col("budget"), F.length("typed") + F.col("budget"))))
-    names = labels.select("label", F.lower(F.substring("label", 1, 1)).alias("first"), F.length("label").alias("size")).distinct()
-    near = q.join(names, ["first", "size"]).withColumn("edits", F.levenshtein(F.lower("typed"), F.lower("label"))).filter("edits <= budget")
-    order = Window.partitionBy("typed").orderBy("edits", "label")
-    return near.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= k).select("typed", "label", "edits")
+#: What can be done with each reading (fixed values).
+ACTIONS = {"docket": "search_docket", "citation": "open_section", "court_docket": "open_case", "rin": "search_rin", "register_document": "open_document", "executive_order": "open_order", "bill": "open_bill", "words": "search_words"}
+
+
+def action(kind: Column) -> Column:
+    return F.element_at(F.create_map(*[F.lit(x) for pair in ACTIONS.items() for x in pair]), kind)
 
 
 def _planted(spark, d):
@@ -83,25 +181,60 @@ def _extract(spark, d):
     return counts(_planted(spark, d), "text").drop("whole", "text")
 
 
+#: What is planted behind the documents' texts: text, kind, title, number, more.
+_CITED = [
+    ("25 U.S.C. 450 et seq.", "usc", "25", "450", "et seq."), ("40 CFR 1502.4", "cfr", "40", "1502.4", ""), ("Pub. L. 93-638", "public_law", "93", "638", ""), ("88 Stat. 2203", "statutes", "88", "2203", ""),
+    ("61 FR 18840", "register", "61", "18840", ""), ("515 U.S. 277", "reports", "515", "277", ""), ("RIN 1076-AF18", "rin", "1076", "AF18", ""), ("RCW 43.376.020", "washington", "43", "376.020", ""),
+    ("ORS 182.164", "oregon", "182", "164", ""), ("Idaho Code 67-4001", "idaho", "67", "4001", ""), ("Executive Order 13175", "executive_order", "Order", "13175", ""), ("see /us/usc/t25/s5301", "uslm_usc", "25", "5301", ""),
+]
+
+
+def _spans(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", F.concat_ws(" ", "text", F.element_at(F.array(*(F.lit(x[0]) for x in _CITED)), (F.col("doc_id") % len(_CITED) + 1).cast("int"))).alias("text"))
+    return spans(docs, "doc_id", "text").select("doc_id", "kind", "title", "number", "more", (F.col("stop") - F.col("start")).alias("length"))
+
+
+def _parsed(spark, d):
+    k = F.col("o_orderkey")
+    forms = [F.concat((k % 50).cast("string"), F.lit(" U.S.C. "), k.cast("string"), F.lit("a")), F.concat(F.lit("  40 CFR part "), k.cast("string"), F.lit(" ")), F.concat(F.lit("/us/pl/93/"), (k % 900).cast("string")), F.concat(F.lit("see 40 CFR "), k.cast("string")), F.concat(F.lit("88 Stat. "), k.cast("string"))]
+    rows = table(spark, d, "orders").select("o_orderkey", parsed(F.element_at(F.array(*forms), (k % 5 + 1).cast("int"))).alias("p"))
+    return rows.select("o_orderkey", "p.kind", target(F.col("p.kind"), F.col("p.title"), F.col("p.number")).alias("target"), label(F.col("p.kind"), F.col("p.title"), F.col("p.number")).alias("label"))
+
+
 def _routes(spark, d):
-    forms = ["EPA-2023-0123", "1076-AF18", "2024-12345", "EO 13175", "H.R. 1234", "25 U.S.C. 450", "tribal lands"]
-    return table(spark, d, "orders").select("o_orderkey", route(F.element_at(F.array(*map(F.lit, forms)), (F.col("o_orderkey") % 7 + 1).cast("int"))).alias("kind"))
+    k = F.col("o_orderkey").cast("string")
+    n = F.lpad(F.col("o_orderkey") % 100_000, 5, "0")
+    forms = [F.concat(F.lit("EPA-2023-"), n), F.concat(F.lit("about 1076-AF"), F.lpad(F.col("o_orderkey") % 100, 2, "0")), F.concat(F.lit("2024-"), n), F.concat(F.lit("EO 1"), F.lpad(F.col("o_orderkey") % 10_000, 4, "0"), F.lit(" lands")), F.concat(F.lit("H.R. "), (F.col("o_orderkey") % 9999 + 1).cast("string"), F.lit(" and 25 U.S.C. 450")), F.concat(F.lit("1:24-cv-"), n), F.concat(F.lit("tribal lands of"), F.regexp_replace(k, ".", " x"))]
+    rows = table(spark, d, "orders").select("o_orderkey", routed(F.element_at(F.array(*forms), (F.col("o_orderkey") % 7 + 1).cast("int"))).alias("r"))
+    return rows.select("o_orderkey", "r.kind", "r.ambiguous", action(F.col("r.kind")).alias("action"))
+
+
+def _dockets(spark, d):
+    k = F.col("o_orderkey")
+    text = F.concat(F.lit("1:"), F.lpad(k % 30, 2, "0"), F.when(k % 3 == 0, "-cv-").when(k % 3 == 1, "-cr-").otherwise("-xx-"), F.lpad(k % 100_000, 5, "0"))
+    return table(spark, d, "orders").select("o_orderkey", docket(text).alias("x")).select("o_orderkey", "x.court", "x.year", "x.number")
 
 
-def _labels(spark, d):
-    names = table(spark, d, "nation").select(F.col("n_name").alias("label"))
-    typed = table(spark, d, "nation").select(F.concat(F.substring("n_name", 1, 3), F.expr("substring(n_name, 5)")).alias("typed"))
-    return close_labels(typed.filter("length(typed) > 2"), names)
+def _masked(spark, d):
+    c = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    text = F.concat(F.lit("lands of "), F.lower("n_name"), F.lit(" "), F.col("n_name"), F.lit(" and "), F.col("n_name"), F.lit("x"))
+    names = [r["n_name"] for r in table(spark, d, "nation").select("n_name").collect()]  # the list of protected names: a request's parameter
+    found = mask_spans(text, names)
+    return c.select("c_custkey", F.md5(masked(text, names)).alias("masked"), F.size(found).alias("spans"), F.array_max(F.transform(found, lambda s: s.stop)).alias("upto"))
 
 
 QUERIES = {
     "citation_counts": (_extract, r"""
-with t as (select doc_id, text[1:60] || [' 25 U.S.C. 450', ' 40 CFR 1502.4', ' Pub. L. 93-638', ' 88 Stat. 2203', ' 61 FR 18840', ' 515 U.S. 277', ' 1076-AF18'][1 + doc_id % 7] as text from documents)
+with t as (select doc_id, text || [' 25 U.S.C. 450', ' 40 CFR 1502.4', ' Pub. L. 93-638', ' 88 Stat. 2203', ' 61 FR 18840', ' 515 U.S. 277', ' 1076-AF18'][1 + doc_id % 7] as text from documents)
 select doc_id, """ + ", ".join(f"len(regexp_extract_all(text, '{p}'))::bigint as n_{k}" for k, p in PATTERNS.items()) + " from t"),
-    "query_route": (_routes, "select o_orderkey, ['docket', 'rin', 'register_document', 'executive_order', 'bill', 'citation', 'words'][1 + o_orderkey % 7] as kind from orders"),
-    "fuzzy_label": (_labels, """
-with t as (select distinct n_name[1:3] || n_name[5:] as typed from nation), c as (
-  select typed, n_name as label, levenshtein(lower(typed), lower(n_name)) as edits from t join (select distinct n_name from nation) on lower(typed[1:1]) = lower(n_name[1:1])
-  where length(typed) > 2), b as (select *, case when regexp_matches(typed, '[0-9]') or length(typed) < 4 then 0 when length(typed) < 8 then 1 else 2 end as budget from c)
-select typed, label, edits from b where edits <= budget qualify row_number() over (partition by typed order by edits, label) <= 5"""),
+    "citation_spans": (_spans, "with c as (select * from (values " + ", ".join(f"({i}, '{x[1]}', '{x[2]}', '{x[3]}', '{x[4]}', {len(x[0].removeprefix('see ').removeprefix('RIN '))})" for i, x in enumerate(_CITED)) + f") t(i, kind, title, number, more, length)) select doc_id, kind, title, number, more, length from documents join c on i = doc_id % {len(_CITED)}"),
+    "exact_citations": (_parsed, """
+select o_orderkey, case o_orderkey % 5 when 0 then 'usc' when 1 then 'cfr' when 2 then 'public_law' when 4 then 'statutes' end as kind,
+  case o_orderkey % 5 when 0 then '/us/usc/t' || o_orderkey % 50 || '/s' || o_orderkey || 'a' when 1 then '/us/cfr/t40/pt' || o_orderkey when 2 then '/us/pl/93/' || o_orderkey % 900 when 4 then case when o_orderkey < 100000 then '/us/stat/88/' || o_orderkey end else '' end as target,
+  case o_orderkey % 5 when 0 then o_orderkey % 50 || ' U.S.C. ' || o_orderkey || 'a' when 1 then '40 CFR ' || o_orderkey when 2 then 'Pub. L. 93-' || o_orderkey % 900 when 4 then '88 Stat. ' || o_orderkey else '' end as label from orders"""),
+    "query_route": (_routes, """
+with k as (select o_orderkey, ['docket', 'rin', 'register_document', 'executive_order', 'citation', 'court_docket', 'words'][1 + o_orderkey % 7] as kind from orders)
+select o_orderkey, kind, kind = 'citation' as ambiguous, case kind when 'docket' then 'search_docket' when 'rin' then 'search_rin' when 'register_document' then 'open_document' when 'executive_order' then 'open_order' when 'citation' then 'open_section' when 'court_docket' then 'open_case' else 'search_words' end as action from k"""),
+    "court_dockets": (_dockets, "select o_orderkey, case o_orderkey % 3 when 0 then 'cv' when 1 then 'cr' end as court, case when o_orderkey % 3 < 2 then '20' || lpad((o_orderkey % 30)::varchar, 2, '0') end as year, case when o_orderkey % 3 < 2 then (o_orderkey % 100000)::int end as number from orders"),
+    "name_mask": (_masked, "select c_custkey, md5('lands of ' || repeat(' ', length(n_name)) || ' ' || repeat(' ', length(n_name)) || ' and ' || n_name || 'x') as masked, 1 as spans, 10 + 2 * length(n_name) as upto from customer join nation on c_nationkey = n_nationkey"),
 }
