@@ -84,8 +84,8 @@ def passages_within(docs: DataFrame, items: DataFrame) -> DataFrame:
     inner = F.transform(F.regexp_extract_all("text", F.lit(r"(?<=\s)\S+(?=\s)"), F.lit(0)), lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))
     keys = items.select("item_id", F.col("text").alias("passage"), F.array_max(inner)["w"].alias("word")).filter("length(passage) > 0").distinct()
     words = docs.select("doc_id", "text", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0)))).alias("word"))
-    hits = words.join(F.broadcast(keys.filter("word is not null")), "word").filter("contains(text, passage)").select("item_id", "doc_id")
-    rest = docs.join(F.broadcast(keys.filter("word is null")), F.expr("contains(text, passage)")).select("item_id", "doc_id")
+    hits = words.join(keys.filter("word is not null"), "word").filter("contains(text, passage)").select("item_id", "doc_id")
+    rest = docs.join(keys.filter("word is null"), F.expr("contains(text, passage)")).select("item_id", "doc_id")
     return hits.unionByName(rest)
 
 
@@ -142,44 +142,30 @@ def _why(spark, d):
 def _layers(spark, d):
     c = table(spark, d, "customer").select("c_custkey", "c_nationkey", "c_mktsegment", "c_acctbal")
     n = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    in_region = c.join(F.broadcast(n.filter("r_name = 'ASIA'")), F.col("c_nationkey") == F.col("n_nationkey"), "left_semi")
+    in_region = c.join(n.filter("r_name = 'ASIA'"), F.col("c_nationkey") == F.col("n_nationkey"), "left_semi")
     return union_match([("region", in_region), ("nation", c.filter("c_nationkey in (3, 8)")), ("segment", c.filter("c_mktsegment = 'MACHINERY'")), ("rich", c.filter("c_acctbal > 9000"))], "c_custkey")
 
 
 def _subjects(spark, d):
     rules = spark.createDataFrame([("BUILDING", "housing"), ("BUILDING", "land"), ("MACHINERY", "industry"), ("HOUSEHOLD", "housing")], "label string, topic string")
     c = table(spark, d, "customer")
-    return c.join(F.broadcast(rules), c["c_mktsegment"] == rules["label"]).select("c_custkey", "topic").distinct()
+    return c.join(rules, c["c_mktsegment"] == rules["label"]).select("c_custkey", "topic").distinct()
 
 
 def _unclassified(spark, d):
     rules = spark.createDataFrame([("BUILDING",), ("MACHINERY",), ("HOUSEHOLD",)], "label string")
     c = table(spark, d, "customer")
-    return c.join(F.broadcast(rules), c["c_mktsegment"] == rules["label"], "left_anti").select("c_custkey", "c_mktsegment")
+    return c.join(rules, c["c_mktsegment"] == rules["label"], "left_anti").select("c_custkey", "c_mktsegment")
 
 
-def _merge_whole(spark, d):
-    return _merge(spark, d, text_key("text"))
-
-
-def _merge(spark, d, match=None):
+def _merge(spark, d):
     docs = table(spark, d, "documents")
     rank = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
-    match = F.when(F.length("text") >= 100, F.md5(F.substring(F.lower("text"), 1, 100))) if match is None else match
-    rows = docs.select(F.col("doc_id").cast("string").alias("listing"), "source", F.substring("source", 4, 9).cast("int").alias("precedence"), rank.alias("rank"), match.alias("match"))
+    rows = docs.select(F.col("doc_id").cast("string").alias("listing"), "source", F.substring("source", 4, 9).cast("int").alias("precedence"), rank.alias("rank"), text_key("text").alias("match"))
     return merge_listings(rows)
 
 
 def _places(spark, d):
-    docs, bench = table(spark, d, "documents"), table(spark, d, "benchmark")
-    keys = bench.select("item_id", F.substring("text", 1, 40).alias("lead")).filter(F.length("lead") == 40)
-    # Distinct 40-character leads are looked up by their first word, so texts are not compared with every item.
-    words = keys.withColumn("word", F.regexp_extract("lead", r"^\S+", 0))
-    hits = docs.select("doc_id", "text", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0)))).alias("word")).join(F.broadcast(words), "word").filter(F.expr("contains(text, lead)"))
-    return group_places(hits.select("item_id", "doc_id"), ["item_id"], "doc_id")
-
-
-def _places_whole(spark, d):
     return group_places(passages_within(table(spark, d, "documents"), table(spark, d, "benchmark")), ["item_id"], "doc_id")
 
 
@@ -188,13 +174,9 @@ def _diff(spark, d):
     return unique_changes(c.filter("conv_id % 2 = 0").select("text"), c.filter("conv_id % 2 = 1").select("text"), "text").select(F.md5("text").alias("text"), "change")
 
 
-def _pivot_whole(spark, d):
-    return _pivot(spark, d, "true")
-
-
-def _pivot(spark, d, users: str = "user_id < 40"):
+def _pivot(spark, d):
     e = table(spark, d, "events").select("user_id", "event_type", F.get_json_object("props", "$.k").alias("k"))
-    return dimension_pivot(e.filter(users), "user_id", "event_type", "k", ["click", "view", "purchase", "refund"])
+    return dimension_pivot(e, "user_id", "event_type", "k", ["click", "view", "purchase", "refund"])
 
 
 def _evidence(spark, d):
@@ -203,10 +185,6 @@ def _evidence(spark, d):
     return universal(rows, "o_orderkey", F.col("ok"))
 
 
-def _guard(spark, d):
-    return table(spark, d, "documents").select("doc_id", T.personal_hits(F.col("text")).cast("long").alias("hits")).filter("hits > 0")
-
-
 def _scalars(spark, d):
     rows = table(spark, d, "customer")
     return rows.select("c_custkey", T.squash(F.col("c_name")).alias("squashed"), T.formula_safe(F.concat(F.when(F.col("c_custkey") % 3 == 0, "=").otherwise(""), "c_name")).alias("cell"), T.base64url(F.col("c_name")).alias("token"), T.public_message(F.concat(F.lit("see https://x.org/a?b=1 "), "c_name")).alias("message"), T.byte_slice(F.col("c_name"), F.lit(2), F.lit(6)).alias("slice"))
@@ -224,25 +202,19 @@ select c_custkey, string_agg(layer, ',' order by layer) as basis from m group by
     "subject_mapping": (_subjects, "select distinct c_custkey, topic from customer join (values ('BUILDING', 'housing'), ('BUILDING', 'land'), ('MACHINERY', 'industry'), ('HOUSEHOLD', 'housing')) r(label, topic) on c_mktsegment = label"),
     "unclassified_anti": (_unclassified, "select c_custkey, c_mktsegment from customer where c_mktsegment not in ('BUILDING', 'MACHINERY', 'HOUSEHOLD')"),
     "rank_interleave_merge": (_merge, """
-with r as (select doc_id::varchar as listing, source[4:]::int as precedence, row_number() over (partition by source order by doc_id)::int as rank, case when length(text) >= 100 then md5(lower(text)[1:100]) end as m from documents),
+with r as (select doc_id::varchar as listing, source[4:]::int as precedence, row_number() over (partition by source order by doc_id)::int as rank, md5(trim(regexp_replace(lower(text), '\\s+', ' ', 'g'))) as m from documents),
 k as (select *, coalesce('match:' || m, 'listing:' || listing) as document from r)
 select document, min(rank) as rank, (min(struct_pack(a := precedence, b := rank, c := listing))).c as primary, count(*) - 1 as alternates from k group by document"""),
-    "rank_interleave_merge_whole": (_merge_whole, None),
-    "in_text_group_places_whole": (_places_whole, None),
-    "in_text_group_places": (_places, "select item_id, min(doc_id) as first, count(*) as places from documents d join (select item_id, text[1:40] as lead from benchmark where length(text) >= 40) b on contains(d.text, lead) group by item_id"),
+    "in_text_group_places": (_places, "select item_id, min(doc_id) as first, count(*) as places from documents d join (select distinct item_id, text from benchmark where length(text) > 0) b on contains(d.text, b.text) group by item_id"),
     "version_diff_unique_text": (_diff, """
 with a as (select text, count(*) as na from conversations where conv_id % 2 = 0 group by text), b as (select text, count(*) as nb from conversations where conv_id % 2 = 1 group by text)
 select md5(text) as text, case when nb is null then 'removed' when na is null then 'added' else 'kept' end as change from a full join b using (text) where coalesce(na, 0) <= 1 and coalesce(nb, 0) <= 1"""),
-    "dimension_pivot_whole": (_pivot_whole, None),
     "dimension_pivot": (_pivot, """
-with e as (select user_id, event_type, json_extract_string(props, '$.k') as k from events where user_id < 40),
+with e as (select user_id, event_type, json_extract_string(props, '$.k') as k from events),
 c as (select user_id, event_type, string_agg(distinct k, ',' order by k) as v from e group by all),
 x as (select user_id, unnest(['click', 'view', 'purchase', 'refund']) as event_type from (select distinct user_id from e))
 select user_id, event_type, case when v is null then 'not_coded_unknown' else 'coded' end as state, coalesce(v, '') as values from x left join c using (user_id, event_type)"""),
     "universal_evidence_join": (_evidence, "select o_orderkey, bool_and(l_orderkey is null or l_shipdate <= timestamp '1997-01-01') as holds from orders left join lineitem on o_orderkey = l_orderkey group by o_orderkey"),
-    "pii_guard": (_guard, r"""
-select doc_id, hits from (select doc_id, (len(regexp_extract_all(text, '(?i)[A-Z0-9.!#$%&''*+/=?^_`{|}~-]+@[A-Z0-9-]+(?:\.[A-Z0-9-]+)+')) + len(regexp_extract_all(text, '(?:\+?1[ .-]?)?(?:\(\d{3}\)[ .-]?|\b\d{3}[ .-])\d{3}[ .-]\d{4}\b'))
- + len(regexp_extract_all(text, '\b(?:(?:Mrs|Mr|Ms|Mx)\.?|(?:Dr|Hon)\.)\s+[A-Z][A-Za-z''-]+')))::bigint as hits from documents) where hits > 0"""),
     "scalar_text_functions": (_scalars, r"""
 select c_custkey, array_to_string(regexp_extract_all(lower(c_name), '[\p{L}\p{N}]+'), '') as squashed, case when c_custkey % 3 = 0 then '''=' || c_name else c_name end as cell,
  rtrim(translate(base64(encode(c_name)), '+/', '-_'), '=') as token, 'see [source] ' || c_name as message, c_name[3:6] as slice from customer"""),

@@ -15,6 +15,11 @@ from parchmint.session import table
 REASONS = ("not_yet_observed_in_corpus", "unknown_source_availability", "future_source_version", "partial_date_crosses_cutoff", "no_source_effective_event_by_cutoff", "later_source_repeal_or_withdrawal_event")
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once a row and not copied into every place that names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def lower_bound(value: Column, precision: Column) -> Column:
     """First instant of a date; null if unknown or malformed."""
     full = F.when(precision == "year", F.concat(value, F.lit("-01-01"))).when(precision == "month", F.concat(value, F.lit("-01"))).when(precision == "day", value)
@@ -28,6 +33,16 @@ def upper_bound(value: Column, precision: Column) -> Column:
     return F.timestamp_millis(F.unix_millis(end.cast("timestamp")) - 1)
 
 
+def date_bounds(value: Column, precision: Column) -> Column:
+    """struct(low, high) of a date: the text is read once."""
+
+    def both(low: Column) -> Column:
+        end = F.when(precision == "year", F.add_months(low, 12)).when(precision == "month", F.add_months(low, 1)).when(precision == "day", F.date_add(low, 1))
+        return F.struct(low.alias("low"), F.timestamp_millis(F.unix_millis(end.cast("timestamp")) - 1).alias("high"))
+
+    return let(lower_bound(value, precision), both)
+
+
 def cutoff(value: str) -> Column:
     """The instant up to which things count: a bare day means its end."""
     return F.lit(f"{value} 23:59:59.999" if len(value) == 10 else value).cast("timestamp")
@@ -46,7 +61,6 @@ def as_of(versions: DataFrame, events: DataFrame, when: str, basis: str) -> Data
     """
     limit = cutoff(when)
     known = events.filter(F.col("high") <= limit).groupBy("version").agg(
-        F.max(F.when(F.col("type") == "effective", F.col("low"))).alias("e_low"),
         F.max(F.when(F.col("type") == "effective", F.col("high"))).alias("e_high"),
         F.max(F.when(F.col("type").isin("repealed", "withdrawn"), F.col("low"))).alias("r_low"),
     )
@@ -55,13 +69,17 @@ def as_of(versions: DataFrame, events: DataFrame, when: str, basis: str) -> Data
         low = high = F.col("observed")
     else:
         low, high = later(F.col("p_low"), F.col("v_low")), later(F.col("p_high"), F.col("v_high"))
-    rows = rows.withColumns({"lower": low, "upper": high})
-    reason = F.when((F.col("observed") > limit) & F.lit(basis == "corpus_observed"), REASONS[0]).when(F.col("upper").isNull(), REASONS[1]).when(F.col("lower") > limit, REASONS[2]).when(F.col("upper") > limit, REASONS[3])
+
+    def judged(span: Column) -> Column:
+        reason = F.when((F.col("observed") > limit) & F.lit(basis == "corpus_observed"), REASONS[0]).when(span.upper.isNull(), REASONS[1]).when(span.lower > limit, REASONS[2]).when(span.upper > limit, REASONS[3])
+        if basis == "source_effective":
+            reason = reason.when(F.col("e_high").isNull(), REASONS[4]).when(F.col("r_low") >= F.col("e_high"), REASONS[5])
+        return F.struct(span.lower.alias("lower"), span.upper.alias("upper"), reason.alias("reason"))
+
+    # The interval is made once a row; inlined into every reason it would outgrow a generated method.
+    rows = rows.withColumn("__j", let(F.struct(low.alias("lower"), high.alias("upper")), judged)).select("*", "__j.*")
     if basis == "source_effective":
-        reason = reason.when(F.col("e_high").isNull(), REASONS[4]).when(F.col("r_low") >= F.col("e_high"), REASONS[5])
-        rows = rows.withColumn("reason", reason).withColumns({"lower": F.col("e_low"), "upper": F.col("e_high")})
-    else:
-        rows = rows.withColumn("reason", reason)
+        rows = rows.withColumns({"lower": F.col("e_high"), "upper": F.col("e_high")})  # the latest event's last instant: dates that overlap it are no tie
     return rows.select("work", "version", "lower", "upper", "reason")
 
 
@@ -113,14 +131,19 @@ def _orders(spark, d):
     precision = F.when(kind == 0, "day").when(kind == 1, "month").when(kind == 2, "year").otherwise("unknown")
     day = F.date_format("o_orderdate", "yyyy-MM-dd")
     o = o.withColumn("precision", precision).withColumn("value", F.when(F.col("precision") == "day", day).when(F.col("precision") == "month", F.substring(day, 1, 7)).when(F.col("precision") == "year", F.substring(day, 1, 4)))
-    low, high = lower_bound(F.col("value"), F.col("precision")), upper_bound(F.col("value"), F.col("precision"))
-    return o.select(F.col("o_custkey").alias("work"), F.col("o_orderkey").alias("version"), F.date_add("o_orderdate", 30).cast("timestamp").alias("observed"), "value", "precision", low.alias("p_low"), high.alias("p_high"), F.lit(None).cast("timestamp").alias("v_low"), F.lit(None).cast("timestamp").alias("v_high"))
+    none = F.lit(None).cast("timestamp")
+    o = o.select(F.col("o_custkey").alias("work"), F.col("o_orderkey").alias("version"), F.date_add("o_orderdate", 30).cast("timestamp").alias("observed"), "value", "precision", date_bounds(F.col("value"), F.col("precision")).alias("b"))
+    return o.select("work", "version", "observed", "value", "precision", F.col("b.low").alias("p_low"), F.col("b.high").alias("p_high"), none.alias("v_low"), none.alias("v_high"))
 
 
 def _events(spark, d):
+    """Lines as events, dated by day, month or year in turn."""
     kind = F.when(F.col("l_returnflag") == "A", "effective").when(F.col("l_returnflag") == "R", "repealed").otherwise("published")
-    low = F.date_trunc("day", "l_shipdate")
-    return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("version"), kind.alias("type"), low.alias("low"), F.timestamp_millis(F.unix_millis(F.date_add(low, 1).cast("timestamp")) - 1).alias("high"))
+    n = F.col("l_linenumber") % 3
+    precision = F.when(n == 0, "day").when(n == 1, "month").otherwise("year")
+    value = F.substring(F.date_format("l_shipdate", "yyyy-MM-dd"), F.lit(1), F.when(n == 0, 10).when(n == 1, 7).otherwise(4))
+    rows = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("version"), kind.alias("type"), date_bounds(value, precision).alias("b"))
+    return rows.select("version", "type", F.col("b.low").alias("low"), F.col("b.high").alias("high"))
 
 
 _CUT = "1996-06-30"
@@ -131,7 +154,8 @@ v as (select *, case precision when 'day' then day when 'month' then day[1:7] wh
   case precision when 'day' then day::timestamp when 'month' then date_trunc('month', day::timestamp) when 'year' then date_trunc('year', day::timestamp) end as p_low from o),
 b as (select *, p_low + case precision when 'day' then interval 1 day when 'month' then interval 1 month when 'year' then interval 1 year end - interval 1 millisecond as p_high from v),
 e as (select l_orderkey as version, case l_returnflag when 'A' then 'effective' when 'R' then 'repealed' else 'published' end as type,
-  date_trunc('day', l_shipdate)::timestamp as low, date_trunc('day', l_shipdate)::timestamp + interval 1 day - interval 1 millisecond as high from lineitem),
+  date_trunc(['day', 'month', 'year'][1 + l_linenumber % 3], l_shipdate)::timestamp as low,
+  date_trunc(['day', 'month', 'year'][1 + l_linenumber % 3], l_shipdate)::timestamp + case l_linenumber % 3 when 0 then interval 1 day when 1 then interval 1 month else interval 1 year end - interval 1 millisecond as high from lineitem),
 """
 
 
@@ -144,9 +168,9 @@ def _judged_sql(basis: str) -> str:
     reason += f" when {high} is null then '{REASONS[1]}' when {low} > {cut} then '{REASONS[2]}' when {high} > {cut} then '{REASONS[3]}'"
     if basis == "source_effective":
         reason += f" when e_high is null then '{REASONS[4]}' when r_low >= e_high then '{REASONS[5]}'"
-        low, high = "e_low", "e_high"
+        low, high = "e_high", "e_high"
     return _DATES + f"""
-k as (select version, max(case when type = 'effective' then low end) as e_low, max(case when type = 'effective' then high end) as e_high, max(case when type = 'repealed' then low end) as r_low from e where high <= {cut} group by version),
+k as (select version, max(case when type = 'effective' then high end) as e_high, max(case when type = 'repealed' then low end) as r_low from e where high <= {cut} group by version),
 j as (select work, b.version, {low} as lower_, {high} as upper_, {reason} end as reason from b left join k using (version))
 """
 
