@@ -15,7 +15,7 @@ def plan(searches: DataFrame, sources: DataFrame, budget: int) -> DataFrame:
     Lanes of one text and source are one. The first ``budget`` in order run, later ones wait. Both
     tables are requests, a few rows each.
     """
-    lanes = searches.join(F.broadcast(sources), "kind").withColumn("lane", F.concat_ws("|", "source", "kind", F.lower("text")))
+    lanes = searches.join(sources, "kind").withColumn("lane", F.concat_ws("|", "source", "kind", F.lower("text")))
     once = lanes.groupBy("lane").agg(F.min("position").alias("position"), F.min("source").alias("source"), F.min("precedence").alias("precedence"))
     rank = F.row_number().over(Window.orderBy("position", "precedence", "lane"))
     return once.select("lane", "source", F.when(rank <= budget, "run").otherwise("over_budget").alias("state"))
@@ -46,6 +46,43 @@ def blockers(sources: DataFrame, checks: dict) -> DataFrame:
     return sources.withColumn("blockers", F.array_join(found, ",")).withColumn("usable", F.size(found) == 0)
 
 
+def exact_or_unknown(listings: DataFrame, lane: str, exact, complete: str) -> DataFrame:
+    """lane, kept, left_out, state: an exact match behind a loose search; without one, unknown where the answer was only a part."""
+    n = listings.groupBy(lane).agg(F.count_if(F.coalesce(exact, F.lit(False))).alias("kept"), F.count_if(~F.coalesce(exact, F.lit(False))).alias("left_out"), F.bool_and(complete).alias("__all"))
+    state = F.when(F.col("kept") > 0, "found").when(F.col("__all"), "none").otherwise("unknown")
+    return n.select(lane, "kept", "left_out", state.alias("state"))
+
+
+def shown_total(rows: DataFrame, total: str, listed: str, page: int, most: int = 10_000) -> DataFrame:
+    """Adds shown (a total from ``most`` on is a floor), unresolved (nothing listed though something is there) and capped (ten pages are listed)."""
+    return rows.withColumns({
+        "shown": F.when(F.col(total) >= most, F.concat(F.lit(str(most)), F.lit("+"))).otherwise(F.col(total).cast("string")),
+        "unresolved": (F.col(listed) == 0) & (F.coalesce(total, F.lit(1)) > 0),
+        "capped": F.col(listed) >= page * 10,
+    })
+
+
+def grouped(rows: DataFrame, section: str, order: list[str]) -> DataFrame:
+    """section, n, first: merged rows by section, with the one that stands first."""
+    return rows.groupBy(section).agg(F.count("*").alias("n"), F.min(F.struct(*order, "document")).alias("f")).select(section, "n", F.col("f.document").alias("first"))
+
+
+def split_range(days: int, count, limit: int) -> list[tuple[int, int]]:
+    """Ranges of days [first, last] with fewer than ``limit`` rows each: a full one is halved again and again, one day stands.
+
+    ``count`` says how many rows lie in a range; it runs on the driver, over the counts of days.
+    """
+    todo, done = [(0, days - 1)], []
+    while todo:
+        low, high = todo.pop()
+        if low == high or count(low, high) < limit:
+            done.append((low, high))
+        else:
+            mid = (low + high) // 2
+            todo += [(mid + 1, high), (low, mid)]
+    return done
+
+
 def continuation(rows: DataFrame, total: str, cap: int, page: int) -> DataFrame:
     """Adds paging: complete, cap, unknown or more."""
     state = F.when(F.col(total).isNull(), "unknown").when(F.col(total) <= page, "complete").when(F.col(total) > cap, "cap").otherwise("more")
@@ -62,11 +99,10 @@ def linked(rows: DataFrame, keys: list[str], targets: DataFrame, target: str) ->
     return out.withColumn("target", F.coalesce(*found)).drop(*(f"__t{i}" for i in range(len(keys))))
 
 
-def _listings(spark, d, match=None):
+def _listings(spark, d):
     docs = table(spark, d, "documents")
     rank = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
-    match = F.when(F.length("text") >= 100, F.md5(F.substring("text", 1, 100))) if match is None else match
-    return docs.select(F.col("doc_id").cast("string").alias("listing"), "source", "lang", F.substring("source", 4, 9).cast("int").alias("precedence"), rank.alias("rank"), match.alias("match"), F.concat_ws(":", "lang", "source").alias("lane"))
+    return docs.select(F.col("doc_id").cast("string").alias("listing"), "source", "lang", F.substring("source", 4, 9).cast("int").alias("precedence"), rank.alias("rank"), text_key("text").alias("match"), F.concat_ws(":", "lang", "source").alias("lane"))
 
 
 def _plan(spark, d):
@@ -83,15 +119,44 @@ def _reasons(spark, d):
     return with_reasons(_listings(spark, d))
 
 
-def _reasons_whole(spark, d):
-    return with_reasons(_listings(spark, d, text_key("text")))
-
-
 def _worst(spark, d):
     rows = table(spark, d, "orders").select("o_orderpriority", F.when(F.col("o_orderstatus") == "P", "partial").when(F.col("o_totalprice") > 450_000, "failed").otherwise("ok").alias("o"))
     return worst_outcome(rows, "o_orderpriority", "o")
 
 
+def _exact(spark, d):
+    rows = table(spark, d, "orders").select("o_custkey", (F.col("o_orderkey") % 8 == 0).alias("hit"), (F.col("o_custkey") % 3 > 0).alias("complete"))
+    return exact_or_unknown(rows, "o_custkey", F.col("hit"), "complete")
+
+
+def _totals(spark, d):
+    rows = table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.count("*").alias("n"))
+    rows = rows.select("l_suppkey", F.when(F.col("l_suppkey") % 7 > 0, F.col("n") * (F.col("l_suppkey") % 50)).alias("total"), F.when(F.col("l_suppkey") % 4 == 0, 0).otherwise(F.col("n")).alias("listed"))
+    return shown_total(rows, "total", "listed", 60).select("l_suppkey", "shown", "unresolved", "capped")
+
+
+def _grouped(spark, d):
+    listings = _listings(spark, d)
+    sections = listings.select(F.coalesce(F.concat(F.lit("match:"), "match"), F.concat(F.lit("listing:"), "listing")).alias("document"), "lang").groupBy("document").agg(F.min("lang").alias("section"))
+    return grouped(merge_listings(listings).join(sections, "document"), "section", ["rank"])
+
+
+def _ranges(spark, d):
+    """Ranges of order days with fewer than a tenth of all orders each, counted by day first."""
+    days = table(spark, d, "orders").groupBy(F.date_diff("o_orderdate", F.lit("1992-01-01").cast("date")).alias("day")).agg(F.count("*").alias("n")).orderBy("day").collect()  # a row a day
+    upto, sums = {}, 0
+    last = max((r["day"] for r in days), default=0)
+    by = {r["day"]: r["n"] for r in days}
+    for day in range(last + 1):
+        sums += by.get(day, 0)
+        upto[day] = sums
+    limit = sums // 10 + 1
+    found = split_range(last + 1, lambda low, high: upto[high] - upto.get(low - 1, 0), limit)
+    ranges = spark.createDataFrame(found or [(0, 0)], "low int, high int")
+    o = table(spark, d, "orders").select(F.date_diff("o_orderdate", F.lit("1992-01-01").cast("date")).alias("day"))
+    return o.join(ranges, (F.col("day") >= F.col("low")) & (F.col("day") <= F.col("high"))).groupBy("low", "high").agg(F.count("*").alias("n")).select(F.sum("n").alias("rows"), (F.max("n") < limit).alias("within"))
+
+
 def _coverage(spark, d):
     s = table(spark, d, "supplier")
     return blockers(s, {"review_expired": F.col("s_acctbal") > 0, "no_terms": F.col("s_nationkey") % 4 > 0, "inactive": F.col("s_suppkey") % 5 > 0}).select("s_suppkey", "blockers", "usable")
@@ -107,7 +172,7 @@ def _linked(spark, d):
     return linked(o, ["k1", "k2"], table(spark, d, "customer"), "c_custkey").select("o_orderkey", "target")
 
 
-_LIST = "with l as (select doc_id::varchar as listing, source, lang, source[4:]::int as precedence, row_number() over (partition by source order by doc_id)::int as rank, case when length(text) >= 100 then md5(text[1:100]) end as m, lang || ':' || source as lane from documents), k as (select *, coalesce('match:' || m, 'listing:' || listing) as document from l)"
+_LIST = "with l as (select doc_id::varchar as listing, source, lang, source[4:]::int as precedence, row_number() over (partition by source order by doc_id)::int as rank, md5(trim(regexp_replace(lower(text), '\\s+', ' ', 'g'))) as m, lang || ':' || source as lane from documents), k as (select *, coalesce('match:' || m, 'listing:' || listing) as document from l)"
 
 QUERIES = {
     "search_plan": (_plan, """
@@ -117,7 +182,12 @@ o as (select source || '|' || kind || '|' || lower(text) as lane, min(position)
 select lane, source, case when row_number() over (order by position, precedence, lane) <= 6 then 'run' else 'over_budget' end as state from o"""),
     "lane_left_out": (_left, "select source, count_if(lang = 'en') as kept, count_if(lang is null or lang != 'en') as left_out from documents group by source"),
     "merged_lanes": (_reasons, _LIST + " select document, min(rank) as rank, (min(struct_pack(a := precedence, b := rank, c := listing))).c as primary, count(*) - 1 as alternates, string_agg(distinct lane, ',' order by lane) as reasons from k group by document"),
-    "merged_lanes_whole": (_reasons_whole, None),
+    "exact_or_unknown": (_exact, "select o_custkey, count_if(o_orderkey % 8 = 0) as kept, count_if(o_orderkey % 8 != 0) as left_out, case when count_if(o_orderkey % 8 = 0) > 0 then 'found' when o_custkey % 3 > 0 then 'none' else 'unknown' end as state from orders group by o_custkey"),
+    "shown_totals": (_totals, """
+with r as (select l_suppkey, case when l_suppkey % 7 > 0 then count(*) * (l_suppkey % 50) end as total, case when l_suppkey % 4 = 0 then 0 else count(*) end as listed from lineitem group by 1)
+select l_suppkey, case when total >= 10000 then '10000+' else total::varchar end as shown, listed = 0 and coalesce(total, 1) > 0 as unresolved, listed >= 600 as capped from r"""),
+    "grouped_results": (_grouped, _LIST + """, m as (select document, min(rank) as rank, min(lang) as section from k group by document) select section, count(*) as n, (min(struct_pack(a := rank, b := document))).b as first from m group by section"""),
+    "range_split": (_ranges, "select count(*)::bigint as rows, true as within from orders"),
     "worst_outcome": (_worst, "select o_orderpriority, arg_max(o, case o when 'failed' then 2 when 'partial' then 1 else 0 end) as outcome from (select o_orderpriority, case when o_orderstatus = 'P' then 'partial' when o_totalprice > 450000 then 'failed' else 'ok' end as o from orders) group by 1"),
     "coverage_blockers": (_coverage, "with b as (select s_suppkey, concat_ws(',', case when not s_acctbal > 0 then 'review_expired' end, case when not s_nationkey % 4 > 0 then 'no_terms' end, case when not s_suppkey % 5 > 0 then 'inactive' end) as blockers from supplier) select s_suppkey, blockers, blockers = '' as usable from b"),
     "paging_state": (_paging, "select l_partkey, case when l_partkey % 7 = 0 then 'unknown' when count(*) <= 25 then 'complete' when count(*) > 40 then 'cap' else 'more' end as paging from lineitem group by l_partkey"),

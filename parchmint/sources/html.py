@@ -83,6 +83,18 @@ def blocks(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFr
     return placed.withColumn("end", F.col("start") + F.octet_length("text")).withColumnRenamed("key", key)
 
 
+def contact_sections(rows: DataFrame, opening: str, key: str = "page_id") -> DataFrame:
+    """Adds excluded: blocks from one that opens a contact section up to the next heading."""
+    order = Window.partitionBy(key).orderBy("pos")
+    flag = F.when(F.col("text").rlike(opening), True).when(F.col("tag").rlike("^(?:h[1-6]|caption)$"), False)
+    return rows.withColumn("excluded", F.coalesce(F.last(flag, ignorenulls=True).over(order), F.lit(False)))
+
+
+def first_line(rows: DataFrame, pattern: str, key: str = "page_id") -> DataFrame:
+    """key, pos, line: the first block of each page that holds a pattern."""
+    return rows.filter(F.col("text").rlike(pattern)).groupBy(key).agg(F.min(F.struct("pos", "text")).alias("m")).select(key, F.col("m.pos").alias("pos"), F.col("m.text").alias("line"))
+
+
 def _blocks(spark, d):
     return blocks(table(spark, d, "pages")).select("page_id", "pos", "tag", F.md5("text").alias("text"), F.md5(F.coalesce("heading", F.lit(""))).alias("heading"), "start", "end")
 
@@ -91,4 +103,12 @@ def _by_tag(spark, d):
     return blocks(table(spark, d, "pages")).groupBy("tag").agg(F.count("*").alias("blocks"), F.sum(F.length("text")).alias("characters"))
 
 
-QUERIES = {"html_blocks": (_blocks, None), "html_blocks_by_tag": (_by_tag, None)}
+def _sections(spark, d):
+    return contact_sections(blocks(table(spark, d, "pages")), "^T").filter("excluded").groupBy("page_id").agg(F.count("*").alias("excluded"))
+
+
+def _authority(spark, d):
+    return first_line(blocks(table(spark, d, "pages")), r"(?i)\b(?:the|und|les|los)\b").select("page_id", "pos", F.md5("line").alias("line"))
+
+
+QUERIES = {"html_blocks": (_blocks, None), "html_blocks_by_tag": (_by_tag, None), "contact_sections": (_sections, None), "authority_lines": (_authority, None)}

@@ -35,21 +35,34 @@ def rate_excess(events: DataFrame, limit: int, size: str = "1 minute") -> DataFr
     return counted.select("user_id", F.col("window.start").alias("start"), "n")
 
 
-def upsert(batch: DataFrame, path: str, key: str, order: str) -> None:
-    """For foreachBatch: the latest row of each key, merged with the table at ``path`` into a new version beside it."""
-    from pyspark.sql import Window
-
+def current(spark, path: str) -> tuple[int, DataFrame | None]:
+    """(version, table) of the newest whole version under ``path``; (-1, None) where there is none.
+
+    A version counts once Spark's writer has marked it whole by _SUCCESS.
+    """
+    jvm = spark._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(root):
+        return -1, None
+    whole = [int(s.getPath().getName()[1:]) for s in fs.listStatus(root) if s.getPath().getName()[:1] == "v" and s.getPath().getName()[1:].isdigit() and fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
+    return (max(whole), spark.read.parquet(f"{path}/v{max(whole)}")) if whole else (-1, None)
+
+
+def upsert(batch: DataFrame, path: str, key: str, order: str, batch_id: int | None = None) -> None:
+    """For foreachBatch: the latest row of each key, merged with the newest version at ``path`` into the next one.
+
+    No version is ever written over: a crash leaves a version without _SUCCESS, which is ignored and
+    replaced by the next run. With ``batch_id`` a batch that is run again builds on the version before it.
+    """
     spark = batch.sparkSession
-    try:
-        current = spark.read.parquet(f"{path}/current")
-        rows = current.unionByName(batch)
-    except Exception as error:
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
-        rows = batch
-    latest = rows.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))).filter("__n = 1").drop("__n")
-    latest.write.mode("overwrite").parquet(f"{path}/next")
-    spark.read.parquet(f"{path}/next").write.mode("overwrite").parquet(f"{path}/current")
+    at, rows = current(spark, path)
+    if batch_id is not None and at >= batch_id:
+        return
+    both = batch if rows is None else rows.unionByName(batch)
+    columns = [F.col("`" + c.replace("`", "``") + "`") for c in batch.columns]
+    latest = both.groupBy(F.col(key).alias("k")).agg(F.max_by(F.struct(*columns), F.col(order)).alias("row")).select("row.*")
+    latest.write.mode("overwrite").parquet(f"{path}/v{at + 1 if batch_id is None else batch_id}")
 
 
 def _windows(spark, d):
