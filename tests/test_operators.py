@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from parchmint.functions import citations
+from parchmint.functions import citations, issues, labels
 from parchmint.functions import text as T
 from parchmint.operators import corpus, graph, records, refresh, retrieval, spatial, temporal, validate
 from parchmint.plans import federation
@@ -102,8 +102,14 @@ def test_graphs(spark):
     assert {tuple(r) for r in near.collect()} == {(9, 0), (8, 1), (5, 2)}
     refs = spark.createDataFrame([(1, None), (2, 1), (3, 2), (4, 99), (5, 4)], "id long, ref long")
     assert {r["id"] for r in graph.shrink(refs, "id", "ref").collect()} == {1, 2, 3}
-    needs = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (8, 9)], "work long, needed long")
-    assert {r["work"] for r in corpus.closure(spark.createDataFrame([(1,)], "work long"), needs).collect()} == {1, 2, 3}
+    refs = spark.createDataFrame([(i, i - 1 if i > 1 else None) for i in range(1, 60)] + [(100, 101), (101, 102), (200, 201), (201, 200)], "id long, ref long")
+    assert {r["id"] for r in graph.shrink(refs, "id", "ref").collect()} == {*range(1, 60), 200, 201}
+    needs = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (8, 9)], "node long, needed long")
+    assert {r["node"] for r in corpus.closure(spark.createDataFrame([(1,)], "node long"), needs).collect()} == {1, 2, 3}
+    ring = spark.createDataFrame([(1, 2), (2, 3), (3, None), (4, 5), (5, 6), (6, 5), (7, 7), (8, 1)], "src long, dst long")
+    assert {r["node"] for r in graph.cycles(ring).collect()} == {4, 5, 6, 7}
+    paths = graph.shortest_paths(spark.createDataFrame([(1, 2), (1, 3), (2, 4), (3, 4), (4, 1)], "src long, dst long"), spark.createDataFrame([(1,)], "node long"), 5)
+    assert {r["node"]: r["path"] for r in paths.collect()} == {1: [1], 2: [1, 2], 3: [1, 3], 4: [1, 2, 4]}
 
 
 def brute_relation(a, b):
@@ -148,11 +154,11 @@ def test_whole_texts_decide_matches(spark, tmp_path):
     spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
     items = [(1, lead + "one end"), (2, lead + "no such end"), (3, "short copy"), (4, "copy it is"), (5, ""), (6, None)]
     spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
-    merged = records.QUERIES["rank_interleave_merge_whole"][0](spark, str(tmp_path)).collect()
+    merged = records.QUERIES["rank_interleave_merge"][0](spark, str(tmp_path)).collect()
     assert sorted(r["alternates"] for r in merged) == [0, 0, 0, 0, 1, 1]
-    lanes = federation.QUERIES["merged_lanes_whole"][0](spark, str(tmp_path)).collect()
+    lanes = federation.QUERIES["merged_lanes"][0](spark, str(tmp_path)).collect()
     assert sorted(r["alternates"] for r in lanes) == [0, 0, 0, 0, 1, 1]
-    got = records.QUERIES["in_text_group_places_whole"][0](spark, str(tmp_path)).collect()
+    got = records.QUERIES["in_text_group_places"][0](spark, str(tmp_path)).collect()
     want = {i: [d for d, t, *_ in docs if t and p in t] for i, p in items if p}
     assert {tuple(r) for r in got} == {(i, min(h), len(h)) for i, h in want.items() if h}
 
@@ -165,17 +171,17 @@ def test_whole_tables_are_read(spark, tmp_path):
     log = [(i, rng.randrange(80), rng.choice(kinds), rng.choice("ab")) for i in range(1, 1301)]
     put("events", [(i, u, t, f'{{"k": "{k}"}}') for i, u, t, k in log], "event_id long, user_id long, event_type string, props string")
     coded = {(u, t): ",".join(sorted({k for _, v, s, k in log if (v, s) == (u, t)})) for u in {r[1] for r in log} for t in kinds}
-    assert sorted(run(records, "dimension_pivot_whole")) == sorted((u, t, "coded" if v else "not_coded_unknown", v) for (u, t), v in coded.items())
-    assert sorted(run(refresh, "revision_state_whole")) == sorted((u, i, t) for u, (i, t) in {u: (i, t) for i, u, t, _ in log if i <= 650}.items())
+    assert sorted(run(records, "dimension_pivot")) == sorted((u, t, "coded" if v else "not_coded_unknown", v) for (u, t), v in coded.items())
+    assert sorted(run(refresh, "revision_state")) == sorted((u, i, t) for u, (i, t) in {u: (i, t) for i, u, t, _ in log if i <= 650}.items())
     sizes = {k: rng.randint(1, 50) for k in range(1, 121)}
     put("part", list(sizes.items()), "p_partkey long, p_size int")
     box = lambda k, fx, fy: (k * fx % 1000, k * fx % 1000 + sizes[k], k * fy % 1000, k * fy % 1000 + 2 * sizes[k])
     pairs = Counter(brute_relation(box(a, 37, 91), box(b, 53, 29)) for a in sizes for b in sizes)
-    assert dict(run(spatial, "box_overlap_join_whole")) == {k: n for k, n in pairs.items() if k != "disjoint"}
+    assert dict(run(spatial, "box_overlap_join")) == {k: n for k, n in pairs.items() if k != "disjoint"}
     put("documents", [(1, "once twice\ntwice twice", "en", "s"), (2, "rare", "en", "s")], "doc_id long, text string, lang string, source string")
-    assert dict(run(retrieval, "term_df_whole")) == {"once": 1, "twice": 2, "rare": 1}
+    assert dict(run(retrieval, "term_df")) == {"once": 1, "twice": 2, "rare": 1}
     put("supplier", [(k,) for k in range(1, 150)], "s_suppkey long")
-    assert {r[0] for r in run(graph, "supersession_tips_whole")} == set(range(1, 150)) - {(k * 3 + 1) % 97 for k in range(1, 150)}
+    assert {r[0] for r in run(graph, "supersession_tips")} == set(range(1, 150)) - {(k * 3 + 1) % 97 for k in range(1, 150)}
 
 
 def test_citation_counts_scan_whole_texts(spark, tmp_path):
@@ -196,10 +202,87 @@ def test_blocks(spark):
     assert [(r["start"], r["end"], r["heading"]) for r in rows] == [(0, 1, None), (3, 12, None), (14, 20, "One & all"), (22, 23, "One & all"), (25, 26, "One & all")]
 
 
-def test_fuzzy_labels(spark):
-    labels = spark.createDataFrame([("Navajo",), ("Nevada",), ("Oregon",)], "label string")
-    typed = spark.createDataFrame([("navaho",), ("nav",), ("oregonn",)], "typed string")
-    assert {tuple(r) for r in citations.close_labels(typed, labels).collect()} == {("navaho", "Navajo", 1), ("oregonn", "Oregon", 1)}
+def test_typo_suggestions(spark):
+    names = ["Navajo Nation", "Nevada", "Oregon", "Coos Bay", "Oregon City"]
+    labels_ = spark.createDataFrame([(n, i) for i, n in enumerate(names)], "label string, place int")
+    typed = spark.createDataFrame([("navaho",), ("nav",), ("oregonn",), ("roegon",), ("orgeon",), ("OERGON",), ("coso",), ("nevade nat",), ("oregon cti",), ("oregon ctiy",)], "typed string")
+    got = {}
+    for r in labels.possible(typed, labels_).collect():
+        got.setdefault(r["typed"], []).append((r["label"], r["edits"]))
+    # Swaps are one edit, the first letter stays, short capitals allow none, the last word may be a start.
+    assert {k: sorted(v) for k, v in got.items()} == {"navaho": [("Navajo Nation", 1)], "nav": [("Navajo Nation", 0)], "oregonn": [("Oregon", 1), ("Oregon City", 1)], "orgeon": [("Oregon", 1), ("Oregon City", 1)], "coso": [("Coos Bay", 1)], "oregon ctiy": [("Oregon City", 1)]}
+    ranked = {(r["typed"], r["label"]): (r["tier"], r["extra"]) for r in labels.ranked(spark.createDataFrame([("oregon",), ("ore",), ("nation nav",)], "typed string"), labels_).collect()}
+    assert ranked == {("oregon", "Oregon"): (0, 0), ("oregon", "Oregon City"): (1, 1), ("ore", "Oregon"): (2, 0), ("ore", "Oregon City"): (2, 1), ("nation nav", "Navajo Nation"): (2, 0)}
+
+
+def test_issue_rules(spark):
+    text = "The agency will consult with each Indian Tribe. See 40 CFR part 1502 and the E.O. Handbook. Comments are due by March 5, 2024. It is a pro- posed rule. It is a pro- posed rule."
+    rows = issues.issues(spark.createDataFrame([(1, text), (2, None), (3, ""), (4, " ".join(f"Tribe number {i} met." for i in range(9)))], "doc_id long, text string"), "doc_id", "text").collect()
+    got = {(r["doc_id"], r["kind"], r["n"]): r["quote"] for r in rows}
+    assert {k for k in got if k[0] == 1} == {(1, "consultation", 1), (1, "tribal", 1), (1, "cross_reference", 1), (1, "deadline", 1), (1, "status", 1)}
+    assert got[1, "status", 1] == "It is a proposed rule." and got[1, "cross_reference", 1].endswith("E.O. Handbook.")
+    assert sum(k[0] == 4 for k in got) == issues.PER_KIND and not any(k[0] in (2, 3) for k in got)
+    long = "word " * 200 + "the Tribe met " + "more " * 200
+    quote = issues.issues(spark.createDataFrame([(1, long)], "doc_id long, text string"), "doc_id", "text").first()["quote"]
+    assert "Tribe" in quote and len(quote) <= issues.QUOTE and quote in long and quote == quote.strip()
+
+
+def test_segments_and_replay(spark):
+    import hashlib
+
+    text = "aé𝄞b"
+    data = text.encode()
+    sha = lambda x: hashlib.sha256(x).hexdigest()
+    rows = [(1, 9, 0, 3, sha(data[:3])), (2, 9, 0, 2, sha(data[:2])), (3, 9, 3, 99, ""), (4, 9, 3, 7, sha(b"x")), (5, 9, 4, 7, sha(data[4:7])), (6, 9, 7, 8, sha(b"b")), (7, 9, 2, 2, sha(b""))]
+    segments = spark.createDataFrame(rows, "segment long, rendition long, start long, end long, digest string")
+    texts = spark.createDataFrame([(9, text)], "rendition long, text string")
+    assert {tuple(r) for r in validate.segment_faults(segments, texts).collect()} == {(2, "boundary"), (3, "range"), (4, "digest"), (5, "boundary"), (7, "range")}
+    cites = spark.createDataFrame([(1, 9, 1, 7, "é𝄞", sha(data)), (2, 9, 1, 7, "é", sha(data)), (3, 9, 1, 3, "é", "x"), (4, 8, 0, 1, "a", sha(data))], "citation long, rendition long, start int, end int, quote string, text_digest string")
+    assert {tuple(r) for r in validate.replayed(cites, texts).collect()} == {(1, True), (2, False), (3, False), (4, False)}
+
+
+def test_effective_dates_that_overlap_are_no_tie(spark):
+    stamp = lambda t: None if t is None else __import__("datetime").datetime.fromisoformat(t)
+    versions = spark.createDataFrame([("w", 1, *map(stamp, ("2020-01-01", "2020-01-01", "2020-01-01T23:59:59.999", None, None))), ("w", 2, *map(stamp, ("2020-01-01", "2020-01-01", "2020-01-01T23:59:59.999", None, None)))], "work string, version long, observed timestamp, p_low timestamp, p_high timestamp, v_low timestamp, v_high timestamp")
+    dated = spark.createDataFrame([(1, "effective", *map(stamp, ("2020-03-01", "2020-03-31T23:59:59.999"))), (2, "effective", *map(stamp, ("2020-03-15", "2020-03-15T23:59:59.999")))], "version long, type string, low timestamp, high timestamp")
+    got = temporal.select_versions(temporal.as_of(versions, dated, "2021-01-01", "source_effective"), versions).first()
+    assert (got["state"], got["versions"]) == ("supported_source_snapshot", "1")
+
+
+def test_written_files(spark, tmp_path):
+    from parchmint.sources import sinks
+
+    rows = spark.createDataFrame([(1, '=1+"2"'), (2, None)], "id long, x string").coalesce(1)
+    sinks.write_csv(rows, str(tmp_path / "csv"), ["id", "x"])
+    data = b"".join(p.read_bytes() for p in (tmp_path / "csv").glob("part-*"))
+    assert data == b'"id","x"\r\n"1","\'=1+""2"""\r\n"2",""\r\n'
+    entry = sinks.calendar(spark.createDataFrame([(7, __import__("datetime").date(2024, 5, 1), "é, " * 60)], "n long, day date, title string"), "n", "day", "title").first()["entry"]
+    lines = entry.split("\r\n")
+    assert all(len(x.encode()) <= 75 for x in lines) and max(len(x.encode()) for x in lines) > 72 and "\n" not in entry.replace("\r\n", "")
+    unfolded = entry.replace("\r\n ", "")
+    assert "SUMMARY:" + "é\\, " * 60 in unfolded
+    a = spark.createDataFrame([("a", "x"), ("a", "y"), ("b", "z")], "asset string, content string")
+    one = {r["asset"]: r["digest"] for r in sinks.manifest(a, "asset", "content").collect()}
+    two = {r["asset"]: r["digest"] for r in sinks.manifest(a.orderBy(F.desc("content")), "asset", "content").collect()}
+    assert one == two and one["a"] != {r["asset"]: r["digest"] for r in sinks.manifest(a.filter("content != 'y'"), "asset", "content").collect()}["a"]
+
+
+def test_personal_data_kinds(spark):
+    from parchmint.functions import guards
+
+    texts = {"email": "a.b@c.org", "spelled_email": "x [at] y [dot] gov", "phone": "(503) 555-0123", "extension": "ext. 4521", "person_title": "Dr. Longname", "contact_lead": "Contact: Anna B. Smith", "postal_block": "12 Main Street, Salem, OR 97301"}
+    docs = spark.createDataFrame([*enumerate(texts.values()), (90, "OAR 340-041-0001 and 12.5 x1 Honor"), (91, None)], "id long, t string")
+    got = {r["id"]: r.asDict() for r in docs.select("id", *(c.alias(k) for k, c in guards.personal(F.col("t")).items())).collect()}
+    for i, kind in enumerate(texts):
+        assert [k for k in texts if got[i][k]] == [kind]
+    assert not any(got[i][k] for i in (90, 91) for k in texts)
+
+
+def test_citations_of_all_kinds():
+    text = "25 U.S.C. 450, 451 and 452a, 40 CFR 1500-1508, 42 U.S.C. 4321 et seq., RCW 43.376.020, ORS 182.164, Executive Order 13175, /us/pl/93/638"
+    got = [(k, t, n, m) for k, t, n, m, *_ in citations.find(text)]
+    assert got == [("usc", "25", "450", ""), ("usc", "25", "451", ""), ("usc", "25", "452a", ""), ("cfr", "40", "1500", "1508"), ("usc", "42", "4321", "et seq."), ("washington", "43", "376.020", ""), ("oregon", "182", "164", ""), ("executive_order", "Order", "13175", ""), ("uslm_public_law", "93", "638", "")]
+    assert citations.find(None) == []
 
 
 def test_checks(spark):
@@ -224,7 +307,16 @@ def test_stream_equals_table(spark, tmp_path):
     assert sorted(map(tuple, spark.table("counts").collect())) == sorted(map(tuple, events.window_counts(df, "1 hour").collect()))
     events.upsert(df, str(tmp_path / "state"), "user_id", "event_id")
     events.upsert(df.withColumn("event_id", F.col("event_id") + 100), str(tmp_path / "state"), "user_id", "event_id")
-    assert {r["event_id"] for r in spark.read.parquet(str(tmp_path / "state/current")).collect()} == {127, 128, 129}
+    at, rows = events.current(spark, str(tmp_path / "state"))
+    assert at == 1 and {r["event_id"] for r in rows.collect()} == {127, 128, 129}
+    # A crash leaves a version without its mark: the next run builds on the one before it.
+    (tmp_path / "state/v2").mkdir()
+    assert events.current(spark, str(tmp_path / "state"))[0] == 1
+    events.upsert(df.filter("user_id = 0").withColumn("event_id", F.col("event_id") + 200), str(tmp_path / "state"), "user_id", "event_id")
+    assert {r["event_id"] for r in events.current(spark, str(tmp_path / "state"))[1].collect()} == {227, 128, 129}
+    events.upsert(df, str(tmp_path / "state"), "user_id", "event_id", batch_id=2)  # a batch that has been taken
+    assert events.current(spark, str(tmp_path / "state"))[0] == 2
+    assert events.current(spark, str(tmp_path / "nowhere")) == (-1, None)
 
 
 @pytest.mark.parametrize("gone", [True])
