@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from parchmint.functions import citations, dates, guards, issues, labels
-from parchmint.operators import corpus, graph, links, policy, records, refresh, retrieval, search, spatial, temporal, validate
+from parchmint.operators import corpus, graph, links, policy, records, refresh, retrieval, search, spatial, study, temporal, validate
 from parchmint.plans import federation
 from parchmint.sources import feeds, html, sinks
 from parchmint.streaming import events
 
-MODULES: list = [retrieval, temporal, records, refresh, validate, spatial, graph, citations, html, events, sinks, federation, corpus, policy, links, dates, labels, guards, issues, feeds, search]
+MODULES: list = [retrieval, temporal, records, refresh, validate, spatial, graph, citations, html, events, sinks, federation, corpus, policy, links, dates, labels, guards, issues, feeds, search, study]
 FLAGSHIP = "bm25_passage_topk"
 
 
