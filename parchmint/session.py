@@ -42,10 +42,14 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+_WRITTEN: dict[str, list[str]] = {}
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: lineage ends there, columns stay prunable."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/parchmint-{name}-{uuid.uuid4().hex}"
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -85,3 +89,11 @@ def let_go(spark: SparkSession) -> None:
     """Free all tables that ``held`` keeps: for the end of a job whose result has been written."""
     for df in _HELD.pop(spark.sparkContext.applicationId, []):
         df.unpersist()
+
+
+def sweep(spark: SparkSession) -> None:
+    """Delete all tables that ``materialize`` has written in this session: for the end of a job, when nothing reads them any more."""
+    paths, jvm = _WRITTEN.pop(spark.sparkContext.applicationId, []), spark._jvm
+    for path in paths:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

@@ -1,6 +1,7 @@
 """Edge cases of the operators on hand-made tables."""
 
 import itertools
+import os
 import random
 from collections import Counter
 
@@ -285,6 +286,19 @@ def test_citations_of_all_kinds():
     assert citations.find(None) == []
 
 
+def test_written_tables_are_swept(spark):
+    from parchmint import session
+
+    made = session.materialize(spark.range(3), "swept")
+    folder = made.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+    assert os.path.isdir(folder)
+    kept = session._WRITTEN[spark.sparkContext.applicationId]
+    session._WRITTEN[spark.sparkContext.applicationId] = [p for p in kept if "swept" in p]
+    session.sweep(spark)
+    session._WRITTEN[spark.sparkContext.applicationId] = [p for p in kept if "swept" not in p]
+    assert not os.path.isdir(folder)
+
+
 def test_checks(spark):
     a = spark.createDataFrame([(1,), (1,), (2,)], "id long")
     assert [tuple(r) for r in validate.same_rows(a, a).collect()] == []
