@@ -1,18 +1,17 @@
 """Quality rules: fixed counts, then distribution divergence from language references.
 
-Each text gives two histograms: code points by class (lower-case letters and digits with all
-non-ASCII characters, upper-case letters, white space, everything else) and words by a list of
-common words (one bin each, one for all others). A language's reference is the sum of the histograms
-of all its texts that pass the fixed rules. A text is kept if, for both histograms, its
-Jensen-Shannon distance to a reference is small enough; histograms below a minimum length are not
-judged. All of it is DataFrame functions.
-
-The languages of COMMON share its words as bins, and the nearest of their references counts. Every
-other labelled language has its own OWN_BINS commonest words as bins and its own reference, both
-from all its texts that pass the fixed rules, if there are OWN_TEXTS of them.
-
-Null or empty text: no words, so it fails the fixed rules. Texts of a null language or of one without
-a reference are held to the fixed rules only. Repeated rows: a result each.
+Each text gives two histograms: characters by class (upper case, digits, white space, punctuation,
+symbols, bytes beyond the first of a character, all others) and words by the common words of its
+language (one bin each, one for all others). Common words and references are learned for every
+labelled language: its words of at most SHORT letters that most of its texts hold, and the sums of
+the histograms of all its texts that pass the fixed rules. A text is kept if, for both
+histograms, its Jensen-Shannon distance to its language's reference is small enough for its length;
+histograms below a minimum length are not judged. All of it is DataFrame functions.
+
+Null or empty text: no words, so it fails the fixed rules. Texts of a null language, or of one with
+fewer than MIN_TEXTS texts that pass the fixed rules, are held to the fixed rules only. Ties among
+common words are broken by the word. Repeated rows: a result each. Empty table: empty result. Other
+columns are ignored by ``judged`` and kept by ``keep``, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,24 +19,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parchmint.llm.common import WORD
-from parchmint.session import held
-
-#: Common words of the reference languages (fixed values).
-COMMON = {
-    "de": "der die und in den von zu das mit sich des auf",
-    "en": "the of and to in a is that it for was on",
-    "es": "de la que el en y a los del se las por",
-    "fr": "de la le et les des en un une que du dans",
-}
-BINS = sorted({w for words in COMMON.values() for w in words.split()})
-#: Largest distances (base 2), and lengths below which a histogram isn't judged.
-MAX_CLASS, MAX_WORDS, MIN_CHARS, MIN_LETTER_WORDS = 0.11, 0.32, 200, 40
-#: Common words of any other language, and texts that it must have.
-OWN_BINS, OWN_TEXTS = 12, 50
+from parchmint.llm.common import WORD, quoted
+from parchmint.session import held, materialize
+
+#: Common words of a language, their letters at most, and texts that its reference must come from.
+BINS, SHORT, MIN_TEXTS = 24, 5, 50
+#: Largest distance (base 2) of classes; that of words is FLOOR + SPREAD / sqrt(words), as chance differs by length.
+MAX_CLASS, FLOOR, SPREAD = 0.25, 0.05, 2.8
+#: Lengths below which a histogram isn't judged.
+MIN_CHARS, MIN_LETTER_WORDS = 200, 40
 SYMBOLS = r"[^#*$%&|<>]+"
-#: All but upper-case letters; all but ASCII that is no letter, digit or white space; runs of letters in lower case.
-NOT_UPPER, NOT_OTHER, LETTERS = r"[^A-Z]+", r"[\x09-\x0D\x20-\x20A-Za-z0-9\x{80}-\x{10FFFF}]+", r"[^\x00-\x60\x7B-\x7F]+"
+#: Upper case, digits and punctuation are what is left without these patterns.
+UPPER, DIGITS, MARKS, KINDS = r"[^A-Z]+", r"[^0-9]+", r"[^.,;:!?'\x22()-]+", 7
+#: Runs of letters in lower case.
+LETTERS = r"[^\x00-\x60\x7B-\x7F]+"
 FACTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -47,7 +42,7 @@ def let(value: Column, body) -> Column:
 
 
 def repeated(tri: Column) -> Column:
-    """Words that stand in 3-word windows found twice or more."""
+    """Words that stand in 3-word windows (as 64-bit hashes: a clash within a text is not to be expected) found twice or more."""
 
     def covered(s: Column) -> Column:
         twice = F.filter(s, lambda x, i: ((i > 0) & (F.get(s, i - 1)["t"] == x["t"])) | F.coalesce(F.get(s, i + 1)["t"] == x["t"], F.lit(False)))
@@ -57,45 +52,43 @@ def repeated(tri: Column) -> Column:
     return F.when(F.size(F.array_distinct(tri)) == F.size(tri), 0).otherwise(let(F.array_sort(placed), covered))
 
 
-def own_bins(docs: DataFrame) -> DataFrame:
-    """lang, bins: the commonest words of each labelled language that isn't in COMMON."""
-    if "lang" not in docs.columns:
-        docs = docs.withColumn("lang", F.lit(None).cast("string"))
-    rows = features(docs.filter(other_language()), letter_words=True)
-    # Conditional, for the same reason as in ``references``.
-    rows = rows.select("lang", F.when(~F.col("base_failed"), F.col("lw")).alias("lw"))
-    words = rows.select("lang", F.explode(F.concat(F.array(F.lit("")), "lw")).alias("word"))  # the empty word counts texts
-    order = Window.partitionBy("lang").orderBy((F.col("word") != "").cast("int"), F.desc("n"), "word")
-    best = words.groupBy("lang", "word").agg(F.count("*").alias("n")).withColumn("place", F.row_number().over(order)).filter(F.col("place") <= OWN_BINS + 1)
-    made = best.groupBy("lang").agg(F.max(F.when(F.col("word") == "", F.col("n"))).alias("texts"), F.array_sort(F.collect_list(F.when(F.col("word") != "", F.col("word")))).alias("bins"))
-    return made.filter((F.col("texts") >= OWN_TEXTS) & (F.size("bins") == OWN_BINS)).select("lang", "bins")
+def language(docs: DataFrame) -> Column:
+    return F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
+
+
+def letter_words(text: Column) -> Column:
+    return F.regexp_extract_all(F.lower(text), F.lit(LETTERS), F.lit(0))
+
 
+def common_words(docs: DataFrame) -> DataFrame:
+    """lang, bins: the BINS words that most texts of each labelled language hold.
 
-def other_language() -> Column:
-    return F.coalesce(~F.col("lang").cast("string").isin(*COMMON), F.lit(False))
+    Written, so that its size is known to the optimizer when it is joined.
+    """
+    short = F.filter(letter_words(F.col("text").cast("string")), lambda x: F.length(x) <= SHORT)
+    words = docs.select(language(docs).alias("lang"), F.explode(F.array_distinct(short)).alias("word")).filter("lang is not null")
+    order = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
+    best = words.groupBy("lang", "word").agg(F.count("*").alias("n")).withColumn("place", F.row_number().over(order)).filter(F.col("place") <= BINS)
+    return materialize(best.groupBy("lang").agg(F.array_sort(F.collect_list("word")).alias("bins")).coalesce(1), "common")
 
 
-def features(docs: DataFrame, carry: bool = False, own: DataFrame | None = None, letter_words: bool = False) -> DataFrame:
+def features(docs: DataFrame, common: DataFrame, carry: bool = False) -> DataFrame:
     """doc_id, lang, the fixed counts, base_failed, classes array<long>, words array<int>; row, if carried.
 
-    With the bins of ``own_bins`` also own_words array<int>, null for languages without bins.
+    words is null for languages without common words.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     left = lambda pattern: F.length(F.regexp_replace("t", pattern, ""))  # noqa: E731  what is left without the pattern
-    lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
     more = ["row"] if carry else []
-    bins = ["bins"] if own is not None else []
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), lang.alias("lang"), text.alias("t"), *([F.struct(*docs.columns).alias("row")] if carry else []))
-    if own is not None:
-        rows = rows.join(F.broadcast(own), "lang", "left")
-    rows = rows.select(
-        "doc_id", "lang", *more, *bins, F.length("t").alias("n"), left(WORD).alias("blank"), left(NOT_UPPER).alias("upper"), left(NOT_OTHER).alias("other"), left(SYMBOLS).alias("n_symbols"),
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), language(docs).alias("lang"), text.alias("t"), *([F.struct(*quoted(docs)).alias("row")] if carry else []))
+    rows = rows.join(common, "lang", "left").select(
+        "doc_id", "lang", *more, "bins", F.length("t").alias("n"), F.octet_length("t").alias("octets"), left(WORD).alias("blank"), left(SYMBOLS).alias("n_symbols"), left(UPPER).alias("upper"), left(DIGITS).alias("digits"), left(MARKS).alias("marks"),
         F.regexp_extract_all("t", F.lit(WORD), F.lit(0)).alias("w"),
         F.filter(F.split("t", "\n"), lambda x: x.rlike(WORD)).alias("lines"),
-        F.regexp_extract_all(F.lower("t"), F.lit(LETTERS), F.lit(0)).alias("lw"),
+        letter_words(F.col("t")).alias("lw"),
     )
-    rows = rows.withColumn("c", F.filter("lw", lambda x: x.isin(BINS)))
-    rows = rows.withColumn("tri", F.when(F.size("w") >= 3, F.transform(F.sequence(F.lit(0), F.size("w") - 3), lambda i: F.concat_ws(" ", F.get("w", i), F.get("w", i + 1), F.get("w", i + 2)))).otherwise(F.array().cast("array<string>")))
+    rows = rows.withColumn("c", F.filter(F.transform(F.filter("lw", lambda x: F.length(x) <= SHORT), lambda x: F.array_position("bins", x)), lambda x: x > 0))
+    rows = rows.withColumn("tri", F.when(F.size("w") >= 3, F.transform(F.sequence(F.lit(0), F.size("w") - 3), lambda i: F.xxhash64(F.get("w", i), F.get("w", i + 1), F.get("w", i + 2)))).otherwise(F.array().cast("array<bigint>")))
     rows = rows.select(
         "doc_id", "lang", *more,
         F.size("w").cast("long").alias("n_words"),
@@ -103,86 +96,59 @@ def features(docs: DataFrame, carry: bool = False, own: DataFrame | None = None,
         F.col("n_symbols").cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         repeated(F.col("tri")).cast("long").alias("n_repeat_words"),
-        F.array(F.col("n") - F.col("blank") - F.col("upper") - F.col("other"), F.col("upper"), F.col("blank"), F.col("other")).cast("array<long>").alias("classes"),
-        F.array(*(F.size("c") - F.size(F.array_remove("c", w)) for w in BINS), F.size("lw") - F.size("c")).alias("words"),
-        *([own_words().alias("own_words")] if own is not None else []), *(["lw"] if letter_words else []),
+        F.array("upper", "digits", "blank", "marks", "n_symbols", F.col("octets") - F.col("n"), F.col("n") - F.col("upper") - F.col("digits") - F.col("blank") - F.col("marks") - F.col("n_symbols")).cast("array<long>").alias("classes"),
+        F.when(F.col("bins").isNotNull(), F.concat(F.transform(F.sequence(F.lit(1), F.lit(BINS)), lambda k: F.size("c") - F.size(F.array_remove("c", k.cast("long")))), F.array(F.size("lw") - F.size("c")))).alias("words"),
     )
     return rows.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
 
 
-def own_words() -> Column:
-    """Counts of a row's own bins, then of all other words."""
-    counts = lambda c: F.concat(F.transform("bins", lambda w: F.size(c) - F.size(F.array_remove(c, w))), F.array(F.size("lw") - F.size(c)))
-    return F.when(F.col("bins").isNotNull(), let(F.filter("lw", lambda x: F.array_contains("bins", x)), counts))
+def total(name: str) -> Column:
+    return F.aggregate(F.col(name), F.lit(0).cast("long"), lambda a, x: a + x)
 
 
-def own_references(made: DataFrame) -> DataFrame:
-    """lang, own_class, own_word: distributions of the languages that have bins of their own."""
-    good = lambda x: F.coalesce(F.sum(F.when(~F.col("base_failed") & F.col("own_words").isNotNull(), x)), F.lit(0))
-    sums = lambda name, n: F.array(*(good(F.col(name)[i]) for i in range(n)))
-    rows = made.filter(other_language()).groupBy("lang").agg(sums("classes", 4).alias("c"), sums("own_words", OWN_BINS + 1).alias("w"))
-    total = lambda name: F.aggregate(F.col(name), F.lit(0).cast("long"), lambda a, x: a + x)
-    shares = lambda name: let(total(name).cast("double"), lambda n: F.transform(name, lambda x: x / n))
-    return rows.filter((total("c") > 0) & (total("w") > 0)).select("lang", shares("c").alias("own_class"), shares("w").alias("own_word"))
-
+def references(made: DataFrame) -> DataFrame:
+    """lang, class_share, word_share: distributions of each language, from all its texts that pass the fixed rules.
 
-def references(made: DataFrame) -> list[tuple[list[float], list[float]]]:
-    """(class, word) distributions of each language, from all texts that pass the fixed rules.
-
-    At most one row for each language of COMMON reaches the driver.
+    Written, so that its size is known to the optimizer when it is joined.
     """
     # Conditional sums: a filter on base_failed would be moved below the features and make them twice.
-    good = lambda x: F.coalesce(F.sum(F.when(~F.col("base_failed"), x)), F.lit(0))
-    sums = [good(F.col("classes")[i]).alias(f"c{i}") for i in range(4)] + [good(F.col("words")[i]).alias(f"w{i}") for i in range(len(BINS) + 1)]
-    rows = made.filter(F.col("lang").isin(*COMMON)).groupBy("lang").agg(*sums).orderBy("lang").collect()
-    out = []
-    for r in rows:
-        c, w = [r[f"c{i}"] for i in range(4)], [r[f"w{i}"] for i in range(len(BINS) + 1)]
-        if sum(c) and sum(w):
-            out.append(([x / sum(c) for x in c], [x / sum(w) for x in w]))
-    return out
-
-
-def distance(counts: Column, reference: list[float] | Column) -> Column:
-    """Jensen-Shannon distance (base 2) of counts to a distribution."""
-    half = lambda x, m: F.when(x > 0, x * F.log(x / m)).otherwise(0.0)
-    total = F.aggregate(counts, F.lit(0).cast("long"), lambda a, x: a + x)
-    terms = lambda n: F.zip_with(counts, reference if isinstance(reference, Column) else F.lit(reference), lambda x, q: let(x / n, lambda p: half(p, (p + q) / 2) + half(q, (p + q) / 2)))
-    return let(total.cast("double"), lambda n: F.sqrt(F.greatest(F.aggregate(terms(n), F.lit(0.0), lambda a, x: a + x) / 2 / F.log(F.lit(2.0)), F.lit(0.0))))
-
+    good = lambda x: F.coalesce(F.sum(F.when(~F.col("base_failed") & F.col("words").isNotNull(), x)), F.lit(0))
+    sums = lambda name, n: F.array(*(good(F.get(F.col(name), F.lit(i))) for i in range(n)))
+    rows = made.filter(F.col("lang").isNotNull()).groupBy("lang").agg(good(F.lit(1)).alias("texts"), sums("classes", KINDS).alias("c"), sums("words", BINS + 1).alias("w"))
+    shares = lambda name: let(total(name).cast("double"), lambda n: F.transform(name, lambda x: x / n))
+    rows = rows.filter((F.col("texts") >= MIN_TEXTS) & (total("c") > 0) & (total("w") > 0))
+    return materialize(rows.select("lang", shares("c").alias("class_share"), shares("w").alias("word_share")).coalesce(1), "references")
 
-def verdict(known: list[tuple[list[float], list[float]]]) -> Column:
-    """Whether a row of ``features`` is kept."""
 
-    def near(name: str, k: int, most: float, least: int) -> Column:
-        if not known:
-            return F.lit(True)
-        n = F.aggregate(F.col(name), F.lit(0).cast("long"), lambda a, x: a + x)
-        return (n < least) | (F.least(*(distance(F.col(name), r[k]) for r in known), F.lit(2.0)) <= most)
+def distance(counts: Column, reference: Column) -> Column:
+    """Jensen-Shannon distance (base 2) of counts to a distribution."""
+    half = lambda x, m: F.when(x > 0, x * F.log(x / m)).otherwise(0.0)
+    n = F.aggregate(counts, F.lit(0).cast("long"), lambda a, x: a + x)
+    terms = lambda n: F.zip_with(counts, reference, lambda x, q: let(x / n, lambda p: half(p, (p + q) / 2) + half(q, (p + q) / 2)))
+    return let(n.cast("double"), lambda n: F.sqrt(F.greatest(F.aggregate(terms(n), F.lit(0.0), lambda a, x: a + x) / 2 / F.log(F.lit(2.0)), F.lit(0.0))))
 
-    def own(name: str, reference: str, most: float, least: int) -> Column:
-        n = F.aggregate(F.col(name), F.lit(0).cast("long"), lambda a, x: a + x)
-        return (n < least) | (distance(F.col(name), F.col(reference)) <= most)
 
-    listed = near("classes", 0, MAX_CLASS, MIN_CHARS) & near("words", 1, MAX_WORDS, MIN_LETTER_WORDS)
-    other = own("classes", "own_class", MAX_CLASS, MIN_CHARS) & own("own_words", "own_word", MAX_WORDS, MIN_LETTER_WORDS)
-    judged_ = F.when(F.col("lang").isin(*COMMON), listed).when(F.col("own_word").isNotNull(), other).otherwise(F.lit(True))
-    return F.when(F.col("base_failed"), F.lit(False)).otherwise(judged_)
+def verdict() -> Column:
+    """Whether a row of ``features`` with its language's reference is kept."""
+    classes = (total("classes") < MIN_CHARS) | (distance(F.col("classes"), F.col("class_share")) <= MAX_CLASS)
+    words = (total("words") < MIN_LETTER_WORDS) | (distance(F.col("words"), F.col("word_share")) <= FLOOR + SPREAD / F.sqrt(total("words").cast("double")))
+    return F.when(F.col("base_failed"), F.lit(False)).when(F.col("word_share").isNull(), F.lit(True)).otherwise(classes & words)
 
 
 def judged(docs: DataFrame) -> DataFrame:
     """The fixed counts, base_failed and kept of every row; what is kept passes both."""
-    made = held(features(docs, own=own_bins(docs)))
-    return made.join(F.broadcast(own_references(made)), "lang", "left").select("doc_id", *FACTS, "base_failed", verdict(references(made)).alias("kept"))
+    made = held(features(docs, common_words(docs)))
+    found = materialize(made.join(references(made), "lang", "left").select("doc_id", *FACTS, "base_failed", verdict().alias("kept")), "judged")
+    made.unpersist()
+    return found
 
 
 def keep(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are kept, with all their columns.
 
-    inline() of one row or none filters after the features are made; a filter's condition would be
-    moved below them and make them over and over.
+    Features are made once and kept with their rows on the executors' disks (``session.let_go``
+    frees them). inline() of one row or none filters after the verdict is made; a filter's condition
+    would be computed twice.
     """
-    bins = held(own_bins(docs))
-    made = features(docs, own=bins)
-    known, own = references(made), held(own_references(made))
-    return features(docs, carry=True, own=bins).join(F.broadcast(own), "lang", "left").select(F.inline(F.when(verdict(known), F.array("row"))))
+    made = held(features(docs, common_words(docs), carry=True).select("row", "lang", "base_failed", "classes", "words"))
+    return made.join(references(made), "lang", "left").select(F.inline(F.when(verdict(), F.array("row"))))
