@@ -1,17 +1,23 @@
 """Language identification: the family first, then one-versus-one linear SVMs within it.
 
 A text becomes the hashed counts of its letter 1-, 2- and 3-grams, square-rooted and of unit
-length. One linear support vector machine for each pair of families votes on the family; one for
-each pair of the family's languages votes on the language. Machines are fitted by dual coordinate
-descent on a bounded sample of labelled rows; their vectors are made on the executors.
+length. One linear support vector machine for each family, against a sample of all others, tells
+the family (the machines grow in number with the families, not with their pairs). Within a family
+one machine for each pair of its languages votes on the language.
+
+Machines are fitted in tasks, each from its own bounded sample of labelled rows, by dual coordinate
+descent over sparse rows in the order of the texts' digests: the same rows give the same model,
+however they are dealt out. Every labelled language is learned, however many there are.
 
 A text that is null or has no letters is ``und`` with score 0. Rows with null language are never
-learned from; with no labelled row at all every text is ``und``. Repeated rows: a result each.
+learned from; with no labelled row at all every text is ``und``; with one language all texts with
+letters are of it. Repeated rows: a result each. Empty table: empty result. Other columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
 
-import math
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import cache
@@ -26,14 +32,24 @@ from parchmint.llm.common import batch_of, chunks, column, texts
 
 #: Families of languages (fixed values); a language that isn't listed is a family of its own.
 FAMILIES = {
-    "en": "germanic", "de": "germanic", "nl": "germanic", "sv": "germanic", "da": "germanic", "no": "germanic",
-    "fr": "romance", "es": "romance", "it": "romance", "pt": "romance", "ro": "romance", "ca": "romance",
-    "pl": "slavic", "cs": "slavic", "sk": "slavic", "ru": "slavic", "uk": "slavic", "bg": "slavic",
-}
+    "germanic": "en de nl sv da no nb nn is fy af lb yi",
+    "romance": "fr es it pt ro ca gl oc la",
+    "slavic": "pl cs sk sl hr sr bs mk ru uk be bg",
+    "baltic": "lt lv",
+    "celtic": "ga gd cy br",
+    "uralic": "fi et hu",
+    "turkic": "tr az kk ky uz tt",
+    "iranian": "fa ku ps tg",
+    "indic": "hi ur bn pa gu mr ne si",
+    "dravidian": "ta te kn ml",
+    "semitic": "ar he mt am",
+    "austronesian": "id ms tl jv",
+}
+FAMILY = {lang: family for family, langs in FAMILIES.items() for lang in langs.split()}
 #: Hash buckets of the n-grams.
 BUCKETS = 1 << 13
-#: Labelled rows of each language that a fit uses, and languages that it knows: the sample's bound.
-ROWS_EACH, LANGUAGES = 400, 64
+#: The sample's bounds: labelled rows of each language, and rows of other families against each family.
+ROWS_EACH, OTHERS = 400, 1600
 #: Regularisation and passes of the dual coordinate descent.
 C, PASSES = 10.0, 15
 
@@ -64,89 +80,126 @@ def vector(text: str | None) -> np.ndarray | None:
     return counts / np.linalg.norm(counts)
 
 
-def svm(x: np.ndarray, y: np.ndarray, seed: int = 0) -> np.ndarray:
-    """Weights (last one the bias) of a linear SVM with hinge loss, for y of -1 and 1."""
+def svm(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, seed: int = 0) -> np.ndarray:
+    """Weights (last one the bias) of a linear SVM with hinge loss, for sparse rows (buckets, values) and y of -1 and 1."""
     rng = np.random.default_rng(seed)
-    w, alpha = np.zeros(x.shape[1] + 1, np.float32), np.zeros(len(x))
-    diag = np.einsum("ij,ij->i", x, x) + 1
+    w, bias, alpha = np.zeros(BUCKETS, np.float32), 0.0, np.zeros(len(rows))
+    diag = [float(v @ v) + 1 for _, v in rows]
     for _ in range(PASSES):
-        for i in rng.permutation(len(x)):
-            slope = y[i] * (float(x[i] @ w[:-1]) + w[-1]) - 1
+        for i in rng.permutation(len(rows)).tolist():
+            k, v = rows[i]
+            slope = y[i] * (float(w[k] @ v) + bias) - 1
             fresh = min(max(alpha[i] - slope / diag[i], 0.0), C)
             if fresh != alpha[i]:
                 step = (fresh - alpha[i]) * y[i]
-                w[:-1] += step * x[i]
-                w[-1] += step
+                w[k] += np.float32(step) * v
+                bias += step
                 alpha[i] = fresh
-    return w
+    return np.append(w, np.float32(bias))
 
 
 @dataclass
 class Model:
-    """Pairs of classes with the machine that separates them, for families and within each family."""
+    """Languages of each family, a machine for each family, and one for each pair within a family."""
 
     families: dict[str, list[str]] = field(default_factory=dict)
-    between: list[tuple[str, str, np.ndarray]] = field(default_factory=list)
-    within: dict[str, list[tuple[str, str, np.ndarray]]] = field(default_factory=dict)
+    among: np.ndarray | None = None  # a row of weights for each family, in order
+    within: dict[str, tuple[list[tuple[int, int]], np.ndarray]] = field(default_factory=dict)
 
     @staticmethod
-    def vote(x: np.ndarray, classes: list[str], machines: list[tuple[str, str, np.ndarray]]) -> tuple[str, float]:
-        """(class with most votes, mean confidence of its duels); ties go to the larger summed margin."""
-        votes, sure = dict.fromkeys(classes, 0.0), {c: [] for c in classes}
-        for a, b, w in machines:
-            p = 1 / (1 + math.exp(-max(-30.0, min(30.0, 2 * (float(x @ w[:-1]) + float(w[-1]))))))
-            votes[a] += (p >= 0.5) + 1e-3 * p
-            votes[b] += (p < 0.5) + 1e-3 * (1 - p)
-            sure[a].append(p)
-            sure[b].append(1 - p)
-        best = max(sorted(classes), key=votes.__getitem__)
-        return best, sum(sure[best]) / len(sure[best]) if sure[best] else 1.0
+    def sure(x: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """Confidence of each machine that the first of its classes is right."""
+        return 1 / (1 + np.exp(-np.clip(2 * (weights[:, :-1] @ x + weights[:, -1]), -30, 30)))
 
     def predict(self, text: str | None) -> tuple[str, float]:
         x = vector(text) if self.families else None
         if x is None:
             return "und", 0.0
-        family, p = self.vote(x, list(self.families), self.between)
-        lang, q = self.vote(x, self.families[family], self.within[family])
-        return lang, p * q
-
-
-def fit(docs: DataFrame, rows_each: int = ROWS_EACH) -> Model:
-    """A model from at most about ``rows_each`` labelled rows of each of the commonest LANGUAGES languages."""
+        names = list(self.families)
+        p = self.sure(x, self.among) if len(names) > 1 else np.ones(1)
+        best = int(p.argmax())  # of equal ones the first by name
+        langs = self.families[names[best]]
+        if len(langs) == 1:
+            return langs[0], float(p[best])
+        pairs, weights = self.within[names[best]]
+        q = self.sure(x, weights)
+        votes, total, duels = np.zeros(len(langs)), np.zeros(len(langs)), len(langs) - 1
+        for (a, b), s in zip(pairs, q.tolist()):
+            votes[a] += (s >= 0.5) + 1e-3 * s
+            votes[b] += (s < 0.5) + 1e-3 * (1 - s)
+            total[a] += s
+            total[b] += 1 - s
+        k = int(votes.argmax())
+        return langs[k], float(p[best] * total[k] / duels)
+
+
+def fit(docs: DataFrame, rows_each: int = ROWS_EACH, others: int = OTHERS) -> Model:
+    """A model of all labelled languages.
+
+    Each machine learns from at most about ``rows_each`` rows of each language that it is for and
+    ``others`` rows of all other families. A count for each language and one vector of weights for
+    each machine reach the driver.
+    """
     labelled = texts(docs, "lang").filter(F.col("lang").isNotNull())
-    counts = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
-    if not counts:
-        return Model()
-    slot = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1_000_000))
-    keep = F.lit(False)
-    for r in counts:
-        keep = keep | ((F.col("lang") == r["lang"]) & (slot < int(min(1.0, rows_each / r["n"]) * 1_000_000)))
-    schema = pa.schema([("lang", pa.string()), ("bucket", pa.list_(pa.int32())), ("value", pa.list_(pa.float32()))])
-
-    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").collect()}
+    families: dict[str, list[str]] = {}
+    for lang in counts:
+        families.setdefault(FAMILY.get(lang, lang), []).append(lang)
+    families = {f: families[f] for f in sorted(families)}
+    if len(counts) < 2:
+        return Model(families)
+    names = list(families)
+    number = {f: i for i, f in enumerate(names)}
+    pairs = [(f, a, b) for f in names for a, b in combinations(families[f], 2)]
+    duels: dict[str, list[tuple[int, int]]] = {}  # (machine, class) of each language; families' machines come first
+    for m, (_, a, b) in enumerate(pairs, len(names)):
+        duels.setdefault(a, []).append((m, 1))
+        duels.setdefault(b, []).append((m, -1))
+    share = {lang: min(1.0, rows_each / n) for lang, n in counts.items()}
+    drawn = sum(n * share[lang] for lang, n in counts.items())
+    against = min(1.0, others / max(1.0, drawn))
+    schema = pa.schema([("machine", pa.int32()), ("y", pa.int32()), ("mark", pa.binary()), ("bucket", pa.binary()), ("value", pa.binary())])
+
+    def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent: set[tuple[str, bytes]] = set()  # copies of a text teach nothing new
         for b in chunks(batches):
-            made = [(lang, vector(t)) for lang, t in zip(column(b, "lang"), column(b, "text"))]
-            yield batch_of(schema, [(lang, np.flatnonzero(x).tolist(), x[x > 0].tolist()) for lang, x in made if x is not None])
-
-    sample = labelled.filter(keep).mapInArrow(vectors, "lang string, bucket array<int>, value array<float>").limit(2 * rows_each * len(counts)).toArrow()
-    langs = np.array(sample.column("lang").to_pylist(), object)
-    order = np.argsort(np.array([f"{a}" for a in langs]), kind="stable") if len(langs) else np.zeros(0, int)
-    x = np.zeros((len(langs), BUCKETS), np.float32)
-    for i, (k, v) in enumerate(zip(sample.column("bucket"), sample.column("value"))):
-        x[i, k.values.to_numpy()] = v.values.to_numpy()
-    x, langs = x[order], langs[order]
-    model = Model()
-    for lang in sorted(set(langs)):
-        model.families.setdefault(FAMILIES.get(lang, lang), []).append(lang)
-    group = np.array([FAMILIES.get(a, a) for a in langs], object)
-
-    def duel(keys: np.ndarray, a: str, b: str):
-        some = (keys == a) | (keys == b)
-        return a, b, svm(x[some], np.where(keys[some] == a, 1.0, -1.0))
-
-    model.between = [duel(group, a, b) for a, b in combinations(sorted(model.families), 2)]
-    model.within = {f: [duel(langs, a, b) for a, b in combinations(sorted(members), 2)] for f, members in model.families.items()}
-    return model
+            rows = []
+            for i, lang, text in zip(column(b, "doc_id"), column(b, "lang"), column(b, "text")):
+                mark = hashlib.blake2b((text or "").encode("utf-8", "surrogatepass"), digest_size=16).digest()
+                slot = hashlib.blake2b(mark + str(i).encode(), digest_size=8).digest()
+                if int.from_bytes(slot, "big") / 2**64 >= share[lang] or (lang, mark) in sent or (x := vector(text)) is None:
+                    continue
+                sent.add((lang, mark))
+                k = np.flatnonzero(x)
+                data = (mark, k.astype(np.uint16).tobytes(), x[k].tobytes())
+                own = number[FAMILY.get(lang, lang)]
+                draws = np.random.default_rng(int.from_bytes(mark[8:], "big")).random(len(names))
+                rows += [(m, y, *data) for m, y in duels.get(lang, ())]
+                if len(names) > 1:
+                    rows.append((own, 1, *data))
+                    rows += [(m, -1, *data) for m in np.flatnonzero(draws < against).tolist() if m != own]
+            yield batch_of(schema, rows)
+
+    def machine(table: pa.Table) -> pa.Table:
+        # Each text once, ordered by digest: the fit does not depend on how rows arrived.
+        table = table.group_by(["mark", "y"]).aggregate([("machine", "min"), ("bucket", "min"), ("value", "min")]).rename_columns(["mark", "y", "machine", "bucket", "value"])
+        table = table.sort_by([("mark", "ascending"), ("y", "ascending")])
+        rows = [(np.frombuffer(k, np.uint16).astype(np.int64), np.frombuffer(v, np.float32)) for k, v in zip(table["bucket"].to_pylist(), table["value"].to_pylist())]
+        w = svm(rows, np.array(table["y"].to_pylist(), float))
+        return pa.table({"machine": table["machine"][:1].cast(pa.int32()), "weights": pa.array([w.tobytes()], pa.binary())})
+
+    drawn_rows = labelled.mapInArrow(sample, "machine int, y int, mark binary, bucket binary, value binary")
+    fitted = drawn_rows.groupBy("machine").applyInArrow(machine, "machine int, weights binary").collect()
+    weights = np.zeros((len(names) + len(pairs), BUCKETS + 1), np.float32)
+    for m, w in fitted:
+        weights[m] = np.frombuffer(w, np.float32)
+    within = {}
+    for f in names:
+        own = [m for m, p in enumerate(pairs, len(names)) if p[0] == f]
+        if own:
+            place = {lang: i for i, lang in enumerate(families[f])}
+            within[f] = ([(place[pairs[m - len(names)][1]], place[pairs[m - len(names)][2]]) for m in own], weights[own])
+    return Model(families, weights[: len(names)], within)
 
 
 def held_out():
@@ -157,10 +210,12 @@ def held_out():
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred, score of every whole text."""
     schema = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64())])
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = shared.value
         for b in chunks(batches):
-            yield batch_of(schema, [(i, *model.predict(t)) for i, t in zip(column(b, "doc_id"), column(b, "text"))])
+            yield batch_of(schema, [(i, *found.predict(t)) for i, t in zip(column(b, "doc_id"), column(b, "text"))])
 
     return texts(docs).mapInArrow(run, "doc_id long, lang_pred string, score double")
 
