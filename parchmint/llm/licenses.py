@@ -6,7 +6,12 @@ Aho-Corasick automaton whose hits give candidate windows; there the regex librar
 matching decides and reports the span and its edits. Texts are compared as lower-case words joined
 by one space.
 
-Null or empty text: no words, no labels, score 0. Repeated rows: a result each.
+What tells licenses apart may not be edited: a notice's digits and its FIXED words must stand in the
+match as whole words, as often as in the notice, and no other word of the match may be one of them
+or hold a digit. A match counts with its first and last word in full.
+
+Null or empty text: no words, no labels, score 0. Repeated rows: a result each. Empty table: empty
+result. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -14,6 +19,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -28,13 +34,20 @@ NOTICES = (
     ("under the mit license", "mit", 2),
     ("permission is hereby granted free of charge to any person obtaining a copy", "mit", 6),
     ("apache license version 2", "apache-2", 2),
-    ("licensed under the apache license", "apache-2", 3),
+    ("licensed under the apache license version 2", "apache-2", 4),
     ("creative commons attribution noncommercial", "cc-by-nc", 4),
-    ("creative commons attribution sharealike", "cc-by-sa", 3),
+    ("creative commons attribution sharealike", "cc-by-sa", 4),
+    ("creative commons attribution 4 0 international", "cc-by", 4),
     ("gnu general public license", "gpl", 2),
     ("gnu lesser general public license", "lgpl", 3),
     ("gnu affero general public license", "agpl", 3),
     ("mozilla public license version 2", "mpl-2", 3),
+    ("eclipse public license version 2", "epl-2", 3),
+    ("boost software license version 1", "bsl-1", 3),
+    ("sil open font license version 1 1", "ofl-1", 3),
+    ("the above copyright notice and this permission notice shall be included in all copies", "mit", 7),
+    ("neither the name of the copyright holder nor the names of its contributors may be used", "bsd", 7),
+    ("no copyright to the extent possible under law waived all copyright and related or neighboring rights", "cc0", 8),
     ("redistribution and use in source and binary forms", "bsd", 5),
     ("redistributions of source code must retain the above copyright notice", "bsd", 6),
     ("this is free and unencumbered software released into the public domain", "unlicense", 6),
@@ -42,6 +55,9 @@ NOTICES = (
     ("all rights reserved", "all-rights-reserved", 1),
 )
 
+#: Words that may not be edited, besides all words with digits (fixed values).
+FIXED = frozenset("mit apache mozilla gnu lesser affero general noncommercial sharealike eclipse boost sil".split())
+
 _TABLE = bytes((c + 32 if 65 <= c <= 90 else c) if 48 <= c <= 57 or 65 <= c <= 90 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
@@ -97,19 +113,46 @@ def fuzzy(words: str, notices: tuple = NOTICES) -> list[tuple[int, int, int, int
     for k, places in windows(words, notices).items():
         rule = automaton(notices)[1][k]
         for a, b in places:
-            spans += [(m.start(), m.end(), k, sum(m.fuzzy_counts)) for m in rule.finditer(words, a, b)]
+            at = a
+            while (m := rule.search(words, at, b)) is not None:
+                if allowed(words, m.start(), m.end(), notices[k][0]):
+                    spans.append((m.start(), m.end(), k, sum(m.fuzzy_counts)))
+                    at = max(m.end(), at + 1)
+                else:  # another match may begin inside of this one
+                    at = m.start() + 1
     return sorted(spans)
 
 
+@cache
+def fixed_words(notice: str) -> list[str]:
+    """The words of a notice that may not be edited, sorted."""
+    return sorted(w for w in notice.split() if w in FIXED or any(c.isdigit() for c in w))
+
+
+def allowed(words: str, start: int, end: int, notice: str) -> bool:
+    """Whether a match keeps what may not be edited, seen with its first and last word in full."""
+    low = words.rfind(" ", 0, start + 1) + 1 if not words[start : start + 1].isspace() else start + 1
+    high = words.find(" ", max(end - 1, low))
+    found = words[low : len(words) if high < 0 else high].split()
+    return sorted(w for w in found if w in FIXED or any(c.isdigit() for c in w)) == fixed_words(notice)
+
+
+def word_index(words: str) -> np.ndarray:
+    """How many spaces stand before each character: the index of its word."""
+    space = np.frombuffer(words.encode("utf-32-le", "surrogatepass"), np.uint32) == 32
+    return np.concatenate([[0], np.cumsum(space)])
+
+
 def base_places(words: str) -> list[tuple[int, str]]:
     """(word index, label) of every place where a base phrase stands."""
     padded, found = f" {words} ", []
     for phrase, label in BASE:
         at = padded.find(f" {phrase} ")
         while at >= 0:
-            found.append((padded.count(" ", 0, at), label))
+            found.append((at, label))
             at = padded.find(f" {phrase} ", at + 1)
-    return sorted(found)
+    index = word_index(words) if found else None
+    return sorted((int(index[at]), label) for at, label in found)
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -125,9 +168,11 @@ def scan(docs: DataFrame) -> DataFrame:
             rows = []
             for i, t in zip(column(b, "doc_id"), column(b, "text")):
                 words, n = normal(t)
+                spans = fuzzy(words)
+                index = word_index(words) if spans else None
                 hits = [
-                    {"label": NOTICES[k][1], "start": words.count(" ", 0, s), "stop": words.count(" ", 0, e - 1) + 1, "edits": edits, "score": round(1 - edits / len(NOTICES[k][0]), 6)}
-                    for s, e, k, edits in fuzzy(words)
+                    {"label": NOTICES[k][1], "start": int(index[s]), "stop": int(index[e - 1]) + 1, "edits": edits, "score": round(1 - edits / len(NOTICES[k][0]), 6)}
+                    for s, e, k, edits in spans
                 ]
                 rows.append((i, n, [{"word": w, "label": x} for w, x in base_places(words)], hits))
             yield batch_of(schema, rows)
