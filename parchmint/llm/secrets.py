@@ -1,11 +1,17 @@
 """Secret scans: fixed patterns plus character Markov models.
 
 Two first-order Markov chains over characters, one of random strings and one of ordinary
-identifiers, are compared by their log-likelihood ratio. The chains are trained from labelled
-samples: values that the fixed patterns find are labelled random, other identifier-like strings
-of the same documents ordinary, unless they are as long as those that the models judge. Only bigram counts leave the executors.
+identifiers, are compared by their log-likelihood ratio. Both are trained from labelled samples.
+Ordinary: identifier-like strings of the documents that no fixed pattern touches and that are too
+short to be judged, also joined the way programs join them. Random: strings generated over the
+alphabets of keys, so that the model learns what randomness looks like and not again what the fixed
+patterns know. Only bigram counts leave the executors.
 
-Null or empty text: no spans. Repeated rows: a result each. Other columns are ignored.
+A candidate is a maximal run of the alphabet with at least MIN_LENGTH characters and a letter; runs
+are found in one pass, so a text takes time in proportion to its length, whatever its script.
+
+Null or empty text: no spans; redacted, null stays null. Repeated rows: a result each. Empty table:
+empty result. Other columns are ignored by ``scan`` and kept by ``redact``, whatever their names.
 """
 
 from __future__ import annotations
@@ -13,7 +19,9 @@ from __future__ import annotations
 import random
 import re
 import string
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +36,10 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
 KINDS = ("assign", "access", "hex", "markov")
 
-#: Strings that the models judge: at least 20 characters, with a letter.
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[^A-Za-z\s]*[A-Za-z])[A-Za-z0-9+/_=-]{20,}")
+#: Strings that the models judge: runs of at least MIN_LENGTH characters, with a letter.
+MIN_LENGTH = 20
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+LETTER = re.compile(r"[A-Za-z]")
 #: Identifier-like strings that the ordinary model learns from, if they are too short to be judged.
 IDENTIFIER = re.compile(r"[A-Za-z0-9+/_=-]{4,}")
 ALPHABET = string.ascii_letters + string.digits + "+/_=-."
@@ -57,28 +67,31 @@ def states(value: str) -> np.ndarray:
 
 
 def bigrams(values: list[str]) -> np.ndarray:
-    """Counts of adjacent states, flat."""
-    counts = np.zeros(STATES * STATES, np.int64)
-    for v in values:
-        s = states(v)
-        counts += np.bincount(s[:-1] * STATES + s[1:], minlength=STATES * STATES)
-    return counts
-
-
-def labelled(text: str) -> tuple[list[str], list[str]]:
-    """(random, ordinary) strings of one document."""
-    spans = base_spans(text)
-    marks = np.zeros(len(text) + 1, np.int8)
-    for s, _, e in spans:
-        marks[s:e] = 1
-    rand = [text[s:e] for s, kind, e in spans if kind]
-    rand += [m[2] for m in ASSIGN.finditer(text) if len(m[2]) >= 12]
-    plain = [m[0] for m in IDENTIFIER.finditer(text) if m.end() - m.start() < 20 and not marks[m.start() : m.end()].any()]
+    """Counts of adjacent states within the strings, flat: one count over all strings joined."""
+    if not values:
+        return np.zeros(STATES * STATES, np.int64)
+    s = states(" ".join(values))
+    size = np.fromiter(map(len, values), np.int64, len(values))
+    inner = np.ones(len(s) - 1, bool)  # pairs that touch no gap
+    gaps = np.cumsum(size + 1)[:-1] - 1
+    inner[gaps[gaps < len(inner)]] = False
+    inner[np.maximum(gaps - 1, 0)] = False
+    return np.bincount((s[:-1] * STATES + s[1:])[inner], minlength=STATES * STATES)
+
+
+def ordinary(text: str) -> list[str]:
+    """Identifier-like strings of one document, as they stand and joined."""
+    marks = np.zeros(len(text) + 1, np.int32)
+    for start, _, end in base_spans(text):
+        marks[start] += 1
+        marks[end] -= 1
+    upto = np.concatenate([[0], np.cumsum(np.cumsum(marks) > 0)])
+    plain = [m[0] for m in IDENTIFIER.finditer(text) if m.end() - m.start() < MIN_LENGTH and upto[m.start()] == upto[m.end()]]
     joined = [x for a, b in zip(plain, plain[1:]) for x in (a.lower() + b.capitalize(), f"{a}-{b}".upper())]  # the way identifiers are written in programs
-    return rand, plain + joined
+    return plain + joined
 
 
-def generated(n: int = 1500, seed: int = 7) -> list[str]:
+def generated(n: int = 6000, seed: int = 7) -> list[str]:
     """Random strings over the alphabets that keys are usually written in."""
     rng = random.Random(seed)
     sets = (string.ascii_letters + string.digits + "+/", string.ascii_letters + string.digits, "0123456789abcdef", string.ascii_uppercase + string.digits)
@@ -93,22 +106,22 @@ def fit(docs: DataFrame, max_documents: int = TRAIN_DOCUMENTS) -> np.ndarray:
     """
     rows = docs.count()
     share = min(1.0, max_documents / max(rows, 1))
-    picked = texts(docs).filter(F.pmod(F.xxhash64(F.col("doc_id")), F.lit(1_000_000)) < int(share * 1_000_000))
-    schema = pa.schema([("kind", pa.int32()), ("cell", pa.int32()), ("n", pa.int64())])
+    # Picked rows come from all splits; a second scan of the table is all that this costs.
+    picked = texts(docs).filter(F.pmod(F.xxhash64(F.col("doc_id"), F.col("text")), F.lit(1_000_000)) < int(share * 1_000_000))
+    schema = pa.schema([("cell", pa.int32()), ("n", pa.int64())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, STATES * STATES), np.int64)
+        total = np.zeros(STATES * STATES, np.int64)
         for b in chunks(batches):
             for t in column(b, "text"):
-                for k, values in enumerate(labelled(t or "")):
-                    total[k] += bigrams(values)
-        kind, cell = np.nonzero(total)
-        yield batch_of(schema, list(zip(kind.tolist(), cell.tolist(), total[kind, cell].tolist())))
+                total += bigrams(ordinary(t or ""))
+        cell = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int32()), pa.array(total[cell])], schema=schema)
 
     counts = np.zeros((2, STATES * STATES))
-    for kind, cell, n in picked.mapInArrow(count, "kind int, cell int, n long").groupBy("kind", "cell").agg(F.sum("n")).collect():
-        counts[kind, cell] = n
-    counts[0] += bigrams(generated())
+    for cell, n in picked.mapInArrow(count, "cell int, n long").groupBy("cell").agg(F.sum("n")).collect():
+        counts[1, cell] = n
+    counts[0] = bigrams(generated())
     return ratios_of(counts)
 
 
@@ -127,12 +140,17 @@ def ratios_of(counts: np.ndarray) -> np.ndarray:
 
 def markov_spans(text: str, ratios: np.ndarray, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """Candidates that the models call random and that no fixed pattern touches."""
-    found = []
+    found, starts = [], [a for a, _, _ in taken]
+    reach = list(accumulate((e for _, _, e in taken), max))  # how far the spans up to each one go
     for m in CANDIDATE.finditer(text):
+        if not LETTER.search(m[0]):
+            continue
         s = states(m[0])
         each = ratios[s[:-1], s[1:]]
-        if each.sum() > MIN_RATIO and each.mean() > MIN_RATIO_EACH and not any(a < m.end() and m.start() < e for a, _, e in taken):
-            found.append((m.start(), 3, m.end()))
+        if each.sum() > MIN_RATIO and each.mean() > MIN_RATIO_EACH:
+            before = bisect_left(starts, m.end())
+            if not before or reach[before - 1] <= m.start():
+                found.append((m.start(), 3, m.end()))
     return found
 
 
@@ -175,7 +193,7 @@ def redact(docs: DataFrame, ratios: np.ndarray | None = None, mask: str = "[SECR
 
     texts(docs)  # small Arrow batches
     out = docs.withColumn("text", clean(F.col("text").cast("string")))
-    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
+    return out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text")).cast("long")) if "n_chars" in docs.columns else out
 
 
 def digest(docs: DataFrame) -> DataFrame:
