@@ -36,6 +36,8 @@ LPC_ORDER, LPC_BITS = 8, 10
 PARTITIONS = 2
 #: Frames that are coded together.
 FRAMES = 2048
+#: Points that a SEEKTABLE can hold: its length is a number of 24 bits.
+MOST_POINTS = ((1 << 24) - 1) // 18
 #: Coefficients of the fixed predictors of order 0 to 4 (fixed values of the format).
 FIXED = ((), (1,), (2, -1), (3, -3, 1), (4, -6, 4, -1))
 
@@ -234,12 +236,16 @@ def _aligned(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarr
 
 
 def wrap(frames: list[bytes], samples: int, digest: bytes) -> bytes:
-    """A whole stream: marker, STREAMINFO, SEEKTABLE with a point for each frame, frames."""
+    """A whole stream: marker, STREAMINFO, SEEKTABLE with a point for each frame, frames.
+
+    A table holds at most MOST_POINTS points; a longer stream has one for every second, third ... frame.
+    """
     sizes = [len(f) for f in frames]
     info = struct.pack(">HH", BLOCK, BLOCK) + min(sizes, default=0).to_bytes(3, "big") + max(sizes, default=0).to_bytes(3, "big")
     info += (SAMPLE_RATE << 44 | 0 << 41 | 7 << 36 | samples).to_bytes(8, "big") + digest
-    points = np.zeros(len(frames), np.dtype([("sample", ">u8"), ("byte", ">u8"), ("size", ">u2")]))
-    points["sample"], points["byte"], points["size"] = np.arange(len(frames)) * BLOCK, np.cumsum([0, *sizes[:-1]])[: len(frames)], BLOCK
+    at = np.arange(0, len(frames), max(1, -(-len(frames) // MOST_POINTS)))
+    points = np.zeros(len(at), np.dtype([("sample", ">u8"), ("byte", ">u8"), ("size", ">u2")]))
+    points["sample"], points["byte"], points["size"] = at * BLOCK, np.cumsum([0, *sizes[:-1]])[at] if len(at) else 0, BLOCK
     seek = points.tobytes()
     return b"fLaC" + b"\x00" + len(info).to_bytes(3, "big") + info + b"\x83" + len(seek).to_bytes(3, "big") + seek + b"".join(frames)
 
