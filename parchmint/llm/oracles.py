@@ -2,95 +2,103 @@
 
 from __future__ import annotations
 
-from parchmint.llm import quality
+from parchmint.llm import licenses, quality
 
-_MIX = r"""
-with d as (
-  select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size,
-         md5(concat('mix-1:', coalesce(doc_id::varchar, ''))) as h, md5(concat('mix-1', coalesce(doc_id::varchar, ''))) as o
-  from documents),
-s as (select *, ('0x' || h[1:2])::int as block, ('0x' || h[3:4])::int as part, case when source is null then 'null' else '=' || source end as k from d),
-t as (select k, any_value(source) as source, sum(size)::bigint as n from s group by k),
-w as (select k, n, [3, 1, 2][1 + (row_number() over (order by source is null, source) - 1) % 3] as weight from t),
+_TARGETS = r"""
+with d as (select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size from documents),
+t as (select source, sum(size)::bigint as n from d group by source),
+w as (select source, n, [3, 1, 2][1 + (row_number() over (order by source is null, source) - 1) % 3] as weight from t),
 c as (select *, 2.0::double * n as cap, (2.0::double * n) / weight as turn from w),
 -- how many of the sources that fill up first are capped: those whose level stays below the next one's turn
 l as (
   select *, coalesce(sum(cap) over before, 0)::double as capped, sum(weight) over after as open
-  from c window before as (order by turn, k rows between unbounded preceding and 1 preceding), after as (order by turn, k rows between current row and unbounded following)),
+  from c window before as (order by turn, source rows between unbounded preceding and 1 preceding), after as (order by turn, source rows between current row and unbounded following)),
 v as (select *, ((select 1.5::double * sum(n) from t) - capped) / open as level from l),
-g as (
-  select k, n as source_size, case when level * weight > cap then cap else null end as filled from v),
-f as (select (1.5::double * (select sum(n) from t) - coalesce(sum(filled), 0)) as left_ from g),
-target as (
-  select g.k, source_size, coalesce(filled, (select left_ from f) / (select sum(weight) from w join g using (k) where filled is null) * weight)::double as target
-  from g join w using (k)),
-r as (select *, case when source_size = 0 then 1 else floor(target / source_size) end as reps from target),
-b as (select k, block, sum(size) as n, sum(sum(size)) over (partition by k order by block) as upto from s group by k, block),
-bw as (select b.*, reps, target - reps * source_size as left_, upto <= target - reps * source_size as whole from b join r using (k)),
-edge as (select k, min(block) as block, min_by(left_ - (upto - n), block) as left_ from bw where not whole group by k),
-p as (select s.k, s.block, part, sum(size) as n, sum(sum(size)) over (partition by s.k order by part) as upto from s join edge on s.k = edge.k and s.block = edge.block group by s.k, s.block, part),
-pw as (select p.*, left_, upto <= left_ as whole from p join edge using (k, block)),
-pedge as (select k, min(block) as block, min(part) as part, min_by(left_ - (upto - n), part) as left_ from pw where not whole group by k),
-m as (
-  select s.*, r.source_size, r.target, r.reps, bw.whole as bwhole, pw.whole as pwhole, pedge.left_ as owed,
-    sum(s.size) over (partition by s.k, pedge.left_ is null order by o, s.size rows unbounded preceding) as upto
-  from s join r using (k) join bw on s.k = bw.k and s.block = bw.block
-  left join pw on s.k = pw.k and s.block = pw.block and s.part = pw.part
-  left join pedge on s.k = pedge.k and s.block = pedge.block and s.part = pedge.part)
-select doc_id, size, source_size, target,
-  (size * (reps + case when bwhole then 1 when owed is not null then (upto - size / 2.0 <= owed)::int when pwhole then 1 else 0 end))::bigint as taken
-from m
+g as (select source, n as source_size, weight, case when level * weight > cap then cap end as filled from v),
+f as (select (1.5::double * (select sum(n) from t) - coalesce(sum(filled), 0)) / sum(weight) filter (filled is null) as level from g)
+select doc_id, size, source_size, round(coalesce(filled, (select level from f) * weight), 6) as target from d join g on d.source is not distinct from g.source
 """
 
+_PAYLOADS = """
+with d as (select doc_id, strlen(coalesce(text, ''))::bigint as n, encode(coalesce(text, '')) as b from documents),
+p as (select *, greatest(1, (n + 575) // 576) * 576 as size from d)
+select doc_id, n as n_bytes, size::bigint as payload_bytes, sha256(b || unhex(repeat('FF', (size - n)::int))) as payload_sha256, true as frames_ok from p
+"""
+
+
+def _licenses() -> str:
+    places = " union all ".join(f"select rid, i - 1 as at_, '{label}' as label from w where words[i : i + {len(phrase.split()) - 1}] = {phrase.split()!r}" for phrase, label in licenses.BASE)
+    return rf"""
+with d as (select row_number() over () as rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as words from documents),
+w as (select rid, words, unnest(range(1, len(words) + 1)) as i from d where list_contains(words, 'mit') or list_contains(words, 'apache') or list_contains(words, 'cc')),
+p as ({places}),
+s as (select rid, count(*) as n, min(at_) as low, max(at_) as high, string_agg(distinct label, ',' order by label) as labels from p group by rid)
+select doc_id, len(words)::bigint as n_words, coalesce(n, 0) as n_base, low as first_word, high as last_word, coalesce(labels, '') as base_labels from d left join s using (rid)
+"""
+
+
+_SECRETS = r"""
+select doc_id, len(list_filter(regexp_extract_all(coalesce(text, ''), '(?i)(password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2), lambda x: length(x) >= 12))::bigint as n_assign,
+  len(list_filter(regexp_extract_all(coalesce(text, ''), 'AKIA[A-Z0-9]+'), lambda x: length(x) >= 18))::bigint as n_access,
+  len(list_filter(regexp_extract_all(coalesce(text, ''), '[0-9a-f]+'), lambda x: length(x) >= 16))::bigint as n_hex from documents
+"""
 
 
 def _quality() -> str:
-    """The quality rules; bins and thresholds come from the operator."""
-    bins = quality.BINS
-    words = ", ".join(f"'{w}'" for w in bins)
-    langs = ", ".join(f"'{x}'" for x in quality.COMMON)
+    """The quality rules; patterns and thresholds come from the operator."""
+    sql = lambda p: p.replace("'", "''")
+    upper, digits, marks = (f"length(regexp_replace(t, '{sql(p)}', '', 'g'))" for p in (quality.UPPER, quality.DIGITS, quality.MARKS))
     return rf"""
 with d as (select row_number() over () as rid, doc_id, lang, coalesce(text, '') as t from documents),
 a as (
   select rid, doc_id, lang, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') as w,
     list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as lines,
-    regexp_extract_all(lower(t), '[^\x00-\x60\x7B-\x7F]+') as lw,
-    length(t) as n, length(regexp_replace(t, '[^\x20\x09-\x0D]+', '', 'g')) as blank,
-    length(regexp_replace(t, '[^A-Z]+', '', 'g')) as upper_, length(regexp_replace(t, '[\x09-\x0D\x20A-Za-z0-9\x{{80}}-\x{{10FFFF}}]+', '', 'g')) as other,
-    length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) as n_symbols from d),
+    regexp_extract_all(lower(t), '{quality.LETTERS}') as lw,
+    length(t) as n, length(regexp_replace(t, '[^\x20\x09-\x0D]+', '', 'g')) as blank, {upper} as upper_, {digits} as digits, {marks} as marks,
+    length(regexp_replace(t, '{quality.SYMBOLS}', '', 'g')) as n_symbols from d),
+df as (select lang, word, count(*) as n from (select rid, lang, unnest(list_distinct(lw)) as word from a where lang is not null) where length(word) <= {quality.SHORT} group by lang, word),
+common as (select lang, word from df qualify row_number() over (partition by lang order by n desc, word) <= {quality.BINS}),
 tri as (select rid, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] as g from (select rid, w, unnest(range(1, len(w) - 1)) as i from a where len(w) >= 3)),
 twice as (select rid, i from (select rid, i, count(*) over (partition by rid, g) as n from tri) where n > 1),
 rep as (select rid, count(distinct j) as n from (select rid, unnest([i, i + 1, i + 2]) as j from twice) group by rid),
 f as (
   select a.rid, doc_id, lang, len(w)::bigint as n_words, (a.n - blank)::bigint as word_chars, n_symbols::bigint as n_symbols,
     (len(lines) - len(list_distinct(lines)))::bigint as n_dup_lines, coalesce(rep.n, 0)::bigint as n_repeat_words,
-    a.n - blank - upper_ - other as c0, upper_ as c1, blank as c2, other as c3, lw
+    [upper_, digits, blank, marks, n_symbols, strlen(t) - a.n, a.n - upper_ - digits - blank - marks - n_symbols] as k, lw
   from a left join rep using (rid)),
 b as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from f),
-bin as (
-  select rid, lang, base_failed, 0 as kind, unnest([0, 1, 2, 3]) as bin, unnest([c0, c1, c2, c3]) as n from b
+hist as (
+  select rid, lang, base_failed, 'class' as kind, unnest(range({quality.KINDS}))::varchar as bin, unnest(k) as n from b where lang is not null
   union all
-  select rid, any_value(lang), any_value(base_failed), 1, word, count(*) from (
-    select rid, lang, base_failed, unnest([coalesce(list_position([{words}], x), 0) for x in lw]) as word from b) group by rid, word),
-ref as (select lang, kind, bin, sum(n) as n from bin where not base_failed and lang in ({langs}) group by all),
+  select rid, any_value(x.lang), any_value(base_failed), 'word', coalesce('=' || common.word, 'other'), count(*)
+  from (select rid, lang, base_failed, unnest(lw) as word from b where lang is not null) x left join common on x.lang = common.lang and x.word = common.word group by rid, common.word),
+known as (select lang from b where not base_failed and lang in (select lang from common) group by lang having count(*) >= {quality.MIN_TEXTS}),
+ref as (select lang, kind, bin, sum(n) as n from hist where not base_failed and lang in (select lang from known) group by all),
 q as (select lang, kind, bin, n / sum(n) over (partition by lang, kind) as q from ref),
-size_ as (select rid, kind, sum(n) as total from bin group by all),
+size_ as (select rid, lang, kind, sum(n) as total from hist where lang in (select lang from known) group by all),
 pairs as (
-  select s.rid, q.lang, q.kind, q.q, coalesce(bin.n, 0) / s.total as p, s.total
-  from size_ s join q on s.kind = q.kind left join bin on bin.rid = s.rid and bin.kind = s.kind and bin.bin = q.bin where s.total > 0
+  select s.rid, s.kind, q.q, coalesce(hist.n, 0) / s.total as p, s.total
+  from size_ s join q on s.kind = q.kind and s.lang = q.lang left join hist on hist.rid = s.rid and hist.kind = s.kind and hist.bin = q.bin where s.total > 0
   union all
-  select bin.rid, l.lang, bin.kind, 0, bin.n / s.total, s.total
-  from bin join size_ s using (rid, kind) join (select distinct lang, kind from q) l on l.kind = bin.kind
-  where bin.n > 0 and not exists (select 1 from q where q.lang = l.lang and q.kind = bin.kind and q.bin = bin.bin)),
+  select s.rid, s.kind, 0, hist.n / s.total, s.total
+  from hist join size_ s using (rid, kind) where hist.n > 0 and not exists (select 1 from q where q.lang = s.lang and q.kind = hist.kind and q.bin = hist.bin)),
 js as (
-  select rid, lang, kind, any_value(total) as total, sqrt(greatest(sum(
+  select rid, kind, any_value(total) as total, sqrt(greatest(sum(
     case when p > 0 then p * ln(p / ((p + q) / 2)) else 0 end + case when q > 0 then q * ln(q / ((p + q) / 2)) else 0 end) / 2 / ln(2.0), 0)) as far
-  from pairs group by rid, lang, kind),
+  from pairs group by rid, kind),
 bad as (
-  select distinct rid from (select rid, kind, any_value(total) as total, min(far) as far from js group by rid, kind)
-  where kind = 0 and total >= {quality.MIN_CHARS} and far > {quality.MAX_CLASS} or kind = 1 and total >= {quality.MIN_LETTER_WORDS} and far > {quality.MAX_WORDS})
+  select distinct rid from js
+  where kind = 'class' and total >= {quality.MIN_CHARS} and far > {quality.MAX_CLASS}
+     or kind = 'word' and total >= {quality.MIN_LETTER_WORDS} and far > {quality.FLOOR} + {quality.SPREAD} / sqrt(total))
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and rid not in (select rid from bad) as kept from b
 """
 
 
-SQL: dict[str, str] = {"op2_quality_rules": _quality(), "op7_mix_sources": _MIX}
+SQL: dict[str, str] = {
+    "op2_quality_rules": _quality(),
+    "media_payloads": _PAYLOADS,
+    "base_license_places": _licenses(),
+    "base_secret_counts": _SECRETS,
+    "bpe_decoded": "select doc_id, sha256(coalesce(text, '')) as decoded_sha256 from documents",
+    "mix_targets": _TARGETS,
+}

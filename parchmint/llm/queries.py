@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from parchmint.llm import bpe, flac, langid, licenses, mixing, ngram_join, oracles, quality, secrets, suffix_dedup, token_counts
 from parchmint.session import table
@@ -50,8 +51,34 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"))
 
 
+# What SQL can express of operators that it cannot express as a whole.
+
+
+def media_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op1_flac_media(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "frames_ok")
+
+
+def base_license_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op4_license_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+def base_secret_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op8_secret_scan(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
+def bpe_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op10_byte_bpe(spark, sf_dir).select("doc_id", "decoded_sha256")
+
+
+def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = op7_mix_sources(spark, sf_dir)
+    return rows.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"))
+
+
 _ALL = (
-    op1_flac_media, op2_quality_rules, op3_language_id, op4_license_scan, op5_suffix_dedup, op6_ngram_join, op7_mix_sources, op8_secret_scan, op9_token_counts, op10_byte_bpe)
+    op1_flac_media, op2_quality_rules, op3_language_id, op4_license_scan, op5_suffix_dedup, op6_ngram_join, op7_mix_sources, op8_secret_scan, op9_token_counts, op10_byte_bpe,
+    media_payloads, base_license_places, base_secret_counts, bpe_decoded, mix_targets,
+)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
