@@ -299,6 +299,24 @@ def test_written_tables_are_swept(spark):
     assert not os.path.isdir(folder)
 
 
+def test_search_over_an_index(spark):
+    from parchmint.operators import search
+
+    lines = {1: ["Water rights", "The agency grants licenses for water", "Tribal consultation is due"], 2: ["Mining", "A license to mine, no water right", "water water water"], 3: ["Empty", "nothing at all"], 4: ["Consultation of tribes", "mit license text"]}
+    rows = spark.createDataFrame([(v, i, t) for v, ts in lines.items() for i, t in enumerate(ts)], "version long, pos int, text string")
+    entries = spark.createDataFrame([(v, f"w{v % 2}", ts[0], [f"DOC-{v}"], "en" if v < 4 else "de") for v, ts in lines.items()], "version long, work string, title string, identifiers array<string>, lang string")
+    index = search.build(rows, entries, F.col("pos") == 0, 4)
+    found = lambda **k: [r["version"] for r in search.search(index, search.Request(**k)).select("version", "place").distinct().orderBy("place").collect()]
+    assert found(query="the licensed") == found(query="license") and set(found(query="license")) == {1, 2, 4}
+    assert found(query='"mit license"') == [4] and found(query='"license mit"') == []
+    assert set(found(query="license water", all_terms=True)) == {1, 2} and found(query="license", facets={"lang": "de"}) == [4]
+    assert found(query="license", versions=spark.createDataFrame([(2,), (3,)], "version long")) == [2]
+    assert found(query="doc 3") == [3] and found(query="license", limit=1) == found(query="license")[:1]
+    assert found(query="") == [] and found(query="the of and") == [] and found(query="zebra") == []
+    best = search.best_passages(index, ["water"], 2).collect()
+    assert [(r["version"], r["pos"]) for r in best][0] == (2, 2)
+
+
 def test_checks(spark):
     a = spark.createDataFrame([(1,), (1,), (2,)], "id long")
     assert [tuple(r) for r in validate.same_rows(a, a).collect()] == []
