@@ -9,13 +9,19 @@ A text is the set of its 5-word shingles (64-bit hashes); two sets link at Jacca
 3. The nodes of an inverted list are searched for the list's first node, then, for nodes that are
    not yet connected with each other, for all others. Nodes that are known to be connected need
    no search, which keeps large groups of near copies from being compared in pairs.
-4. A search takes one set as query against the inverted lists of its candidates: short lists are
-   merged by a heap, the longest are only probed, and candidates that reach the required overlap
+4. Sets that are to be found are dealt to index blocks. Each block's inverted lists are made once and
+   searched for every query that expects something there: short lists are merged by a heap, the
+   longest are only probed, and all sets of the block that reach the required overlap
    T = ceil(0.8 / 1.8 (|x| + |y|)) link.
 5. Links are joined to classes by alternating star steps.
 
+Texts are shuffled only for nodes that a search needs: a bitmap of their ids picks the rows that are
+packed, before the join decides.
+
 Null or empty text or text without words: no shingles, linked with nothing, a class of its own.
-Repeated rows: one node. Repeated ids with different texts: nodes of their own under that id.
+Repeated rows: one node. Repeated ids with different texts: nodes of their own under that id. Null
+ids are ids like others; a class of null ids only has none. Empty table: empty result. Other columns
+are ignored by ``classes`` and kept by ``keep_one``, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,13 +31,14 @@ from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parchmint.llm.common import batch_of, chunks, column, texts
+from parchmint.llm.common import Marks, batch_of, chunks, column, quoted, released, texts
 from parchmint.operators.graph import connected_components
 from parchmint.session import held, materialize
 
@@ -41,20 +48,22 @@ NUM, DEN = 4, 5
 #: Share of texts whose shingles are counted for the order, count from which a shingle comes
 #: last, and the most shingles that do so (a broadcast of at most 8 bytes each).
 SAMPLE, OFTEN, MAX_FREQUENT = 1 / 32, 2, 500_000
-#: Shingles of the candidates that one index holds; clashes of half hashes that are
-#: allowed for, first queries of a long list.
-INDEX_SHINGLES = 1_000_000
+#: Shingles of the sets that an index block holds on average, and at which it is searched in parts;
+#: clashes of half hashes that are allowed for, first queries of a long list.
+BLOCK_SHINGLES, INDEX_SHINGLES = 30_000, 1_000_000
 SLACK, HEADS = 2, 4
+#: Nodes of a block whose connections a task remembers.
+CONNECTED = 200_000
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
 class _Words(dict):
-    """Hashes of words; bounded by emptying."""
+    """Hashes of words; bounded by emptying, and emptied at the end of a task."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
+        if len(self) > 200_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
@@ -167,7 +176,7 @@ def frequent_shingles(docs: DataFrame) -> np.ndarray:
             tokens, n = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int64)), pa.array(n.astype(np.int64))], schema=schema)
 
-    often = sample.mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).filter(F.col("n") >= OFTEN)
+    often = sample.mapInArrow(released(count, _WORDS.clear), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).filter(F.col("n") >= OFTEN)
     kept = often.orderBy(F.desc("n"), "token").limit(MAX_FREQUENT).select("token").toArrow()
     return np.sort(kept.column("token").to_numpy().view(np.uint64))
 
@@ -183,49 +192,73 @@ def indexed(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
             rows = [(i, len(s), xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None, *prefix(s, shared.value), sketch(s)) for i, s in zip(column(b, "doc_id"), sets)]
             yield batch_of(schema, rows)
 
-    return texts(docs).mapInArrow(run, "doc_id long, n_shingles long, key binary, rare array<int>, often array<int>, end long, sketch array<long>")
+    return texts(docs).mapInArrow(released(run, _WORDS.clear), "doc_id long, n_shingles long, key binary, rare array<int>, often array<int>, end long, sketch array<long>")
 
 
 def _searched(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """a, b of the pairs that link: each ``a`` is searched in the inverted lists of its ``b``.
+    """a, b: links that connect whatever the pairs that link connect; ``a`` is searched in the index blocks that hold its ``b``.
 
-    A query with many candidates is dealt to several index blocks. Texts are read once.
+    Of the links within a block only those are told that connect what others there have not yet
+    connected, so a block of near copies gives no more links than sets.
     """
-    block = F.pmod(F.xxhash64("b"), F.greatest(F.ceil(F.col("n") / 256), F.lit(1))).cast("int")
-    dealt = pairs.join(pairs.groupBy("a").agg(F.count("*").alias("n")), "a").select("a", "b", block.alias("block"))
-    roles = dealt.select(F.col("b").alias("node"), "a", "block", "b").unionByName(dealt.select(F.col("a").alias("node"), "a", "block", F.lit(None).cast("long").alias("b")).distinct())
-    wanted = roles.join(nodes.select("node", F.col("doc_id").alias("d"), "key"), "node")
-    rows = _texts_of(docs, wanted, ["a", "block", "b"])
-    rows = rows.repartition("a", "block").sortWithinPartitions("a", "block", F.col("b").asc_nulls_first())
+    facts = nodes.select("node", F.col("doc_id").alias("d"), "key", "n")
+    found = pairs.select(F.col("b").alias("node")).distinct().join(facts, "node")
+    size = found.agg(F.sum("n")).first()[0] or 0
+    block_of = lambda c: F.pmod(F.xxhash64(c), F.lit(size // BLOCK_SHINGLES + 1)).cast("int")
+    queries = pairs.select(F.col("a"), block_of("b").alias("block")).distinct().select(F.col("a").alias("node"), "block", F.lit(True).alias("asks")).join(facts, "node")
+    wanted = found.select("node", block_of("node").alias("block"), F.lit(False).alias("asks"), "d", "key").unionByName(queries.drop("n"))
+    rows = _texts_of(docs, materialize(wanted, "wanted"), ["block", "asks", "node"])
+    rows = rows.repartition("block").sortWithinPartitions("block", "asks", "node")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, query, ids, held, size = None, np.zeros(0, np.uint64), [], [], 0
-
-        def flush():
+        group, ids, held, parts, size, parent = None, [], [], [], 0, {}
+
+        def root(a: int) -> int:
+            while (up := parent.setdefault(a, a)) != a:
+                parent[a] = a = parent.setdefault(up, up)
+            return a
+
+        def fresh(a: int, b: int) -> bool:
+            """Whether a link connects two parts; a memory that is emptied only repeats links."""
+            if len(parent) > CONNECTED:
+                parent.clear()
+            x, y = root(a), root(b)
+            parent[x] = y
+            return x != y
+
+        def close() -> None:
+            """One more index of the block, from the sets that have been gathered."""
             nonlocal ids, held, size
-            found = [(group[0], ids[i]) for i in Index(held).search(query)] if held else []
+            if held:
+                parts.append((Index(held), ids))
             ids, held, size = [], [], 0
-            return found
 
         unpack = zstandard.ZstdDecompressor()
         for batch in chunks(batches, "data"):
             out = []
-            for a, block, b, data in zip(*(column(batch, c) for c in ("a", "block", "b", "data"))):
-                if (a, block) != group or size > INDEX_SHINGLES:
-                    out += flush()
-                if b is None:
-                    group, query = (a, block), shingles(unpack.decompress(data))
+            last = None
+            for block, asks, node, data in zip(*(column(batch, c) for c in ("block", "asks", "node", "data"))):
+                if block != group:
+                    close()
+                    group, parts = block, []
+                    parent.clear()
+                if (asks, node) == last:  # a repeated row
                     continue
-                if ids and ids[-1] == b:  # a repeated row
-                    continue
-                ids.append(b)
-                held.append(shingles(unpack.decompress(data)))
-                size += len(held[-1])
+                last = (asks, node)
+                tokens = shingles(unpack.decompress(data))
+                if asks:
+                    close()
+                    out += [(node, at[i]) for index, at in parts for i in index.search(tokens) if fresh(node, at[i])]
+                else:
+                    ids.append(node)
+                    held.append(tokens)
+                    size += len(tokens)
+                    if size > INDEX_SHINGLES:
+                        close()
             yield batch_of(schema, out)
-        yield batch_of(schema, flush())
 
-    return rows.mapInArrow(run, "a long, b long")
+    return rows.mapInArrow(released(run, _WORDS.clear), "a long, b long")
 
 
 def solved(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -278,24 +311,42 @@ def classes(docs: DataFrame) -> DataFrame:
     return rows
 
 
+def _mark(key: Column) -> Column:
+    """56 bits of a set's key as a number."""
+    return F.conv(F.hex(F.substring(key, 1, 7)), 16, 10).cast("long")
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` without near-duplicates: of each class the one with the smallest id stays.
 
     Of rows that repeat it one stays. Rows without shingles are classes of their own and all stay.
+    Only rows whose set stands in several rows or in a class of several sets pass through a join; a
+    bitmap of these sets tells them from all others, which stay where they are.
     """
     made, nodes = solved(docs)
+    kept = nodes.groupBy("c").agg(F.min(F.struct("doc_id", "key")).alias("k"), F.count("*").alias("sets")).select(F.col("k.doc_id").alias("__d"), F.col("k.key").alias("__k"), "c", "sets")
+    several = nodes.join(kept.filter("sets > 1").select("c"), "c", "left_semi").select("key")
+    repeated = made.filter("key is not null").groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
+    suspects = materialize(several.unionByName(repeated).distinct().select(_mark(F.col("key")).alias("mark")), "suspects")
     made.unpersist()
-    kept = nodes.groupBy("c").agg(F.min(F.struct("doc_id", "key")).alias("k")).select(F.col("k.doc_id").alias("__d"), F.col("k.key").alias("__k"))
-
-    @F.pandas_udf("binary")
-    def key(col):
-        return col.map(lambda t: xxhash.xxh3_128_digest(s.tobytes()) if len(s := shingles(t)) else None, na_action=None)
-
-    rows = docs.withColumn("__key", key(F.col("text").cast("string")))
-    rows = rows.withColumn("__id", F.col("doc_id").cast("long"))
-    same = rows.filter("__key is not null").join(kept, F.col("__id").eqNullSafe(F.col("__d")) & (F.col("__key") == F.col("__k")))
-    one = same.withColumn("__n", F.row_number().over(Window.partitionBy("__id", "__key").orderBy(F.lit(1)))).filter("__n = 1")
-    return one.select(*docs.columns).unionByName(rows.filter("__key is null").select(*docs.columns))
+    marks = Marks(suspects, "mark", hashed=True)
+    bitmap, bits = marks.shared, marks.bits
+
+    def keys(columns):
+        for col in columns:
+            found = [xxhash.xxh3_128_digest(s.tobytes()) if len(s := shingles(t)) else None for t in col]
+            at = np.array([int.from_bytes(k[:7], "big") % bits if k else 0 for k in found], np.int64)
+            yield pd.DataFrame({"key": found, "suspect": Marks.known(bitmap.value, at + 1)})
+        _WORDS.clear()
+
+    key = F.pandas_udf(keys, "key binary, suspect boolean", F.PandasUDFType.SCALAR_ITER)
+    rows = docs.select(F.struct(*quoted(docs)).alias("row"), F.col("doc_id").cast("long").alias("id"), key(F.col("text").cast("string")).alias("k"))
+    # Keys are made once for each side: holding the rows would cost more disk than that costs time.
+    rows = rows.select("row", "id", "k.key", "k.suspect")
+    same = rows.filter("key is not null and suspect").join(kept.select("__d", "__k"), F.col("id").eqNullSafe(F.col("__d")) & (F.col("key") == F.col("__k")))
+    # Rows that repeat id and set: any of them may stay; which one does not follow from anything, so the first by content.
+    one = same.withColumn("n", F.row_number().over(Window.partitionBy("id", "key").orderBy(F.xxhash64("row")))).filter("n = 1")
+    return one.select("row.*").unionByName(rows.filter("key is null or not suspect").select("row.*"))
 
 
 def _crossing(labelled: DataFrame) -> DataFrame:
@@ -348,17 +399,21 @@ def _likely(pairs: DataFrame, weight: int = 1) -> DataFrame:
 
 
 def _texts_of(docs: DataFrame, wanted: DataFrame, columns: list[str]) -> DataFrame:
-    """columns of the wanted rows (d, key: a row's id and set) with data, its compressed text.
+    """columns of the wanted rows (d, key: a row's id and set; a written table) with data, its compressed text.
 
     Ids may repeat with other texts, which are left out.
     """
     packed_schema = pa.schema([("doc_id", pa.int64()), ("key", pa.binary()), ("data", pa.binary())])
+    marks = Marks(wanted.select("d"), "d")
+    bitmap = marks.shared
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=3)
-        for b in chunks(batches):
-            rows = ((i, shingles(t), t) for i, t in zip(column(b, "doc_id"), column(b, "text")))
-            yield batch_of(packed_schema, [(i, xxhash.xxh3_128_digest(s.tobytes()), pack.compress(t.encode("utf-8", "surrogatepass"))) for i, s, t in rows if len(s)])
+        for b in batches:
+            some = b.filter(pa.array(Marks.known(bitmap.value, b.column(2).to_numpy())))
+            for part in chunks([some]):
+                rows = ((i, shingles(t), t) for i, t in zip(column(part, "doc_id"), column(part, "text")))
+                yield batch_of(packed_schema, [(i, xxhash.xxh3_128_digest(s.tobytes()), pack.compress(t.encode("utf-8", "surrogatepass"))) for i, s, t in rows if len(s)])
 
-    rows = texts(docs).mapInArrow(packed, "doc_id long, key binary, data binary")
+    rows = texts(docs, marks.spot(F.col("doc_id").cast("long")).alias("spot")).mapInArrow(released(packed, _WORDS.clear), "doc_id long, key binary, data binary")
     return rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("d")) & (rows["key"] == wanted["key"])).select(*columns, "data")
