@@ -15,7 +15,8 @@
 5. The repeated windows of each text are merged to runs and cut out.
 
 Text is handled as UTF-8 bytes; null is the empty text. Texts under SPAN bytes are never cut.
-Repeated rows are copies of each other. Matches never cross texts.
+Repeated rows are copies of each other, whatever their ids. Matches never cross texts. Empty table:
+empty result. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parchmint.llm.common import batch_of, chunks, column, texts
+from parchmint.llm.common import Marks, batch_of, chunks, column, texts
 from parchmint.session import held as keep
 from parchmint.session import materialize
 
@@ -253,17 +254,24 @@ def _anchored(docs: DataFrame) -> DataFrame:
     return texts(docs).mapInArrow(run, "doc_id long, n_bytes long, sha256 string, key binary, anchors array<int>")
 
 
-def _packed(docs: DataFrame) -> DataFrame:
-    """doc_id, key, data: texts of SPAN bytes or more with their digest, compressed for the shuffle."""
+def _packed(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """doc_id, key, data: texts of SPAN bytes or more with their digest, compressed for the shuffle.
+
+    Only rows whose id is among those of the written table ``wanted`` (d), or that a bitmap takes for them.
+    """
+    marks = Marks(wanted.select("d"), "d")
+    bitmap = marks.shared
     schema = pa.schema([("doc_id", pa.int64()), ("key", pa.binary()), ("data", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=3)
-        for b in chunks(batches):
-            values = [(i, raw(t)) for i, t in zip(column(b, "doc_id"), column(b, "text"))]
-            yield batch_of(schema, [(i, xxhash.xxh3_128_digest(v), pack.compress(v)) for i, v in values if len(v) >= SPAN])
+        for b in batches:
+            some = b.filter(pa.array(Marks.known(bitmap.value, b.column(2).to_numpy())))
+            for part in chunks([some]):
+                values = [(i, raw(t)) for i, t in zip(column(part, "doc_id"), column(part, "text"))]
+                yield batch_of(schema, [(i, xxhash.xxh3_128_digest(v), pack.compress(v)) for i, v in values if len(v) >= SPAN])
 
-    return texts(docs).mapInArrow(run, "doc_id long, key binary, data binary")
+    return texts(docs, marks.spot(F.col("doc_id").cast("long")).alias("spot")).mapInArrow(run, "doc_id long, key binary, data binary")
 
 
 def _contexts(held: DataFrame) -> DataFrame:
@@ -395,9 +403,9 @@ def removed(docs: DataFrame) -> DataFrame:
     # Written, so that the join reads two plain shuffles and Spark can split an anchor that many texts share.
     twice = materialize(places.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor", (F.col("n") > HOT).alias("hot")), "twice")
     wanted = places.join(twice, "anchor").groupBy("node").agg(F.collect_set("anchor").alias("twice"), F.collect_set(F.when(F.col("hot"), F.col("anchor"))).alias("hot"))
-    wanted = wanted.join(nodes, "node").select("node", "twice", "hot", F.col("key").alias("k"), F.col("doc_id").alias("d"), "copies")
+    wanted = materialize(wanted.join(nodes, "node").select("node", "twice", "hot", F.col("key").alias("k"), F.col("doc_id").alias("d"), "copies"), "wanted")
     # By id and digest: other texts may stand under the same id, or under none.
-    held = _packed(docs).join(wanted, (F.col("key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("d"))).select("node", "data", "twice", "hot", "copies")
+    held = _packed(docs, wanted).join(wanted, (F.col("key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("d"))).select("node", "data", "twice", "hot", "copies")
     held = materialize(held, "held")
     around = materialize(_contexts(held), "contexts")
     known = around.filter("data is null").select("node", F.col("start").alias("low"), (F.col("start") + F.col("owned") - 1 + SPAN).alias("high"))
@@ -409,10 +417,13 @@ def removed(docs: DataFrame) -> DataFrame:
     label = nodes.join(cut, "node", "left").select("key", "copies", "n_removed", "n_spans", "kept_sha256")
     gone = (F.col("copies") > 1) & (F.col("n_bytes") >= SPAN)
     zero = F.lit(0).cast("long")
-    return made.select("doc_id", "n_bytes", "sha256", "key").join(label, "key").select(
+    found = made.select("doc_id", "n_bytes", "sha256", "key").join(label, "key").select(
         "doc_id",
         "n_bytes",
         F.when(gone, F.col("n_bytes")).otherwise(F.coalesce("n_removed", zero)).alias("n_removed"),
         F.when(gone, zero + 1).otherwise(F.coalesce("n_spans", zero)).alias("n_spans"),
         F.when(gone, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("kept_sha256", "sha256")).alias("kept_sha256"),
     )
+    found = materialize(found, "removed")
+    made.unpersist()
+    return found
