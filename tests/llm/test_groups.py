@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 import corpus_pipeline
 from parchmint.llm import bpe, mixing, ngram_join, quality, secrets, suffix_dedup
 
+ENGLISH = "the of and to in a is that it for was on"
 EXTRA = "doc_id long, text string, lang string, source string, n_chars long"
 
 
@@ -152,17 +153,17 @@ def test_suffixes_are_sorted():
 
 def test_pipeline_stages(spark, tmp_path):
     rng = random.Random(9)
-    common = quality.COMMON["en"].split()
+    common = ENGLISH.split()
     other = [f"{a}{b}{c}" for a in ("ka", "lo", "mi") for b in ("ra", "ten", "vik") for c in ("el", "do", "sun")]
     text = lambda: " ".join(rng.choice(common if rng.random() < 0.5 else other) for _ in range(120)).capitalize() + "."
-    rows = [(i, text(), "en", f"s{i % 2}", None) for i in range(40)]
-    rows += [(50, rows[0][1] + " token = abcdefghij123456", "en", "s0", 1), (51, " ".join(w + "$$$" for w in rows[1][1].split()), "en", "s1", 1), (52, "too short", "en", "s0", 1)]
+    rows = [(i, text(), "en", f"s{i % 2}", None) for i in range(60)]
+    rows += [(100, rows[0][1] + " token = abcdefghij123456", "en", "s0", 1), (101, " ".join(w + "$$$" for w in rows[1][1].split()), "en", "s1", 1), (102, "too short", "en", "s0", 1)]
     rows[5] = (5, rows[5][1] + " password: abcdefghijkl99", "en", "s1", None)
     docs = spark.createDataFrame(rows, EXTRA)
     kept = corpus_pipeline.quality_rules(spark, docs, "")
-    assert {r["doc_id"] for r in kept.collect()} == {*range(40), 50} and kept.columns == docs.columns
+    assert {r["doc_id"] for r in kept.collect()} == {*range(60), 100} and kept.columns == docs.columns
     one = corpus_pipeline.near_duplicates(spark, kept, "")
-    assert {r["doc_id"] for r in one.collect()} == set(range(40)) and one.columns == docs.columns
+    assert {r["doc_id"] for r in one.collect()} == set(range(60)) and one.columns == docs.columns
     clean = corpus_pipeline.secret_scan(spark, one, "")
     assert clean.columns == docs.columns and "abcdefghijkl99" not in "".join(r["text"] for r in clean.collect())
     mixed = corpus_pipeline.mix_sources(spark, clean, "")
@@ -174,7 +175,7 @@ def test_pipeline_stages(spark, tmp_path):
     want = Counter()
     taken = {r["doc_id"]: r["taken"] // max(1, r["size"]) for r in mixing.digest(clean).collect()}
     coder = bpe.Encoder(bpe.default_ranks(), bpe.default_pattern())
-    for i, t, *_ in rows[:40]:
+    for i, t, *_ in rows[:60]:
         base = secrets.base_spans(t)
         for s, _, e in sorted(base + secrets.markov_spans(t, ratios, base), reverse=True):
             t = t[:s] + "[SECRET]" + t[e:]
