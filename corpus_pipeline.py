@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. All but the last
 return the columns of documents. The stages' models, statistics and targets come from their input.
+
+Null or empty texts fail the quality rules; further stages take them as their operators say: classes
+of their own, no secrets, size 0, no ids. Null ids, languages and sources are values like others.
+Repeated rows are near-duplicates of each other, so one stays. An empty table stays empty through
+all stages. Columns beside those of documents pass through all stages but the last.
 """
 
 from __future__ import annotations
@@ -9,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from parchmint.llm import bpe, mixing, ngram_join, quality, secrets
-from parchmint.session import materialize, table
+from parchmint.session import let_go, materialize, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,4 +61,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
             docs = materialize(docs, f"stage{i}")
+            let_go(spark)
     return docs
