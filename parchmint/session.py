@@ -42,6 +42,9 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: Bytes of a written table's row groups and rows of a held table's batches: what a task buffers in the heap.
+ROW_GROUP, HELD_ROWS = 32 << 20, 1_000
+
 _WRITTEN: dict[str, list[str]] = {}
 
 
@@ -50,7 +53,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/parchmint-{name}-{uuid.uuid4().hex}"
     _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -80,6 +83,7 @@ def held(df: DataFrame) -> DataFrame:
     ids) or would drag shuffles along is written by ``materialize``. ``let_go`` frees what the
     caller has not freed by ``unpersist``.
     """
+    df.sparkSession.conf.set("spark.sql.inMemoryColumnarStorage.batchSize", str(HELD_ROWS))
     kept = df.persist(StorageLevel.DISK_ONLY)
     _HELD.setdefault(df.sparkSession.sparkContext.applicationId, []).append(kept)
     return kept
