@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from parchmint.llm.common import batch_of, chunks, column, released, texts
 
 #: Distinct matches whose ids a task keeps; beyond it the memory is emptied and filled anew.
-MEMORY = 200_000
+MEMORY = 100_000
 #: Matches longer than this are encoded each time and not kept.
 MEMORY_LENGTH = 64
 
