@@ -94,7 +94,69 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 """
 
 
+_FIM = r"""
+with d as (
+  select row_number() over () as rid, doc_id, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') as u, sha256('7:' || coalesce(doc_id::varchar, '')) as h from documents),
+r as (select *, len(u)::bigint as n, list_transform([1, 9, 17, 25], lambda i: ('0x' || substr(h, i, 8))::bigint) as k from d),
+c as (
+  select *, least(k[1] % (n + 1), k[2] % (n + 1)) as low, greatest(k[1] % (n + 1), k[2] % (n + 1)) as high,
+    case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') then 'plain' when k[4] % 100 < 50 then 'spm' else 'psm' end as form from r),
+p as (
+  select doc_id, t, n, form, coalesce(array_to_string(u[1:low], ''), '') as prefix, coalesce(array_to_string(u[low + 1:high], ''), '') as middle, coalesce(array_to_string(u[high + 1:n], ''), '') as suffix from c)
+select doc_id, n, form, case when form <> 'plain' then length(prefix)::bigint end as prefix_chars, case when form <> 'plain' then length(middle)::bigint end as middle_chars,
+  sha256(case form when 'plain' then t when 'psm' then '<P>' || prefix || '<S>' || suffix || '<M>' || middle else '<S>' || suffix || '<P>' || prefix || '<M>' || middle end) as output_sha256, sha256(t) as restored_sha256 from p
+"""
+
+# The plain way: the cheapest audit string of each state, turn by turn, as text.
+_CONVERSATIONS = r"""
+with recursive r as (
+  select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text, coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ') as k from conversations),
+h as (
+  select *, xor(list_reduce(list_concat([4294967295::bigint], list_transform(range(1, length(k) + 1), lambda i: ord(k[i])::bigint)),
+    lambda c, b: list_reduce(list_concat([xor(c, b)], range(8)), lambda x, y: xor(x >> 1, case when x & 1 = 1 then 3988292384::bigint else 0 end))), 4294967295::bigint) % 20 as how from r),
+d as (
+  select conv_id, turn, case when how = 4 then 'user' else role end as role, case how when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text,
+    unnest(range(case when how = 3 then 2 else 1 end)) as copy from h where how <> 0),
+o as (select *, row_number() over (partition by conv_id order by turn nulls first, role, md5(text), copy) as i, regexp_replace(text, '[ 	-]+$', '') as rest from d),
+f as (
+  select *, case when rest = '' then 'blank' when row_number() over (partition by conv_id, role, text order by i) > 1 then 'duplicate' when right(rest, 1) not in ('.', '!', '?') then 'truncated' end as fault,
+    left(role, 1) as c, lag(left(role, 1)) over (partition by conv_id order by i) as c_before from o),
+next(p, c, s) as (values (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)),
+ins as (
+  select p, p as s, '' as run, 0 as paid from range(4) t(p) union all select p, s, 'I', 5 from next where c <> 's'
+  union all select a.p, b.s, 'II', 10 from next a join next b on a.s = b.p where a.c <> 's' and b.c <> 's'),
+edits as (select ins.p, run || 'D' as code, paid + 2 as paid, s, null::varchar as c, 'D' as what from ins union all
+  select ins.p, run || what, paid + cost, next.s, next.c, what from ins join next on ins.s = next.p, (values ('K', 0), ('R', 1)) w(what, cost) where what = 'K' or next.c <> 's'),
+best as (
+  select conv_id, 0::bigint as i, 0 as s, {'cost': 0::bigint, 'audit': ''} as b from (select distinct conv_id from d)
+  union all
+  select best.conv_id, best.i + 1, edits.s, min({'cost': b.cost + edits.paid + case when fault = 'truncated' and what <> 'D' then 5 else 0 end, 'audit': b.audit || code})
+  from best join f on best.conv_id is not distinct from f.conv_id and f.i = best.i + 1 join edits on edits.p = best.s
+    and (what = 'D' or coalesce(fault, '') not in ('blank', 'duplicate') and (what = 'R' or edits.c = f.c))
+  group by best.conv_id, best.i, edits.s),
+ends as (
+  select conv_id, min({'cost': b.cost + 5 * n, 'audit': b.audit || repeat('I', n)}) as b
+  from best join (values (0, 0), (1, 2), (2, 1), (3, 0)) t(s, n) using (s) join (select conv_id as c, max(i) as n_rows from f group by conv_id) m on best.conv_id is not distinct from m.c and best.i = m.n_rows group by conv_id),
+letters as (select conv_id, b.audit as audit, unnest(range(1, length(b.audit) + 1)) as j from ends),
+taken as (select conv_id, j, audit[j] as e, sum(case when audit[j] <> 'I' then 1 else 0 end) over (partition by conv_id order by j) as i from letters),
+kept as (
+  select t.conv_id, j, e, case when e = 'I' then '' else f.text end as text, f.role, row_number() over (partition by t.conv_id order by j) as place
+  from taken t left join f on t.conv_id is not distinct from f.conv_id and t.i = f.i where e <> 'D'),
+told as (
+  select conv_id, j, text, case when e = 'K' then role when (place + bool_or(place = 1 and e = 'K' and role[1] = 's') over (partition by conv_id)::int) % 2 = 1 then 'user' else 'assistant' end as role from kept),
+texts as (select conv_id, sha256(string_agg(role || ':' || text, chr(10) order by j)) as digest from told group by conv_id),
+sums as (
+  select conv_id, case when max(turn) is null then 0 else max(turn) - min(turn) + 1 - count(distinct turn) end as gaps, count(*) filter (fault = 'blank') as blank, count(*) filter (fault = 'duplicate') as duplicate,
+    count(*) filter (fault = 'truncated') as truncated, count(*) filter (i > 1 and c_before || c not in ('su', 'ua', 'au')) as illegal from f group by conv_id)
+select e.conv_id, coalesce(gaps, 0)::bigint as gaps, coalesce(blank, 0)::bigint as blank, coalesce(duplicate, 0)::bigint as duplicate, coalesce(truncated, 0)::bigint as truncated, coalesce(illegal, 0)::bigint as illegal,
+  coalesce(b.cost, 0)::bigint as cost, coalesce(b.audit, '') as audit, coalesce(digest, sha256('')) as repaired_sha256
+from (select distinct conv_id from conversations) e left join sums on e.conv_id is not distinct from sums.conv_id left join ends on e.conv_id is not distinct from ends.conv_id left join texts on e.conv_id is not distinct from texts.conv_id
+"""
+
+
 SQL: dict[str, str] = {
+    "op11_conversation_repair": _CONVERSATIONS,
+    "op13_fill_in_middle": _FIM,
     "op2_quality_rules": _quality(),
     "media_payloads": _PAYLOADS,
     "base_license_places": _licenses(),

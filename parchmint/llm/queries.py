@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parchmint.llm import bpe, flac, langid, licenses, mixing, ngram_join, oracles, quality, secrets, suffix_dedup, token_counts
+from parchmint.llm import bpe, conversations, fim, flac, langid, licenses, mixing, ngram_join, oracles, packing, quality, secrets, suffix_dedup, token_counts
 from parchmint.session import table
 
 
@@ -51,6 +51,18 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.digest(table(spark, sf_dir, "conversations"))
+
+
+def op12_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.digest(table(spark, sf_dir, "documents"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digest(table(spark, sf_dir, "documents"))
+
+
 # What SQL can express of operators that it cannot express as a whole.
 
 
@@ -77,6 +89,7 @@ def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _ALL = (
     op1_flac_media, op2_quality_rules, op3_language_id, op4_license_scan, op5_suffix_dedup, op6_ngram_join, op7_mix_sources, op8_secret_scan, op9_token_counts, op10_byte_bpe,
+    op11_conversation_repair, op12_curve_packing, op13_fill_in_middle,
     media_payloads, base_license_places, base_secret_counts, bpe_decoded, mix_targets,
 )
 
