@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -51,11 +52,14 @@ def find(text: str | None) -> list[tuple[str, str, str, str, int, int]]:
                 hits.append((kind, m[1], x[1], "", x.start(1), x.end(1)))
                 end = x.end()
     hits.sort(key=lambda h: (h[4] - h[5], h[4]))
-    kept: list[tuple[str, str, str, str, int, int]] = []
+    kept: list[tuple[str, str, str, str, int, int]] = []  # disjoint, by start
+    starts: list[int] = []
     for h in hits:
-        if all(h[5] <= o[4] or o[5] <= h[4] for o in kept):
-            kept.append(h)
-    return sorted(kept, key=lambda h: h[4])
+        i = bisect_left(starts, h[5])  # only the last one that begins before this one's end can overlap it
+        if not i or kept[i - 1][5] <= h[4]:
+            starts.insert(i, h[4])
+            kept.insert(i, h)
+    return kept
 
 
 def spans(rows: DataFrame, key: str, text: str) -> DataFrame:

@@ -167,7 +167,7 @@ def _available(spark, d):
 
 
 def _scoped(spark, d):
-    rows = _records(spark, d).withColumn("refs", F.array(F.struct(F.col("state").alias("ref"), F.when(F.col("id") % 2 == 0, "reviewed").otherwise("proposed").alias("state"))))
+    rows = _records(spark, d).withColumn("refs", F.array(F.struct(F.col("state").alias("ref"), F.when(F.col("id") % 3 == 0, "reviewed").otherwise("proposed").alias("state"))))
     return scoped(rows, {"level": "state", "o_orderstatus": "O", "state": None}, ("refs", "S3")).select("id")
 
 
@@ -249,7 +249,7 @@ _RANKED = "case v when 'public' then 0 when 'community' then 1 when 'internal' t
 QUERIES = {
     "policy_area": (_area, "select o_orderkey as id, o_orderkey % 3 = 1 or o_orderkey % 5 = 1 as broad, (o_orderkey % 3 = 1 and o_orderkey % 4 = 1) or (o_orderkey % 5 = 1 and o_orderkey % 2 = 1) as narrow, array_to_string(list_sort(list_distinct(['c' || o_orderkey % 3 || '/s' || o_orderkey % 4, 'c' || o_orderkey % 5 || '/s' || o_orderkey % 2])), ',') as compact from orders"),
     "nation_availability": (_available, "select o_orderkey as id, case when o_orderkey % 4 = 0 then true when o_orderkey % 4 = 1 then o_orderkey % 7 in (1, 4) or (o_orderkey % 25 = 8 and o_orderkey % 3 != 0) else o_orderkey % 25 = 8 and o_orderkey % 3 != 0 end as shown from orders"),
-    "search_scope": (_scoped, "select o_orderkey as id from orders where o_orderkey % 4 = 1 and o_orderstatus = 'O' and o_orderkey % 7 = 3 and o_orderkey % 2 = 0"),
+    "search_scope": (_scoped, "select o_orderkey as id from orders where o_orderkey % 4 = 1 and o_orderstatus = 'O' and o_orderkey % 7 = 3 and o_orderkey % 3 = 0"),
     "source_regions": (_regions, "select s_suppkey from supplier where s_suppkey % 9 = 0 or s_suppkey % 4 = 1 or s_suppkey % 5 = 1"),
     "review_status": (_review, "with c as (select *, date '2024-01-01' + (s_suppkey % 60)::int as r from supplier) select s_suppkey, case when r > date '2024-02-10' then 'future' when not s_acctbal > 0 then 'unqualified' when s_suppkey % 4 > 0 and r + 20 <= date '2024-02-10' then 'expired' else 'current' end as status from c"),
     "stated_identifiers": (_identifiers, "select o_orderkey from orders where o_orderkey % 50 = 7 or o_orderkey % 20 = 5 or o_orderkey % 30 = 9"),

@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from parchmint.functions import text as T
 from parchmint.operators.retrieval import B, K1, TERMS, _FOLD, _P, passages
-from parchmint.session import materialize, table
+from parchmint.operators import temporal
+from parchmint.session import ON_SWEEP, materialize, stamp, table
 
 #: Weights of a document's score and of what stands around a passage (fixed values).
 TITLE, TOP3, PHRASE, PER_TERM, HEADING, NEIGHBOUR, FROM_DOCUMENT, FADE = 0.75, 0.25, 4.0, 1.25, 0.35, 0.15, 0.3, 0.18
@@ -177,18 +178,24 @@ def search(index: Index, request: Request) -> DataFrame:
 
 # --- queries --------------------------------------------------------------------------------------
 
-_INDEXES: dict[tuple[str, str], Index] = {}
+_INDEXES: dict[tuple[str, str], tuple[str, Index]] = {}
+
+
+@ON_SWEEP.append
+def _forget(application: str) -> None:
+    for key in [k for k in _INDEXES if k[0] == application]:
+        del _INDEXES[key]
 
 
 def index_of(spark: SparkSession, d: str) -> Index:
-    """The documents' index: built at a session's first query over a folder, then used again."""
-    key = (spark.sparkContext.applicationId, d)
-    if key not in _INDEXES:
-        docs = table(spark, d, "documents")
+    """The documents' index: built at a session's first query over a folder, used again while its files stay as they are."""
+    docs, key = table(spark, d, "documents"), (spark.sparkContext.applicationId, d)
+    now = stamp(docs)
+    if key not in _INDEXES or _INDEXES[key][0] != now:
         rows = passages(docs).select(F.col("doc_id").alias("version"), "pos", "text")
         entries = docs.select(F.col("doc_id").alias("version"), F.col("source").alias("work"), "lang", F.split("text", "\n")[0].alias("title"), F.array(F.concat(F.lit("doc-"), F.col("doc_id").cast("string"))).alias("identifiers"))
-        _INDEXES[key] = build(rows, materialize(entries, "entries"), F.size(T.tokens(F.col("text"))) <= 3)
-    return _INDEXES[key]
+        _INDEXES[key] = now, build(rows, materialize(entries, "entries"), F.size(T.tokens(F.col("text"))) <= 3)
+    return _INDEXES[key][1]
 
 
 def _top(spark, d):
@@ -204,8 +211,12 @@ def _policy(spark, d):
 
 
 def _policy_phrase(spark, d):
-    even = table(spark, d, "documents").filter("doc_id % 2 = 0").select(F.col("doc_id").alias("version"))
-    return search(index_of(spark, d), Request('software "mit license"', all_terms=False, versions=even, limit=10, passage_limit=2))
+    """Among the version of each work (three documents) that is the latest one on a day; a tie leaves the work out."""
+    day = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") * 7 % 60).cast("int"))
+    dated = table(spark, d, "documents").select(F.floor(F.col("doc_id") / 3).alias("work"), F.col("doc_id").alias("version"), F.lit(None).cast("timestamp").alias("observed"), *(day.cast("timestamp").alias(c) for c in ("p_low", "p_high", "v_low", "v_high"))).distinct()
+    events = spark.createDataFrame([], "version long, type string, low timestamp, high timestamp")
+    chosen = temporal.select_versions(temporal.as_of(dated, events, "2024-02-10", "source_available"), dated).filter("state = 'supported_source_snapshot'")
+    return search(index_of(spark, d), Request('software "mit license"', all_terms=False, versions=chosen.select(F.col("versions").cast("long").alias("version")), limit=10, passage_limit=2))
 
 
 def _identifier(spark, d):
@@ -245,7 +256,7 @@ QUERIES = {
     "bm25_passage_topk": (_top, _P + "select doc_id, pos, round(bm + 1.25 * matched, 6) as score from k where matched > 0 order by score desc, doc_id, pos limit 20"),
     "phrase_gate": (_phrase, _P + "select doc_id, pos, round(bm + 1.25 * matched + 4, 6) as score from k where matched > 0 and contains(' ' || array_to_string(w, ' ') || ' ', ' mit license ') order by score desc, doc_id, pos limit 20"),
     "policy_search": (_policy, _found("['licens', 'thereon']", "lang = 'en'", None, 20, 5)),
-    "policy_search_phrase": (_policy_phrase, _found("['softwar', 'mit', 'licens']", "doc_id % 2 = 0", "mit license", 10, 2)),
+    "policy_search_phrase": (_policy_phrase, _found("['softwar', 'mit', 'licens']", "doc_id in (select v.doc_id from (select doc_id, doc_id // 3 as work, doc_id * 7 % 60 as day from documents where doc_id * 7 % 60 <= 40) v group by v.work, v.doc_id, v.day having v.day = (select max(m.doc_id * 7 % 60) from documents m where m.doc_id // 3 = v.work and m.doc_id * 7 % 60 <= 40))", "mit license", 10, 2)),
     "identifier_search": (_identifier, "select doc_id as version, true as exact, (row_number() over (order by source, doc_id))::int as place from documents where doc_id = 12"),
     "term_dictionary": (_stems, _FOLD.strip().rsplit("select word", 1)[0] + r""", line as (select unnest(string_split(text, chr(10))) as text from documents),
 df as (select word, count(*) as df from (select unnest(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'))) as word from line) group by word)

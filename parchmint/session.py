@@ -6,9 +6,11 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: str = "*", partitions: int = 8) -> SparkSession:
@@ -62,6 +64,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def stamp(df: DataFrame) -> str:
+    """What changes when a file that ``df`` reads is added, removed or written anew: a hash over names, sizes and times."""
+    files = df.select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+    return str(tuple(files.agg(F.count("*"), F.expr("bit_xor(xxhash64(*))")).first()))
+
+
 def ship(spark: SparkSession) -> SparkSession:
     """Give executors this package, once a Spark context: Python workers need not have it installed."""
     context = spark.sparkContext
@@ -95,9 +103,16 @@ def let_go(spark: SparkSession) -> None:
         df.unpersist()
 
 
+#: What else is to be forgotten when the tables of an application are deleted.
+ON_SWEEP: list[Callable[[str], None]] = []
+
+
 def sweep(spark: SparkSession) -> None:
     """Delete all tables that ``materialize`` has written in this session: for the end of a job, when nothing reads them any more."""
-    paths, jvm = _WRITTEN.pop(spark.sparkContext.applicationId, []), spark._jvm
+    application = spark.sparkContext.applicationId
+    for forget in ON_SWEEP:
+        forget(application)
+    paths, jvm = _WRITTEN.pop(application, []), spark._jvm
     for path in paths:
         at = jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
