@@ -539,6 +539,26 @@ def read_samples(data: bytes, offset: int, count: int) -> bytes:
     return np.concatenate(x)[offset - first : offset - first + count].astype(np.int8 if s.bits <= 8 else "<i2" if s.bits <= 16 else "<i4").tobytes()
 
 
+def intact(media: bytes, found: list[tuple]) -> bool:
+    """Whether all frames hold and are, in their order, what the stream's MD5 was made of (a stream may state none)."""
+    if not all(x[2] for x in found):
+        return False
+    told = Stream(media).md5
+    return not any(told) or hashlib.md5(b"".join(x[3] for x in found)).digest() == told
+
+
+def verified(media: DataFrame) -> DataFrame:
+    """doc_id, frames, bad_frames, ok: each stream's frames by their checksums and the whole by its MD5; null media are left out."""
+    schema = pa.schema([("doc_id", pa.int64()), ("frames", pa.int64()), ("bad_frames", pa.int64()), ("ok", pa.bool_())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in chunks(batches, "media"):
+            values = column(b, "media")
+            yield batch_of(schema, [(i, len(found), sum(not x[2] for x in found), intact(m, found)) for i, m, found in zip(column(b, "doc_id"), values, decode_many(values))])
+
+    return media.filter(F.col("media").isNotNull()).select("doc_id", "media").mapInArrow(run, "doc_id long, frames long, bad_frames long, ok boolean")
+
+
 # --- Spark --------------------------------------------------------------------------------------
 
 
@@ -580,7 +600,7 @@ def features(media: DataFrame) -> DataFrame:
                 data = (pcm.view(np.uint8) ^ 128).tobytes()
                 wide = pcm.astype(np.int64)
                 said = f"blocks={len(found)};mean={int(wide.sum()) * 1000 // max(1, len(wide))};energy={int((wide * wide).sum()) // max(1, len(wide))};crossings={int(((pcm[1:] < 0) != (pcm[:-1] < 0)).sum())}"
-                rows.append((i, n, len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-32:]), len(m), hashlib.sha256(m).hexdigest(), said, all(x[2] for x in found)))
+                rows.append((i, n, len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-32:]), len(m), hashlib.sha256(m).hexdigest(), said, intact(m, found)))
             yield batch_of(schema, rows)
 
     return media.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, frames_ok boolean")

@@ -25,7 +25,7 @@ from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parchmint.llm.common import batch_of, chunks, column, texts
@@ -46,6 +46,8 @@ ALPHABET = string.ascii_letters + string.digits + "+/_=-."
 STATES = len(ALPHABET) + 1
 #: Documents whose strings train the models: a fixed bound on labelled rows.
 TRAIN_DOCUMENTS = 4000
+#: Range of the hash that picks them.
+HASHES = 1 << 62
 #: A string is a secret if the ratio exceeds both, in nats: in all and for each bigram.
 MIN_RATIO, MIN_RATIO_EACH = 15.0, 1.0
 
@@ -98,6 +100,11 @@ def generated(n: int = 6000, seed: int = 7) -> list[str]:
     return ["".join(rng.choice(sets[i % 4]) for _ in range(32)) for i in range(n)]
 
 
+def picked_by_hash(mark: Column, share: float) -> Column:
+    """Whether a row with a 64-bit hash belongs to a share of all rows, however small it is."""
+    return F.pmod(mark, F.lit(HASHES)) < F.lit(int(share * HASHES))
+
+
 def fit(docs: DataFrame, max_documents: int = TRAIN_DOCUMENTS) -> np.ndarray:
     """STATES x STATES log-likelihood ratios (random against ordinary).
 
@@ -107,7 +114,7 @@ def fit(docs: DataFrame, max_documents: int = TRAIN_DOCUMENTS) -> np.ndarray:
     rows = docs.count()
     share = min(1.0, max_documents / max(rows, 1))
     # Picked rows come from all splits; a second scan of the table is all that this costs.
-    picked = texts(docs).filter(F.pmod(F.xxhash64(F.col("doc_id"), F.col("text")), F.lit(1_000_000)) < int(share * 1_000_000))
+    picked = texts(docs).filter(picked_by_hash(F.xxhash64(F.col("doc_id"), F.col("text")), share))
     schema = pa.schema([("cell", pa.int32()), ("n", pa.int64())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

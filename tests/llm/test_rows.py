@@ -10,6 +10,7 @@ import zlib
 import numpy as np
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 from parchmint.llm import bpe, flac, langid, licenses, mixing, ngram_join, quality, secrets, suffix_dedup, token_counts
 
@@ -59,6 +60,24 @@ def test_flac_round_trip_and_seek():
     assert flac.read_samples(media[-1], 5000, 700) == (np.frombuffer(big, np.uint8)[5000:5700] ^ 128).tobytes()
 
 
+def test_flac_md5_finds_exchanged_frames(spark):
+    x = (np.arange(1152) % 251).astype(np.uint8)
+    one, other = (flac.encode_many([p.tobytes()])[0] for p in (x, np.concatenate([x[576:], x[:576]])))
+    head = flac.Stream(one).first
+    mixed = one[:head] + other[flac.Stream(other).first :]  # frames that all hold, of another stream
+    rows = spark.createDataFrame([(1, one), (2, mixed), (3, b"no stream"), (4, None)], "doc_id long, media binary")
+    got = {r["doc_id"]: (r["bad_frames"], r["ok"]) for r in flac.verified(rows).collect()}
+    assert got == {1: (0, True), 2: (0, False), 3: (1, False)}
+
+
+def test_secret_sample_does_not_vanish_in_large_tables(spark):
+    share = secrets.TRAIN_DOCUMENTS / 5e10
+    assert int(share * secrets.HASHES) > 0
+    marks = spark.range(200_000).selectExpr("xxhash64(id) as m")
+    n = marks.filter(secrets.picked_by_hash(F.col("m"), 0.01)).count()
+    assert 1700 < n < 2300
+
+
 def test_flac_checksums_find_damage():
     media = bytearray(flac.encode_many([b"some text " * 576])[0])
     media[-300] ^= 4
