@@ -12,8 +12,10 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from parchmint.session import ship, table
+from parchmint.sources.markup import code_levels
 
 #: Shapes of answers, as schemas.
 REGISTER = "count long, results array<struct<document_number:string,title:string,type:string,agencies:array<struct<name:string,id:long>>,publication_date:string,abstract:string>>"
@@ -52,13 +54,39 @@ def odata_rows(rows: DataFrame, key: str, body: str) -> DataFrame:
     return items.select(key, F.col("Key").alias("entry"), F.col("Name").alias("name"), F.when(ms != "", F.timestamp_millis(ms.cast("long"))).alias("modified"))
 
 
+def _shape(paths: list[list[str]]) -> T.ArrayType:
+    """The type of an element that holds these paths: every child may be missing or stand several times."""
+    names = dict.fromkeys(p[0] for p in paths)
+    inner = {n: [p[1:] for p in paths if p[0] == n and len(p) > 1] for n in names}
+    return T.ArrayType(T.StructType([T.StructField(n, _shape(inner[n]) if inner[n] else T.StringType() if n[0] == "_" else T.ArrayType(T.StringType())) for n in names]))
+
+
+def _below(at: Column, path: list[str]) -> Column:
+    """The values under a path of child elements (_name: an attribute) of an array of elements, in order."""
+    for name in path:
+        found = F.transform(at, _field(name))
+        at = F.filter(found, lambda v: v.isNotNull()) if name[0] == "_" else F.flatten(F.filter(found, lambda v: v.isNotNull()))
+    return at
+
+
+def _field(name: str):
+    return lambda element: element[name]
+
+
 def xml_rows(rows: DataFrame, key: str, body: str, item: str, fields: dict[str, str]) -> DataFrame:
-    """key, pos and a column for each field: the elements that an XPath names, by paths below them; faults are left out.
+    """key, pos and a column for each field: the elements of a path, by paths below them (@name: an attribute).
 
-    A SOAP fault or malformed markup gives no rows: see ``xml_faults``.
+    A path that ends in [] gives the array of all its values; others give the first value, null where an
+    item lacks it. Prefixes of namespaces don't count. Malformed markup or a SOAP fault gives no rows:
+    see ``xml_faults``.
     """
-    arrays = [F.xpath(body, F.lit(f"{item}/{path}/text()")).alias(name) for name, path in fields.items()]
-    return rows.select(key, F.posexplode(F.arrays_zip(*arrays)).alias("pos", "x")).select(key, "pos", *(F.col(f"x.{n}").alias(n) for n in fields))
+    steps = item.strip("/").split("/")[1:]
+    paths = {n: [s.replace("@", "_") for s in p.removesuffix("[]").split("/")] for n, p in fields.items()}
+    shape = _shape([steps + p for p in paths.values()]).elementType
+    root = F.array(F.from_xml(body, shape, {"ignoreNamespace": "true", "mode": "PERMISSIVE"}))
+    items = rows.select(key, F.posexplode(_below(F.filter(root, lambda r: r.isNotNull()), steps)).alias("pos", "x"))
+    value = lambda n: _below(F.array("x"), paths[n])
+    return items.select(key, "pos", *((value(n) if p.endswith("[]") else F.get(value(n), F.lit(0))).alias(n) for n, p in fields.items()))
 
 
 def xml_faults(rows: DataFrame, key: str, body: str) -> DataFrame:
@@ -69,11 +97,9 @@ def xml_faults(rows: DataFrame, key: str, body: str) -> DataFrame:
 
 
 def sections(rows: DataFrame, key: str, body: str) -> DataFrame:
-    """key, identifier, heading, text: sections of a code in its legislative XML."""
-    names = {"identifier": "@identifier", "heading": "heading", "text": "content/p"}
-    arrays = [F.xpath(body, F.lit(f"//section/{p}" if p[0] == "@" else f"//section/{p}/text()")).alias(n) for n, p in names.items()]
-    rows = rows.select(key, F.explode(F.arrays_zip(*arrays)).alias("x"))
-    return rows.select(key, *(F.trim(F.col(f"x.{n}")).alias(n) for n in names))
+    """key, identifier, heading, text: sections of a code in its legislative XML, with all their paragraphs, one a line."""
+    found = code_levels(rows, key, body, ("section",))
+    return found.select(key, "identifier", "heading", F.array_join("paragraphs", "\n").alias("text"))
 
 
 def part_order(part: Column) -> Column:
@@ -183,14 +209,19 @@ def _odata(spark, d):
 
 def _soap(spark, d):
     k = F.col("n_nationkey")
-    good = F.concat(F.lit("<Envelope><Body><Items>"), F.array_join(F.transform(F.sequence(F.lit(1), k % 3 + 1), lambda i: F.concat(F.lit("<Item><Id>"), i.cast("string"), F.lit("</Id><Name>"), F.col("n_name"), F.lit("</Name></Item>"))), ""), F.lit("</Items></Body></Envelope>"))
+    text = lambda *x: F.concat(*(F.lit(y) if isinstance(y, str) else y.cast("string") for y in x))
+    name = lambda i: F.when(i % 2 == 1, text("<x:Name>", F.col("n_name"), "</x:Name>")).otherwise("")  # the second item has none
+    tags = lambda i: F.when(i == 2, "").when(i == 3, text("<Tag>c</Tag>")).otherwise("<Tag>a</Tag><Tag>b</Tag>")
+    items = F.transform(F.sequence(F.lit(1), k % 3 + 1), lambda i: text('<Item no="', i * 10, '"><Id>', i, "</Id>", name(i), tags(i), "</Item>"))
+    good = text('<x:Envelope xmlns:x="u"><x:Body><Items>', F.array_join(items, ""), "</Items></x:Body></x:Envelope>")
     body = F.when(k % 7 == 0, F.lit("<Envelope><Body><Fault><faultstring>no such bill</faultstring></Fault></Body></Envelope>")).when(k % 11 == 0, F.lit("busy")).otherwise(good)
     return table(spark, d, "nation").select("n_nationkey", body.alias("body"))
 
 
 def _xml(spark, d):
     rows = _soap(spark, d).filter(F.col("body").startswith("<"))
-    return xml_rows(rows, "n_nationkey", "body", "/Envelope/Body/Items/Item", {"id": "Id", "name": "Name"})
+    found = xml_rows(rows, "n_nationkey", "body", "/Envelope/Body/Items/Item", {"id": "Id", "name": "Name", "number": "@no", "tags": "Tag[]"})
+    return found.withColumn("tags", F.array_join("tags", ","))
 
 
 def _xml_faults(spark, d):
@@ -199,7 +230,11 @@ def _xml_faults(spark, d):
 
 def _sections(spark, d):
     k = F.col("p_partkey")
-    body = F.concat(F.lit('<code><section identifier="/us/usc/t25/s'), k.cast("string"), F.lit('"><num>x</num><heading> '), F.col("p_brand"), F.lit("</heading><content><p>Text of "), F.col("p_type"), F.lit("</p></content></section></code>"))
+    heading = F.when(k % 3 > 0, F.concat(F.lit("<heading> "), F.col("p_brand"), F.lit("</heading>"))).otherwise("")
+    more = F.when(k % 2 == 0, "<p>Second</p>").otherwise("")
+    one = F.concat(F.lit('<section identifier="/us/usc/t25/s'), k.cast("string"), F.lit('"><num>x</num>'), heading, F.lit("<content><p>Text of "), F.col("p_type"), F.lit("</p>"), more, F.lit("</content></section>"))
+    # Another section follows, so that what the first lacks could be taken from it.
+    body = F.concat(F.lit("<code>"), one, F.lit('<section identifier="/us/usc/t25/s'), k.cast("string"), F.lit('a"><heading>Next</heading></section></code>'))
     return sections(table(spark, d, "part").select("p_partkey", body.alias("body")), "p_partkey", "body")
 
 
@@ -266,9 +301,9 @@ select o_custkey, '2024-' || lpad(o_orderkey::varchar, greatest(5, 5), '0') as n
     "page_faults": (_page_faults, """
 with n as (select o_custkey, count(*) as n from orders group by 1), f as (select o_custkey, case when o_custkey % 11 = 0 and o_custkey % 4 > 0 then 'not_json' when o_custkey % 4 = 0 then null when n > 12 then 'over_page' when o_custkey % 9 = 0 then 'over_count' end as fault from n) select * from f where fault is not null"""),
     "odata_rows": (_odata, "select c_custkey, c_custkey::varchar as entry, c_name as name, case when c_custkey % 3 > 0 then strftime(date '1970-01-01' + c_custkey::int, '%Y-%m-%d') end as modified from customer"),
-    "xml_rows": (_xml, "select n_nationkey, (i - 1)::int as pos, i::varchar as id, n_name as name from nation, range(1, 4) t(i) where n_nationkey % 7 != 0 and n_nationkey % 11 != 0 and i <= n_nationkey % 3 + 1"),
+    "xml_rows": (_xml, "select n_nationkey, (i - 1)::int as pos, i::varchar as id, case when i % 2 = 1 then n_name end as name, (10 * i)::varchar as number, ['a,b', '', 'c'][i] as tags from nation, range(1, 4) t(i) where n_nationkey % 7 != 0 and n_nationkey % 11 != 0 and i <= n_nationkey % 3 + 1"),
     "xml_faults": (_xml_faults, "select n_nationkey, case when n_nationkey % 7 = 0 then 'no such bill' else 'not_xml' end as fault from nation where n_nationkey % 7 = 0 or n_nationkey % 11 = 0"),
-    "code_sections": (_sections, "select p_partkey, '/us/usc/t25/s' || p_partkey as identifier, p_brand as heading, 'Text of ' || p_type as text from part"),
+    "code_sections": (_sections, "select p_partkey, '/us/usc/t25/s' || p_partkey as identifier, case when p_partkey % 3 > 0 then p_brand end as heading, 'Text of ' || p_type || case when p_partkey % 2 = 0 then chr(10) || 'Second' else '' end as text from part union all select p_partkey, '/us/usc/t25/s' || p_partkey || 'a', 'Next', '' from part"),
     "part_and_version_order": (_orders_, """
 with p as (select p_partkey, p_brand, p_partkey % 120 as n, p_partkey % 3 as k, p_partkey % 7 as s, p_partkey % 12 as minor, p_partkey % 5 as patch, p_partkey % 4 = 0 as pre from part)
 select p_partkey, row_number() over (partition by p_brand order by n, case k when 2 then -1 when 1 then s else 100 end, p_partkey)::int as by_part, row_number() over (partition by p_brand order by k, minor, patch, case when pre then 0 else 1 end, p_partkey)::int as by_version from p"""),

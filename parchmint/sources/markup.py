@@ -86,12 +86,15 @@ def read_runs(source: str, xml: bool = False, levels: frozenset = frozenset(), b
     stack, runs, at, raw = [top], [], 0, None
 
     def close(names: set, scopes: frozenset = frozenset()) -> None:
+        """End the nearest open element of these names, or, within a scope, the outermost one, with all inside."""
+        at_ = None
         for i in range(len(stack) - 1, 0, -1):
             if stack[i].tag in names:
-                del stack[i:]
-                return
-            if stack[i].tag in scopes:
-                return
+                at_ = i
+            if stack[i].tag in scopes or (at_ and not scopes):
+                break
+        if at_:
+            del stack[at_:]
 
     def put(text: str, size: int) -> None:
         e = stack[-1]
