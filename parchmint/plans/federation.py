@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from parchmint.operators.records import merge_listings, text_key
 from parchmint.session import table
+from parchmint.sources.listings import HALVED, planned
 
 
 def plan(searches: DataFrame, sources: DataFrame, budget: int) -> DataFrame:
@@ -67,22 +68,6 @@ def grouped(rows: DataFrame, section: str, order: list[str]) -> DataFrame:
     return rows.groupBy(section).agg(F.count("*").alias("n"), F.min(F.struct(*order, "document")).alias("f")).select(section, "n", F.col("f.document").alias("first"))
 
 
-def split_range(days: int, count, limit: int) -> list[tuple[int, int]]:
-    """Ranges of days [first, last] with fewer than ``limit`` rows each: a full one is halved again and again, one day stands.
-
-    ``count`` says how many rows lie in a range; it runs on the driver, over the counts of days.
-    """
-    todo, done = [(0, days - 1)], []
-    while todo:
-        low, high = todo.pop()
-        if low == high or count(low, high) < limit:
-            done.append((low, high))
-        else:
-            mid = (low + high) // 2
-            todo += [(mid + 1, high), (low, mid)]
-    return done
-
-
 def continuation(rows: DataFrame, total: str, cap: int, page: int) -> DataFrame:
     """Adds paging: complete, cap, unknown or more."""
     state = F.when(F.col(total).isNull(), "unknown").when(F.col(total) <= page, "complete").when(F.col(total) > cap, "cap").otherwise("more")
@@ -142,19 +127,11 @@ def _grouped(spark, d):
 
 
 def _ranges(spark, d):
-    """Ranges of order days with fewer than a tenth of all orders each, counted by day first."""
-    days = table(spark, d, "orders").groupBy(F.date_diff("o_orderdate", F.lit("1992-01-01").cast("date")).alias("day")).agg(F.count("*").alias("n")).orderBy("day").collect()  # a row a day
-    upto, sums = {}, 0
-    last = max((r["day"] for r in days), default=0)
-    by = {r["day"]: r["n"] for r in days}
-    for day in range(last + 1):
-        sums += by.get(day, 0)
-        upto[day] = sums
-    limit = sums // 10 + 1
-    found = split_range(last + 1, lambda low, high: upto[high] - upto.get(low - 1, 0), limit)
-    ranges = spark.createDataFrame(found or [(0, 0)], "low int, high int")
-    o = table(spark, d, "orders").select(F.date_diff("o_orderdate", F.lit("1992-01-01").cast("date")).alias("day"))
-    return o.join(ranges, (F.col("day") >= F.col("low")) & (F.col("day") <= F.col("high"))).groupBy("low", "high").agg(F.count("*").alias("n")).select(F.sum("n").alias("rows"), (F.max("n") < limit).alias("within"))
+    """Ranges of order days with fewer than a tenth of all orders each, planned from the counts of days, with what lies in them."""
+    days = table(spark, d, "orders").select(F.col("o_orderdate").cast("date").alias("day"))
+    stated = dict(map(tuple, days.groupBy("day").agg(F.count("*").alias("n")).collect()))  # a row a day
+    ranges = spark.createDataFrame(planned(stated, sum(stated.values()) // 10 + 1), "low date, high date")
+    return days.join(ranges, F.col("day").between(F.col("low"), F.col("high"))).groupBy("low", "high").agg(F.count("*").alias("rows"))
 
 
 def _coverage(spark, d):
@@ -187,7 +164,7 @@ select lane, source, case when row_number() over (order by position, precedence,
 with r as (select l_suppkey, case when l_suppkey % 7 > 0 then count(*) * (l_suppkey % 50) end as total, case when l_suppkey % 4 = 0 then 0 else count(*) end as listed from lineitem group by 1)
 select l_suppkey, case when total >= 10000 then '10000+' else total::varchar end as shown, listed = 0 and coalesce(total, 1) > 0 as unresolved, listed >= 600 as capped from r"""),
     "grouped_results": (_grouped, _LIST + """, m as (select document, min(rank) as rank, min(lang) as section from k group by document) select section, count(*) as n, (min(struct_pack(a := rank, b := document))).b as first from m group by section"""),
-    "range_split": (_ranges, "select count(*)::bigint as rows, true as within from orders"),
+    "range_split": (_ranges, "with recursive n as (select o_orderdate::date as day, count(*) as n from orders group by 1), lim as (select count(*) // 10 + 1 as l from orders)," + HALVED + "select a + low as low, a + high as high, rows::bigint as rows from leaf, ends"),
     "worst_outcome": (_worst, "select o_orderpriority, arg_max(o, case o when 'failed' then 2 when 'partial' then 1 else 0 end) as outcome from (select o_orderpriority, case when o_orderstatus = 'P' then 'partial' when o_totalprice > 450000 then 'failed' else 'ok' end as o from orders) group by 1"),
     "coverage_blockers": (_coverage, "with b as (select s_suppkey, concat_ws(',', case when not s_acctbal > 0 then 'review_expired' end, case when not s_nationkey % 4 > 0 then 'no_terms' end, case when not s_suppkey % 5 > 0 then 'inactive' end) as blockers from supplier) select s_suppkey, blockers, blockers = '' as usable from b"),
     "paging_state": (_paging, "select l_partkey, case when l_partkey % 7 = 0 then 'unknown' when count(*) <= 25 then 'complete' when count(*) > 40 then 'cap' else 'more' end as paging from lineitem group by l_partkey"),

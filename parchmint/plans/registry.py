@@ -5,10 +5,10 @@ from __future__ import annotations
 from parchmint.functions import citations, claims, dates, guards, issues, labels
 from parchmint.operators import corpus, graph, links, policy, records, refresh, retrieval, search, spatial, study, temporal, validate
 from parchmint.plans import federation
-from parchmint.sources import feeds, html, markup, sinks
+from parchmint.sources import feeds, html, listings, markup, sinks
 from parchmint.streaming import events
 
-MODULES: list = [retrieval, temporal, records, refresh, validate, spatial, graph, citations, html, markup, events, sinks, federation, corpus, policy, links, claims, dates, labels, guards, issues, feeds, search, study]
+MODULES: list = [retrieval, temporal, records, refresh, validate, spatial, graph, citations, html, markup, listings, events, sinks, federation, corpus, policy, links, claims, dates, labels, guards, issues, feeds, search, study]
 FLAGSHIP = "bm25_passage_topk"
 
 

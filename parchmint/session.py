@@ -50,11 +50,17 @@ ROW_GROUP, HELD_ROWS = 32 << 20, 1_000
 _WRITTEN: dict[str, list[str]] = {}
 
 
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A new place in the shared folder, which ``sweep`` deletes."""
+    path = f"{shared_dir(spark).rstrip('/')}/parchmint-{name}-{uuid.uuid4().hex}"
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: lineage ends there, columns stay prunable."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/parchmint-{name}-{uuid.uuid4().hex}"
-    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
+    path = fresh_path(spark, name)
     df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
