@@ -6,9 +6,9 @@ from parchmint.functions import canonical, citations, claims, dates, guards, iss
 from parchmint.operators import chains, corpus, graph, intervals, links, policy, records, refresh, retrieval, search, spatial, study, temporal, validate
 from parchmint.plans import federation
 from parchmint.sources import feeds, html, listings, markup, sinks
-from parchmint.streaming import events
+from parchmint.streaming import events, sources
 
-MODULES: list = [retrieval, temporal, records, refresh, validate, spatial, graph, citations, html, markup, listings, events, sinks, federation, corpus, policy, links, canonical, claims, dates, labels, guards, issues, feeds, search, study, intervals, chains]
+MODULES: list = [retrieval, temporal, records, refresh, validate, spatial, graph, citations, html, markup, listings, events, sources, sinks, federation, corpus, policy, links, canonical, claims, dates, labels, guards, issues, feeds, search, study, intervals, chains]
 FLAGSHIP = "bm25_passage_topk"
 
 
