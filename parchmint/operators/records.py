@@ -76,17 +76,23 @@ def text_key(text: str) -> Column:
 
 
 def passages_within(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """item_id, doc_id: documents that hold an item's whole text, of any length.
+    """item_id, doc_id: documents that hold an item's whole text, of any length; a row for each such row of ``docs``.
 
     A word of the item with white space on both sides is a word of the document too, so the longest
-    one finds the candidates. Items without such a word are compared with every document.
+    one finds the candidates; words move without the texts. Items without such a word are found by
+    their first characters (up to three) among those of the documents.
     """
     inner = F.transform(F.regexp_extract_all("text", F.lit(r"(?<=\s)\S+(?=\s)"), F.lit(0)), lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))
     keys = items.select("item_id", F.col("text").alias("passage"), F.array_max(inner)["w"].alias("word")).filter("length(passage) > 0").distinct()
-    words = docs.select("doc_id", "text", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0)))).alias("word"))
-    hits = words.join(keys.filter("word is not null"), "word").filter("contains(text, passage)").select("item_id", "doc_id")
-    rest = docs.join(keys.filter("word is null"), F.expr("contains(text, passage)")).select("item_id", "doc_id")
-    return hits.unionByName(rest)
+    words = docs.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0)))).alias("word"))
+    found = words.join(keys.filter("word is not null").select("item_id", "word"), "word").select("item_id", "doc_id")
+    short = keys.filter("word is null")
+    if not short.isEmpty():
+        starts = F.flatten(F.transform(F.array(F.lit(1), F.lit(2), F.lit(3)), lambda n: F.transform(F.sequence(F.lit(1), F.length("text")), lambda i: F.substring("text", i, n))))
+        grams = docs.filter("length(text) > 0").select("doc_id", F.explode(F.array_distinct(starts)).alias("gram"))
+        found = found.unionByName(grams.join(short.select("item_id", F.substring("passage", 1, 3).alias("gram")), "gram").select("item_id", "doc_id"))
+    pairs = found.distinct().join(keys.select("item_id", "passage"), "item_id")
+    return docs.select("doc_id", "text").join(pairs, "doc_id").filter("contains(text, passage)").select("item_id", "doc_id")
 
 
 def group_places(rows: DataFrame, key: list[str], order: str) -> DataFrame:

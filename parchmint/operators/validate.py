@@ -249,7 +249,12 @@ def _enough(spark, d):
 
 
 QUERIES = {
-    "segment_faults": (_faults, None),
+    "segment_faults": (_faults, """
+with t as (select doc_id as k, min(text) as text from documents group by 1),
+s as (select k, strlen(text) as n, hex(encode(text)) as h, k % 11 as a, case when k % 7 = 0 then strlen(text) + 5 else least(strlen(text), k % 60 + 30) end as b from t where text is not null),
+f as (select k as segment, case when b <= a or b > n then 'range' when regexp_matches(substr(h, 2 * a + 1, 1), '[89AB]') or regexp_matches(substr(h, 2 * b + 1, 1), '[89AB]') then 'boundary'
+  when k % 5 = 0 and substr(h, 2 * a + 1, 2 * (b - a)) != '78' then 'digest' end as fault from s)
+select * from f where fault is not null"""),
     "citation_replay": (_replayed, "with d as (select doc_id as k, min(text) as t from documents group by 1) select k as citation, k % 10 > 0 and k % 4 > 0 and k % 3 > 0 and coalesce(ascii(t), 0) between 1 and 127 as replays from d"),
     "unattested_values": (_unattested, """
 with v as (select distinct doc_id, case when quality = 1 then 'the' else 'license' end as value from labels) select doc_id, value from v where not exists (select 1 from documents d where d.doc_id = v.doc_id and contains(text, value))"""),

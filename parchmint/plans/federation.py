@@ -13,13 +13,12 @@ from parchmint.sources.listings import HALVED, planned
 def plan(searches: DataFrame, sources: DataFrame, budget: int) -> DataFrame:
     """lane, search, source, state: a lane for each search and each source that supports its kind.
 
-    Lanes of one text and source are one. The first ``budget`` in order run, later ones wait. Both
-    tables are requests, a few rows each.
+    Lanes of one text and source are one. The first ``budget`` in order run, later ones wait.
     """
     lanes = searches.join(sources, "kind").withColumn("lane", F.concat_ws("|", "source", "kind", F.lower("text")))
     once = lanes.groupBy("lane").agg(F.min("position").alias("position"), F.min("source").alias("source"), F.min("precedence").alias("precedence"))
-    rank = F.row_number().over(Window.orderBy("position", "precedence", "lane"))
-    return once.select("lane", "source", F.when(rank <= budget, "run").otherwise("over_budget").alias("state"))
+    first = once.orderBy("position", "precedence", "lane").limit(budget).select("lane", F.lit("run").alias("state"))
+    return once.join(first, "lane", "left").select("lane", "source", F.coalesce("state", F.lit("over_budget")).alias("state"))
 
 
 def left_out(listings: DataFrame, lane: str, keep) -> DataFrame:
@@ -91,9 +90,13 @@ def _listings(spark, d):
 
 
 def _plan(spark, d):
-    searches = spark.createDataFrame([(1, "words", "Tribal Lands"), (2, "docket", "EPA-1"), (3, "words", "tribal lands"), (4, "words", "water"), (5, "citation", "25 USC 1")], "position int, kind string, text string")
-    sources = spark.createDataFrame([("register", 1, "words"), ("register", 1, "docket"), ("law", 2, "words"), ("law", 2, "citation"), ("courts", 3, "words")], "source string, precedence int, kind string")
-    return plan(searches, sources, 6)
+    """A search for each benchmark item, of one of three kinds; suppliers as sources that support one or two of them."""
+    i, k = F.col("item_id"), F.col("s_suppkey")
+    kinds = F.array(*map(F.lit, ("words", "docket", "citation")))
+    kind = lambda n: F.element_at(kinds, (n % 3 + 1).cast("int"))
+    searches = table(spark, d, "benchmark").select(i.alias("position"), kind(i).alias("kind"), F.concat(F.when(i % 2 == 0, "Q").otherwise("q"), (i % 15).cast("string")).alias("text"))
+    sources = table(spark, d, "supplier").select(F.concat(F.lit("s"), k.cast("string")).alias("source"), (k % 10).alias("precedence"), F.explode(F.array_distinct(F.array(kind(k), kind(k * k)))).alias("kind"))
+    return plan(searches, sources, 60)
 
 
 def _left(spark, d):
@@ -153,10 +156,10 @@ _LIST = "with l as (select doc_id::varchar as listing, source, lang, source[4:]:
 
 QUERIES = {
     "search_plan": (_plan, """
-with s(position, kind, text) as (values (1, 'words', 'Tribal Lands'), (2, 'docket', 'EPA-1'), (3, 'words', 'tribal lands'), (4, 'words', 'water'), (5, 'citation', '25 USC 1')),
-r(source, precedence, kind) as (values ('register', 1, 'words'), ('register', 1, 'docket'), ('law', 2, 'words'), ('law', 2, 'citation'), ('courts', 3, 'words')),
-o as (select source || '|' || kind || '|' || lower(text) as lane, min(position) as position, min(source) as source, min(precedence) as precedence from s join r using (kind) group by 1)
-select lane, source, case when row_number() over (order by position, precedence, lane) <= 6 then 'run' else 'over_budget' end as state from o"""),
+with s as (select item_id as position, ['words', 'docket', 'citation'][item_id % 3 + 1] as kind, 'q' || item_id % 15 as text from benchmark),
+r as (select distinct 's' || s_suppkey as source, s_suppkey % 10 as precedence, ['words', 'docket', 'citation'][x % 3 + 1] as kind from (select s_suppkey, unnest([s_suppkey, s_suppkey * s_suppkey]) as x from supplier)),
+o as (select source || '|' || kind || '|' || text as lane, min(position) as position, min(source) as source, min(precedence) as precedence from s join r using (kind) group by 1)
+select lane, source, case when row_number() over (order by position, precedence, lane) <= 60 then 'run' else 'over_budget' end as state from o"""),
     "lane_left_out": (_left, "select source, count_if(lang = 'en') as kept, count_if(lang is null or lang != 'en') as left_out from documents group by source"),
     "merged_lanes": (_reasons, _LIST + " select document, min(rank) as rank, (min(struct_pack(a := precedence, b := rank, c := listing))).c as primary, count(*) - 1 as alternates, string_agg(distinct lane, ',' order by lane) as reasons from k group by document"),
     "exact_or_unknown": (_exact, "select o_custkey, count_if(o_orderkey % 8 = 0) as kept, count_if(o_orderkey % 8 != 0) as left_out, case when count_if(o_orderkey % 8 = 0) > 0 then 'found' when o_custkey % 3 > 0 then 'none' else 'unknown' end as state from orders group by o_custkey"),

@@ -111,4 +111,20 @@ def _authority(spark, d):
     return first_line(blocks(table(spark, d, "pages")), r"(?i)\b(?:the|und|les|los)\b").select("page_id", "pos", F.md5("line").alias("line"))
 
 
-QUERIES = {"html_blocks": (_blocks, None), "html_blocks_by_tag": (_by_tag, None), "contact_sections": (_sections, None), "authority_lines": (_authority, None)}
+#: Blocks of the given pages: pieces between the tags of blocks, without what is left out.
+_SPLIT = "</?(?:p|li|h1|title)(?: [^>]*)?>"
+_SQL = rf"""
+with c as (select page_id, regexp_replace(regexp_replace(html, '(?s)<!--.*?-->|<nav>.*?</nav>|<footer>.*?</footer>|<script>.*?</script>|<style>.*?</style>', '', 'g'), '<br>', ' ', 'g') as h from pages),
+s as (select page_id, regexp_split_to_array(h, '{_SPLIT}') as parts, [''] || regexp_extract_all(h, '{_SPLIT}') as tags from c),
+p as (select page_id, unnest(parts) as part, unnest(tags) as tag, generate_subscripts(parts, 1) as i from s),
+t as (select page_id, i, coalesce(nullif(regexp_extract(tag, '^<(\w+)', 1), ''), 'text') as tag, trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(part, '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&'), '\s+', ' ', 'g')) as text from p),
+b as (select page_id, (row_number() over w - 1)::int as pos, tag, text, coalesce(last_value(case when tag = 'h1' then text end ignore nulls) over (w rows between unbounded preceding and 1 preceding), '') as heading,
+  coalesce(sum(strlen(text) + 2) over (w rows between unbounded preceding and 1 preceding), 0)::bigint as start_ from t where text != '' window w as (partition by page_id order by i))
+"""
+QUERIES = {
+    "html_blocks": (_blocks, _SQL + "select page_id, pos, tag, md5(text) as text, md5(heading) as heading, start_ as start, start_ + strlen(text) as end from b"),
+    "html_blocks_by_tag": (_by_tag, _SQL + "select tag, count(*) as blocks, sum(length(text))::bigint as characters from b group by tag"),
+    "contact_sections": (_sections, _SQL + """, f as (select page_id, coalesce(last_value(case when starts_with(text, 'T') then true when tag = 'h1' then false end ignore nulls) over (partition by page_id order by pos rows unbounded preceding), false) as excluded from b)
+select page_id, count(*) as excluded from f where excluded group by page_id"""),
+    "authority_lines": (_authority, _SQL + r"select page_id, min(pos) as pos, md5(arg_min(text, pos)) as line from b where regexp_matches(text, '(?i)\b(?:the|und|les|los)\b') group by page_id"),
+}
