@@ -108,6 +108,37 @@ def label(kind: Column, title: Column, number: Column) -> Column:
     )
 
 
+#: Courts whose packages are named by docket, by the form of their dockets; last volume of the reports that can be looked up (fixed values).
+APPEALS, TRIALS, LAST_VOLUME = ("ca9", "cafc"), ("cofc", "wawd", "waed", "ord", "idd"), 586
+_APPEAL, _TRIAL = r"(?:\d{2}|\d{4})-\d{1,5}", r"(\d):(\d{2}-[a-z]{1,4}-\d{1,5})"
+
+
+def court_package(text: Column) -> Column:
+    """struct(court, docket, package) of a court's code and a docket of its form ("ca9 21-35000"), or null: a docket alone is never guessed."""
+    t = F.trim(text)
+    court = F.lower(F.regexp_extract(t, r"^([A-Za-z0-9]{2,5})\s+(\S+)$", 1))
+    number = F.regexp_extract(t, r"^([A-Za-z0-9]{2,5})\s+(\S+)$", 2)
+    trial = rf"(?i)^{_TRIAL}$"
+    package = F.when(court.isin(*APPEALS) & number.rlike(f"^{_APPEAL}$"), F.concat_ws("-", F.lit("USCOURTS"), court, number)).when(court.isin(*TRIALS) & number.rlike(trial), F.concat(F.lit("USCOURTS-"), court, F.lit("-"), F.regexp_extract(number, trial, 1), F.lit("_"), F.lower(F.regexp_extract(number, trial, 2))))
+    return F.when(package.isNotNull(), F.struct(court.alias("court"), number.alias("docket"), package.alias("package")))
+
+
+def package_docket(package: Column) -> Column:
+    """struct(court, docket) that the name of a package states, or null."""
+    p = r"^USCOURTS-([a-z0-9]+)-(.+)$"
+    court, rest = F.regexp_extract(package, p, 1), F.regexp_extract(package, p, 2)
+    trial = "^" + _TRIAL.replace(":", "_") + "$"
+    number = F.when(court.isin(*APPEALS) & rest.rlike(f"^{_APPEAL}$"), rest).when(court.isin(*TRIALS) & rest.rlike(trial), F.concat_ws(":", F.regexp_extract(rest, trial, 1), F.regexp_extract(rest, trial, 2)))
+    return F.when(number.isNotNull(), F.struct(court.alias("court"), number.alias("docket")))
+
+
+def reports_reading(text: Column) -> Column:
+    """struct(volume, page, state) of a text that is one citation of the reports, or null; later volumes are not_resolvable."""
+    whole = parsed(text)
+    volume, page = whole.title.cast("int"), whole.number.cast("int")
+    return F.when((whole.kind == "reports") & (volume > 0) & (page > 0), F.struct(volume.alias("volume"), page.alias("page"), F.when(volume <= LAST_VOLUME, "lookup").otherwise("not_resolvable").alias("state")))
+
+
 def docket(text: Column) -> Column:
     """struct(court, year, number) of a federal docket such as "1:24-cv-00123", or null."""
     p = r"^(\d):(\d{2})-(cv|cr|mc)-(\d{5})$"
@@ -219,6 +250,17 @@ def _dockets(spark, d):
     return table(spark, d, "orders").select("o_orderkey", docket(text).alias("x")).select("o_orderkey", "x.court", "x.year", "x.number")
 
 
+def _readings(spark, d):
+    k = F.col("o_orderkey")
+    text = lambda *x: F.concat(*(F.lit(y) if isinstance(y, str) else y.cast("string") for y in x))
+    five = F.lpad(k % 100_000, 5, "0")
+    typed = F.when(k % 4 == 0, text("CA9 21-", five)).when(k % 4 == 1, text("ord 3:23-CV-", five)).when(k % 4 == 2, text("ca9 3:23-cv-", five)).otherwise(text("21-", five))
+    package = F.when(k % 3 == 0, text("USCOURTS-idd-1_20-cr-", five)).when(k % 3 == 1, text("USCOURTS-cafc-20-", five)).otherwise(text("USCOURTS-nysd-1_20-cr-", five))
+    cited = F.when(k % 5 == 0, text("see ", k % 600, " U.S. 3")).otherwise(text(k % 600, " U.S. ", k % 900))
+    rows = table(spark, d, "orders").select("o_orderkey", court_package(typed).alias("a"), package_docket(package).alias("b"), reports_reading(cited).alias("c"))
+    return rows.select("o_orderkey", "a.package", F.concat_ws(" ", "b.court", "b.docket").alias("stated"), "c.volume", "c.page", "c.state")
+
+
 def _masked(spark, d):
     c = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     text = F.concat(F.lit("lands of "), F.lower("n_name"), F.lit(" "), F.col("n_name"), F.lit(" and "), F.col("n_name"), F.lit("x"))
@@ -240,5 +282,10 @@ select o_orderkey, case o_orderkey % 5 when 0 then 'usc' when 1 then 'cfr' when
 with k as (select o_orderkey, ['docket', 'rin', 'register_document', 'executive_order', 'citation', 'court_docket', 'words'][1 + o_orderkey % 7] as kind from orders)
 select o_orderkey, kind, kind = 'citation' as ambiguous, case kind when 'docket' then 'search_docket' when 'rin' then 'search_rin' when 'register_document' then 'open_document' when 'executive_order' then 'open_order' when 'citation' then 'open_section' when 'court_docket' then 'open_case' else 'search_words' end as action from k"""),
     "court_dockets": (_dockets, "select o_orderkey, case o_orderkey % 3 when 0 then 'cv' when 1 then 'cr' end as court, case when o_orderkey % 3 < 2 then '20' || lpad((o_orderkey % 30)::varchar, 2, '0') end as year, case when o_orderkey % 3 < 2 then (o_orderkey % 100000)::int end as number from orders"),
+    "court_readings": (_readings, """
+with k as (select o_orderkey as k, case when o_orderkey >= 100000 then right(o_orderkey::varchar, 5) else lpad(o_orderkey::varchar, 5, '0') end as five from orders),
+c as (select *, k % 5 > 0 and k % 600 > 0 and k % 900 > 0 as cited from k)
+select k as o_orderkey, case k % 4 when 0 then 'USCOURTS-ca9-21-' || five when 1 then 'USCOURTS-ord-3_23-cv-' || five end as package, case k % 3 when 0 then 'idd 1:20-cr-' || five when 1 then 'cafc 20-' || five else '' end as stated,
+  case when cited then (k % 600)::int end as volume, case when cited then (k % 900)::int end as page, case when cited then case when k % 600 <= 586 then 'lookup' else 'not_resolvable' end end as state from c"""),
     "name_mask": (_masked, "select c_custkey, md5('lands of ' || repeat(' ', length(n_name)) || ' ' || repeat(' ', length(n_name)) || ' and ' || n_name || 'x') as masked, 1 as spans, 10 + 2 * length(n_name) as upto from customer join nation on c_nationkey = n_nationkey"),
 }
