@@ -108,7 +108,7 @@ def _sections(spark, d):
 
 
 def _authority(spark, d):
-    return first_line(blocks(table(spark, d, "pages")), r"(?i)\b(?:the|und|les|los)\b").select("page_id", "pos", F.md5("line").alias("line"))
+    return first_line(blocks(table(spark, d, "pages")), r"(?i)(?:^|[^\p{L}])(?:the|und|les|los)(?:[^\p{L}]|$)").select("page_id", "pos", F.md5("line").alias("line"))
 
 
 #: Blocks of the given pages: pieces between the tags of blocks, without what is left out.
@@ -126,5 +126,5 @@ QUERIES = {
     "html_blocks_by_tag": (_by_tag, _SQL + "select tag, count(*) as blocks, sum(length(text))::bigint as characters from b group by tag"),
     "contact_sections": (_sections, _SQL + """, f as (select page_id, coalesce(last_value(case when starts_with(text, 'T') then true when tag = 'h1' then false end ignore nulls) over (partition by page_id order by pos rows unbounded preceding), false) as excluded from b)
 select page_id, count(*) as excluded from f where excluded group by page_id"""),
-    "authority_lines": (_authority, _SQL + r"select page_id, min(pos) as pos, md5(arg_min(text, pos)) as line from b where regexp_matches(text, '(?i)\b(?:the|und|les|los)\b') group by page_id"),
+    "authority_lines": (_authority, _SQL + r"select page_id, min(pos) as pos, md5(arg_min(text, pos)) as line from b where regexp_matches(text, '(?i)(?:^|[^\p{L}])(?:the|und|les|los)(?:[^\p{L}]|$)') group by page_id"),
 }
