@@ -31,6 +31,8 @@ MIN_CHARS, MIN_LETTER_WORDS = 200, 40
 SYMBOLS = r"[^#*$%&|<>]+"
 #: Upper case, digits and punctuation are what is left without these patterns.
 UPPER, DIGITS, MARKS, KINDS = r"[^A-Z]+", r"[^0-9]+", r"[^.,;:!?'\x22()-]+", 7
+#: What none of the four keeps: taken away first, so that they read a few characters instead of the whole text.
+OTHERS = r"[^A-Z0-9.,;:!?'\x22()#*$%&|<>-]+"
 #: Runs of letters in lower case.
 LETTERS = r"[^\x00-\x60\x7B-\x7F]+"
 FACTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -78,17 +80,19 @@ def features(docs: DataFrame, common: DataFrame, carry: bool = False) -> DataFra
     words is null for languages without common words.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    left = lambda pattern: F.length(F.regexp_replace("t", pattern, ""))  # noqa: E731  what is left without the pattern
+    left = lambda pattern: F.length(F.regexp_replace("s", pattern, ""))  # noqa: E731  what is left without the pattern
     more = ["row"] if carry else []
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), language(docs).alias("lang"), text.alias("t"), *([F.struct(*quoted(docs)).alias("row")] if carry else []))
+    rows = rows.withColumn("s", F.regexp_replace("t", OTHERS, ""))
     rows = rows.join(common, "lang", "left").select(
-        "doc_id", "lang", *more, "bins", F.length("t").alias("n"), F.octet_length("t").alias("octets"), left(WORD).alias("blank"), left(SYMBOLS).alias("n_symbols"), left(UPPER).alias("upper"), left(DIGITS).alias("digits"), left(MARKS).alias("marks"),
+        "doc_id", "lang", *more, "bins", F.length("t").alias("n"), F.octet_length("t").alias("octets"), left(SYMBOLS).alias("n_symbols"), left(UPPER).alias("upper"), left(DIGITS).alias("digits"), left(MARKS).alias("marks"),
         F.regexp_extract_all("t", F.lit(WORD), F.lit(0)).alias("w"),
         F.filter(F.split("t", "\n"), lambda x: x.rlike(WORD)).alias("lines"),
         letter_words(F.col("t")).alias("lw"),
     )
+    rows = rows.withColumn("blank", F.col("n") - F.length(F.array_join("w", "")))
     rows = rows.withColumn("c", F.filter(F.transform(F.filter("lw", lambda x: F.length(x) <= SHORT), lambda x: F.array_position("bins", x)), lambda x: x > 0))
-    rows = rows.withColumn("tri", F.when(F.size("w") >= 3, F.transform(F.sequence(F.lit(0), F.size("w") - 3), lambda i: F.xxhash64(F.get("w", i), F.get("w", i + 1), F.get("w", i + 2)))).otherwise(F.array().cast("array<bigint>")))
+    rows = rows.withColumn("tri", F.when(F.size("w") >= 3, F.slice(F.transform("w", lambda x, i: F.xxhash64(x, F.get("w", i + 1), F.get("w", i + 2))), F.lit(1), F.size("w") - 2)).otherwise(F.array().cast("array<bigint>")))
     rows = rows.select(
         "doc_id", "lang", *more,
         F.size("w").cast("long").alias("n_words"),
