@@ -119,7 +119,7 @@ def nation_breaches(nations: DataFrame, aliases: DataFrame, evidence: DataFrame)
     own = _told(one, "key", {"name_not_canonical": (F.col("name") == F.trim(F.regexp_replace("name", r"\s+", " "))) & (F.length("name") > 0), "name_repeated": F.col("n") == 1})
     said = aliases.select(*key, squashed(F.col("alias")).alias("same")).join(counted.select("collection", "same", "owner", "n"), ["collection", "same"], "left")
     shadow = _told(said.select(F.struct(*key).alias("key"), "owner", "nation", "n"), "key", {"alias_is_another_name": F.col("owner").isNull() | ((F.col("owner") == F.col("nation")) & (F.col("n") == 1))})
-    states = [r[0] for r in evidence.select("state").distinct().limit(200).collect() if r[0]]  # names of states: few
+    states = [r[0] for r in evidence.select("state").distinct().collect() if r[0]]  # a closed list of names
     proofs = evidence.select(F.struct(*key).alias("key"), F.array_contains(names_state(F.col("text"), states), F.col("state")).alias("names"), "url") if states else evidence.select(F.struct(*key).alias("key"), F.lit(False).alias("names"), "url")
     of_states = _told(proofs, "key", {"state_without_evidence": F.col("names"), "evidence_url_unsafe": safe_url(F.col("url"))})
     return own.unionByName(shadow).unionByName(of_states).distinct().select("key.*", "rule")
