@@ -66,6 +66,18 @@ def overlap_join(left: DataFrame, right: DataFrame, cell: int, a: str = "a", b:
     return pairs.filter(first("x") & first("y") & meet("x") & meet("y")).drop("__x", "__y")
 
 
+def overlap_counts(left: DataFrame, right: DataFrame, cell: int, by: Column, name: str, a: str = "a", b: str = "b") -> DataFrame:
+    """name, pairs: how many pairs of boxes that meet there are for each value of ``by``, a column of their sides.
+
+    Boxes with the same sides meet the same boxes, so each place is joined once and pairs are counted by
+    the products of their numbers: copies are never expanded into pairs.
+    """
+    sides = lambda n: [f"{n}x0", f"{n}x1", f"{n}y0", f"{n}y1"]
+    places = lambda rows, n: rows.groupBy(*sides(n)).agg(F.count("*").alias(f"__{n}"))
+    pairs = overlap_join(places(left, a), places(right, b), cell, a, b)
+    return pairs.groupBy(by.alias(name)).agg(F.sum(F.col(f"__{a}") * F.col(f"__{b}")).alias("pairs"))
+
+
 def _boxes(spark, d, name: str):
     p = table(spark, d, "part")
     k = F.col("p_partkey")
@@ -82,8 +94,7 @@ def _topology(spark, d):
 
 
 def _overlaps(spark, d):
-    pairs = overlap_join(_boxes(spark, d, "a"), _boxes(spark, d, "b"), 60)
-    return pairs.withColumn("relation", relation("a", "b")).groupBy("relation").agg(F.count("*").alias("pairs"))
+    return overlap_counts(_boxes(spark, d, "a"), _boxes(spark, d, "b"), 60, relation("a", "b"), "relation")
 
 
 def _pairs(spark, d):
