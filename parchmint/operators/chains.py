@@ -30,13 +30,13 @@ def chains(docs: DataFrame, successors: DataFrame) -> DataFrame:
     base = names.join(good, "doc", "left").join(forks, "doc", "left").join(joins, "doc", "left")
     ends = F.col("next").isNull() | F.col("there").isNull()
     missing = F.col("next").isNotNull() & F.col("there").isNull()
-    start = materialize(base.select("doc", F.when(ends, F.col("doc")).otherwise(F.col("next")).alias("at"), F.when(ends, 0).otherwise(1).cast("long").alias("dist"), F.concat_ws(",", F.when(F.col("fork"), "fork"), F.when(F.col("meet"), "join"), F.when(missing, "missing")).alias("fault")), "places")
+    start = materialize(base.select("doc", F.when(ends, F.col("doc")).otherwise(F.col("next")).alias("at"), F.when(ends, 0).otherwise(1).cast("long").alias("dist"), ends.alias("ends"), F.concat_ws(",", F.when(F.col("fork"), "fork"), F.when(F.col("meet"), "join"), F.when(missing, "missing")).alias("fault")), "places")
     now = start.select("doc", "at", "dist")
     for _ in range(max(1, start.count().bit_length())):
         ahead = now.select(F.col("doc").alias("at"), F.col("at").alias("further"), F.col("dist").alias("more"))
         now = materialize(now.join(ahead, "at").select("doc", F.col("further").alias("at"), (F.col("dist") + F.col("more")).alias("dist")), "places")
-    # After so many rounds every path has come to its tip; what has not turns in a circle.
-    tips = start.filter("at = doc").select(F.col("doc").alias("at"), F.lit(True).alias("is_tip"))
+    # After so many rounds every path has come to its tip; what has not turns in a circle, be it of one document.
+    tips = start.filter("ends").select(F.col("doc").alias("at"), F.lit(True).alias("is_tip"))
     out = now.join(tips, "at", "left").join(start.select("doc", "fault"), "doc")
     whole = out.filter("is_tip").groupBy("at").agg((F.max("dist") + 1).alias("length"), F.max_by("doc", "dist").alias("head"))
     fault = F.concat_ws(",", F.nullif("fault", F.lit("")), F.when(F.col("is_tip").isNull(), "circle"))

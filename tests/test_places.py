@@ -43,3 +43,9 @@ def test_pages_of_many_digits_point_to_nothing(spark):
     rows = spark.createDataFrame([("88 Stat. 100004",), ("88 Stat. 2203",)], "t string").select(citations.parsed(F.col("t")).alias("p"))
     told = [f(F.col("p.kind"), F.col("p.title"), F.col("p.number")) for f in (citations.target, citations.label)]
     assert [tuple(r) for r in rows.select("p.kind", *told).collect()] == [("statutes", None, "88 Stat. 100004"), ("statutes", "/us/stat/88/2203", "88 Stat. 2203")]
+
+
+def test_a_document_that_succeeds_itself_is_a_circle(spark):
+    docs = spark.createDataFrame([("a",), ("b",)], "doc string")
+    links = spark.createDataFrame([("a", "a")], "doc string, next string")
+    assert {r["doc"]: tuple(r)[1:] for r in chains.chains(docs, links).collect()} == {"a": (None, None, None, None, "circle"), "b": ("b", 1, "b", 1, "")}
