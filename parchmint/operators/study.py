@@ -83,15 +83,25 @@ def authorised(registry: DataFrame, stated: DataFrame) -> DataFrame:
     return rows.select("entry", state.alias("state"))
 
 
+#: Hexadecimal digits of a name's hash by which runs of words are picked before the join, and the most such beginnings that the driver holds.
+DIGITS, BEGINNINGS = 5, 10_000
+
+
 def known_names(texts: DataFrame, names: DataFrame, words: int) -> DataFrame:
     """id, name_hash: texts that hold a name of at most ``words`` words, found by the hashes of their word runs alone.
 
     names carries hashes only (name_hash of the words joined by blanks), so the list itself is not told.
+    Only runs whose hash begins as a name's does come to the join; a list with more beginnings than
+    BEGINNINGS meets all runs.
     """
     w = T.tokens(F.col("text"))
     grams = lambda n: F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(0), F.size("w") - n), lambda i: F.array_join(F.slice("w", i + 1, F.lit(n)), " "))).otherwise(F.array().cast("array<string>"))
     rows = texts.select("id", w.alias("w")).select("id", F.explode(F.array_distinct(F.flatten(F.array(*(grams(n) for n in range(1, words + 1)))))).alias("g"))
-    return rows.select("id", F.sha2("g", 256).alias("name_hash")).join(names, "name_hash", "left_semi").distinct()
+    hashed = rows.select("id", F.sha2("g", 256).alias("name_hash"))
+    begins = [r[0] for r in names.select(F.substring("name_hash", 1, DIGITS)).filter("name_hash is not null").distinct().limit(BEGINNINGS + 1).collect()]
+    if len(begins) <= BEGINNINGS:
+        hashed = hashed.filter(F.substring("name_hash", 1, DIGITS).isin(begins))
+    return hashed.join(names, "name_hash", "left_semi").distinct()
 
 
 def vocabulary(terms: DataFrame, mapped: DataFrame, names: DataFrame) -> DataFrame:

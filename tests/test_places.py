@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from parchmint.functions import citations
 from parchmint.functions import text as T
-from parchmint.operators import chains, spatial
+from parchmint.operators import chains, spatial, study
 from parchmint.sources import html, markup
 
 
@@ -49,3 +49,13 @@ def test_a_document_that_succeeds_itself_is_a_circle(spark):
     docs = spark.createDataFrame([("a",), ("b",)], "doc string")
     links = spark.createDataFrame([("a", "a")], "doc string, next string")
     assert {r["doc"]: tuple(r)[1:] for r in chains.chains(docs, links).collect()} == {"a": (None, None, None, None, "circle"), "b": ("b", 1, "b", 1, "")}
+
+
+def test_names_are_found_with_and_without_the_pick_before_the_join(spark, monkeypatch):
+    texts = spark.createDataFrame([(1, "under the MIT License now"), (2, "of the"), (3, None), (4, "mit licenses")], "id long, text string")
+    names = spark.createDataFrame([("mit license",), ("of the",), (None,)], "n string").select(F.sha2("n", 256).alias("name_hash"))
+    found = []
+    for most in (0, 10_000):
+        monkeypatch.setattr(study, "BEGINNINGS", most)
+        found.append(sorted(r["id"] for r in study.known_names(texts, names, 2).collect()))
+    assert found == [[1, 2], [1, 2]]
