@@ -3,27 +3,37 @@
 Intervals are half-open, [from, to); a null end is open. A path holds only where all its links do, so
 its interval is their intersection; what a node has from a root is the union over all paths. Rounds
 follow only what the last one has added (semi-naive) and what is not already covered (subsumption), so
-cycles end, and each round is a written table.
+cycles end. A round deals out what is known once and writes only what it has added.
 """
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from parchmint.session import materialize, table
 
-#: Stands for an open end.
-OPEN = 1 << 40
+#: Stands for an open end; rounds after which what is known is written as one table, which bounds a plan.
+OPEN, ROUNDS = 1 << 40, 16
+
 
+def merged(rows: DataFrame, *keys: str, old: str | None = None) -> DataFrame:
+    """keys, from, to: the unions of intervals by key; those that touch are one.
 
-def merged(rows: DataFrame, *keys: str) -> DataFrame:
-    """keys, from, to: the unions of intervals by key; those that touch are one."""
+    ``old``, a boolean column: only the unions that none of the old rows is.
+    """
     order = Window.partitionBy(*keys).orderBy("from", "to")
     reach = F.max("to").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    marked = rows.select(*keys, "from", "to").distinct().withColumn("__reach", reach)
+    marked = rows.select(*keys, "from", "to", *([old] if old else [])).withColumn("__reach", reach)
     groups = marked.withColumn("__g", F.sum((F.col("__reach").isNull() | (F.col("from") > F.col("__reach"))).cast("int")).over(order))
-    return groups.groupBy(*keys, "__g").agg(F.min("from").alias("from"), F.max("to").alias("to")).drop("__g")
+    union = [F.min("from").alias("from"), F.max("to").alias("to")]
+    if old is None:
+        return groups.groupBy(*keys, "__g").agg(*union).drop("__g")
+    widest = F.max(F.when(F.col(old), F.struct(-F.col("from"), F.col("to")))).alias("__old")  # of the old rows that begin first
+    found = groups.groupBy(*keys, "__g").agg(*union, widest)
+    return found.filter(F.col("__old").isNull() | ~F.col("__old").eqNullSafe(F.struct(-F.col("from"), F.col("to")))).drop("__g", "__old")
 
 
 def _bounded(rows: DataFrame) -> DataFrame:
@@ -40,14 +50,16 @@ def closure(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """
     steps = materialize(_bounded(edges.select("src", "dst", "from", "to").filter("src is not null and dst is not null")).select(F.col("src").alias("node"), "dst", F.col("from").alias("f"), F.col("to").alias("t")), "links")
     known = fresh = materialize(merged(_bounded(roots.select("root", "node", "from", "to")), "root", "node"), "held")
-    while True:
+    for n in itertools.count(1):
         step = fresh.join(steps, "node").select("root", F.col("dst").alias("node"), F.greatest("from", "f").alias("from"), F.least("to", "t").alias("to")).filter("`from` < `to`")
-        both = materialize(merged(known.unionByName(step), "root", "node"), "held")
-        fresh = materialize(both.join(known, ["root", "node", "from", "to"], "left_anti"), "fresh")
-        known = both
+        both = known.withColumn("old", F.lit(True)).unionByName(step.withColumn("old", F.lit(False)))
+        fresh = materialize(merged(both, "root", "node", old="old"), "fresh")
         if fresh.isEmpty():
             break
-    return known.withColumns({"from": F.nullif("from", F.lit(-OPEN)), "to": F.nullif("to", F.lit(OPEN))})
+        known = known.unionByName(fresh)  # what it replaces stays: it is covered
+        if n % ROUNDS == 0:
+            known = materialize(merged(known, "root", "node"), "held")
+    return merged(known, "root", "node").withColumns({"from": F.nullif("from", F.lit(-OPEN)), "to": F.nullif("to", F.lit(OPEN))})
 
 
 def holds(day, low: str, high: str):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from parchmint.functions import citations
 from parchmint.functions import text as T
-from parchmint.operators import chains, spatial, study
+from parchmint.operators import chains, intervals, spatial, study
 from parchmint.sources import html, markup
 
 
@@ -76,3 +76,15 @@ def test_a_page_of_many_rows_is_told_as_it_is_read():
 def test_runs_that_wait_keep_their_order():
     page = "<main> a<b>b</b><div> c</div> d<p>e<hr>f"
     assert [(r[0], r[4]) for r in markup.read_runs(page)] == [("/main[1]/text-run[1]", " a"), ("/main[1]/text-run[1]", "b"), ("/main[1]/div[1]", " c"), ("/main[1]/text-run[2]", " d"), ("/main[1]/p[1]", "e"), ("/main[1]/text-run[3]", "f")]
+
+
+def test_rounds_add_only_what_is_not_covered(spark):
+    rows = spark.createDataFrame([("a", 0, 5, True), ("a", 2, 4, False), ("b", 0, 5, True), ("b", 5, 9, False), ("c", 1, 2, False), ("c", 1, 2, False), ("d", 0, 9, True), ("d", 0, 3, True)], "k string, from long, to long, old boolean")
+    assert sorted(map(tuple, intervals.merged(rows, "k", old="old").collect())) == [("b", 0, 9), ("c", 1, 2)]
+
+
+def test_long_paths_are_written_as_one_table_now_and_then(spark, monkeypatch):
+    monkeypatch.setattr(intervals, "ROUNDS", 2)
+    edges = spark.createDataFrame([(i, (i + 1) % 7, i, 20 - i) for i in range(7)], "src long, dst long, from long, to long")
+    roots = spark.createDataFrame([(0, 0, None, 9)], "root long, node long, from long, to long")
+    assert sorted(map(tuple, intervals.closure(edges, roots).collect())) == [(0, 0, None, 9), *((0, i, i - 1, 9) for i in range(1, 7))]
