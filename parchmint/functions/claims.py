@@ -81,18 +81,20 @@ def name_hits(rows: DataFrame, key: str, text: str, names: DataFrame) -> DataFra
 
     Names in capitals only (acronyms) must stand as they are.
     """
+    folded = names.select("name", "kind", F.filter(F.split("name", r"[^\p{L}\p{N}'’]+"), lambda w: w != "").alias("ws"))
+    folded = folded.select("name", "kind", F.array_join("ws", " ").alias("said"), F.size("ws").alias("n"))
+    longest = min(LONGEST, folded.agg(F.max("n")).first()[0] or 0)  # longer runs meet no name
     # Places of words: pieces between them keep their lengths.
     pieces = F.split(F.coalesce(F.col(text), F.lit("")), r"(?<=[\p{L}\p{N}'’])(?![\p{L}\p{N}'’])|(?<![\p{L}\p{N}'’])(?=[\p{L}\p{N}'’])")
     ends = F.aggregate("w", F.array(F.lit(0)), lambda at, p: F.concat(at, F.array(F.element_at(at, -1) + F.length(p))))
     rows = rows.select(F.col(key).alias("__k"), pieces.alias("w")).withColumn("at", ends)
-    placed = rows.select("__k", F.posexplode(F.arrays_zip("w", "at")).alias("i", "x")).select("__k", "i", "x.w", "x.at").filter(F.col("w").rlike(r"^[\p{L}\p{N}]"))
-    order = Window.partitionBy("__k").orderBy("i")
-    ahead = order.rowsBetween(0, LONGEST - 1)
-    runs = placed.withColumn("run", F.collect_list(F.struct("w", "at")).over(ahead))
-    grams = runs.select("__k", F.col("at").alias("start"), F.posexplode("run").alias("n", "last"), "run")
+    placed = F.filter(F.transform(F.arrays_zip("w", "at"), lambda x: F.struct(x.w.alias("w"), x.at.alias("at"))), lambda x: x.w.rlike(r"^[\p{L}\p{N}]"))
+    runs = rows.select("__k", placed.alias("words")).select("__k", "words", F.posexplode("words").alias("i", "first"))
+    runs = runs.select("__k", F.col("first.at").alias("start"), F.slice("words", F.col("i") + 1, F.lit(max(1, longest))).alias("run"))
+    grams = runs.select("__k", "start", F.posexplode("run").alias("n", "last"), "run")
     said = F.array_join(F.transform(F.slice("run", F.lit(1), F.col("n") + 1), lambda r: r.w), " ")
     grams = grams.select("__k", "start", (F.col("last.at") + F.length("last.w")).alias("stop"), said.alias("said"))
-    folded = names.select("name", "kind", F.array_join(F.filter(F.split("name", r"[^\p{L}\p{N}'’]+"), lambda w: w != ""), " ").alias("said"))
+    folded = folded.drop("n")
     capitals = folded.filter(F.col("name").rlike("^[A-Z0-9]+$"))
     others = folded.filter(~F.col("name").rlike("^[A-Z0-9]+$")).withColumn("said", F.lower("said"))
     hits = grams.join(capitals, "said").unionByName(grams.withColumn("said", F.lower("said")).join(others, "said"))

@@ -5,7 +5,7 @@ import tracemalloc
 
 from pyspark.sql import functions as F
 
-from parchmint.functions import citations
+from parchmint.functions import citations, claims
 from parchmint.functions import text as T
 from parchmint.operators import chains, intervals, spatial, study
 from parchmint.sources import html, markup
@@ -88,3 +88,12 @@ def test_long_paths_are_written_as_one_table_now_and_then(spark, monkeypatch):
     edges = spark.createDataFrame([(i, (i + 1) % 7, i, 20 - i) for i in range(7)], "src long, dst long, from long, to long")
     roots = spark.createDataFrame([(0, 0, None, 9)], "root long, node long, from long, to long")
     assert sorted(map(tuple, intervals.closure(edges, roots).collect())) == [(0, 0, None, 9), *((0, i, i - 1, 9) for i in range(1, 7))]
+
+
+def test_names_meet_runs_of_their_own_lengths_without_a_window(spark):
+    rows = spark.createDataFrame([(1, "one two  three four"), (2, "Four"), (3, None)], "id long, t string")
+    names = spark.createDataFrame([("Two Three", "law_name"), ("four", "issue")], "name string, kind string")
+    hits = claims.name_hits(rows, "id", "t", names)
+    assert sorted(tuple(r)[:4] for r in hits.collect()) == [(1, 4, 14, "Two Three"), (1, 15, 19, "four"), (2, 0, 4, "four")]
+    assert "Window" not in hits._jdf.queryExecution().toString()
+    assert claims.name_hits(rows, "id", "t", names.limit(0)).collect() == []
