@@ -18,19 +18,32 @@ from pyspark.sql.streaming import StatefulProcessor
 
 from parchmint.session import fresh_path, ship, table
 
-STATE = "first_seen timestamp, last_seen timestamp, last_ok boolean, last_digest string, good_at timestamp, digest string"
+STATE = "first_seen timestamp, last_seen timestamp, last_ok boolean, last_digest string, good_at timestamp, digest string, timer long"
 COLUMNS = "source string, first_seen timestamp, last_seen timestamp, digest string, health string, stale boolean"
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def _row(key, s: tuple, stale: bool) -> pd.DataFrame:
-    first, last, ok, _, _, digest = s
+    first, last, ok, _, _, digest = s[:6]
     health = "healthy" if ok else "degraded" if digest is not None else "failed"
     return pd.DataFrame({"source": [key[0]], "first_seen": [first], "last_seen": [last], "digest": [digest], "health": [health], "stale": [stale]})
 
 
+def movers(part: pd.DataFrame, few: int = 64) -> pd.DataFrame:
+    """Of many readings of a source those that can move its state: the first, the last, and the last good ones."""
+    if len(part) <= few:
+        return part
+    at = part["at"]
+    good = at.where(part["ok"].astype(bool))
+    return part[(at == at.min()) | (at == at.max()) | (good == good.max())]
+
+
 class SourceState(StatefulProcessor):
-    """State of one source; ``silence`` (seconds) is how long it may say nothing."""
+    """State of one source; ``silence`` (seconds) is how long it may say nothing.
+
+    Each call to the state's store is a message to the JVM, so a batch reads and writes a source once: a
+    timer stays where it is set and moves on when it fires too early.
+    """
 
     def __init__(self, silence: int):
         self.silence = silence
@@ -40,9 +53,10 @@ class SourceState(StatefulProcessor):
         self.state = handle.getValueState("state", STATE)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        found = self.state.get() if self.state.exists() else None
-        found = None if found is None else tuple(None if x is pd.NaT else x for x in found)
-        for part in rows:
+        found = self._known()
+        timer = found[6] if found else None
+        found = found and found[:6]
+        for part in map(movers, rows):
             for at, ok, digest in zip(part["at"], part["ok"], part["digest"]):
                 at, ok = at.to_pydatetime(), bool(ok)
                 first, last, last_ok, last_digest, good_at, good = found or (at, None, None, None, None, None)
@@ -52,17 +66,35 @@ class SourceState(StatefulProcessor):
                 if ok and (good_at is None or (at, digest) > (good_at, good)):
                     good_at, good = at, digest
                 found = (min(first, at), last, last_ok, last_digest, good_at, good)
-        self.state.update(found)
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        due = int((found[1] - datetime.datetime(1970, 1, 1)).total_seconds() * 1000) + self.silence * 1000
+        due = self._due(found)
         silent = due <= timerValues.getCurrentWatermarkInMs()
-        if not silent:
+        if silent and timer is not None:
+            self.handle.deleteTimer(timer)
+            timer = None
+        elif not silent and timer is None:
             self.handle.registerTimer(due)
+            timer = due
+        self.state.update((*found, timer))
         yield _row(key, found, silent)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield _row(key, tuple(None if x is pd.NaT else x for x in self.state.get()), True)
+        found = self._known()
+        due = self._due(found)
+        silent = due <= timerValues.getCurrentWatermarkInMs()
+        if not silent:
+            self.handle.registerTimer(due)
+        self.state.update((*found[:6], None if silent else due))
+        if silent:
+            yield _row(key, found, True)
+
+    def _known(self) -> tuple | None:
+        """The state, or None before the first reading."""
+        found = self.state.get()
+        return None if found is None else tuple(None if x is pd.NaT else x for x in found)
+
+    def _due(self, found: tuple) -> int:
+        """When the source has been silent for too long, in milliseconds."""
+        return int((found[1] - datetime.datetime(1970, 1, 1)).total_seconds() * 1000) + self.silence * 1000
 
     def close(self) -> None:
         pass

@@ -3,12 +3,14 @@
 import itertools
 import tracemalloc
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from parchmint.functions import citations, claims
 from parchmint.functions import text as T
 from parchmint.operators import chains, intervals, search, spatial, study
 from parchmint.sources import html, markup
+from parchmint.streaming import sources
 
 
 def test_boxes_of_one_place_are_joined_once(spark, monkeypatch):
@@ -105,3 +107,10 @@ def test_phrases_are_found_without_moving_texts(spark):
     found = search.with_phrases(index, [["mit", "license"], ["software", "mit"]])
     assert sorted((r["version"], r["pos"], r["which"]) for r in found.collect()) == [(1, 0, [True, False]), (2, 1, [True, True])]
     assert "Exchange" not in found._jdf.queryExecution().toString()
+
+
+def test_only_readings_that_move_a_state_are_gone_through():
+    at = pd.Timestamp("2024-01-01")
+    rows = pd.DataFrame({"at": [at + pd.Timedelta(seconds=i % 500) for i in range(1000)], "ok": [i % 500 < 300 for i in range(1000)], "digest": [str(i) for i in range(1000)]})
+    assert list(sources.movers(rows)["digest"]) == ["0", "299", "499", "500", "799", "999"]
+    assert len(sources.movers(rows.assign(ok=False))) == 4 and len(sources.movers(rows.head(3))) == 3
