@@ -76,8 +76,13 @@ def stamp(df: DataFrame) -> str:
     return str(tuple(files.agg(F.count("*"), F.expr("bit_xor(xxhash64(*))")).first()))
 
 
+#: Bytes of rows that come to a Python worker at once: Spark counts rows by default, which lets a batch grow with its texts.
+BATCH_BYTES = 4 << 20
+
+
 def ship(spark: SparkSession) -> SparkSession:
-    """Give executors this package, once a Spark context: Python workers need not have it installed."""
+    """Give executors this package, once a Spark context: Python workers need not have it installed. Their batches are bounded by bytes."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     context = spark.sparkContext
     if not getattr(context, "_parchmint_shipped", False):
         home = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))

@@ -4,8 +4,10 @@ import itertools
 import tracemalloc
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from parchmint import session
 from parchmint.functions import citations, claims
 from parchmint.functions import text as T
 from parchmint.operators import chains, intervals, search, spatial, study
@@ -123,6 +125,15 @@ def test_ranges_of_postings_follow_the_number_of_words(spark, monkeypatch):
     assert search.best_passages(index, ["w1"], 9).count() == 3
 
 
+def test_long_texts_come_to_python_in_small_batches(spark):
+    rows = spark.range(0, 150, 1, 1).select("id", F.concat(F.repeat(F.lit("x "), 50_000), F.lit("25 U.S.C. 450")).alias("t"))
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    found = citations.spans(rows, "id", "t")
+    assert found.filter("number = '450' and stop - start = 13").count() == 150
+    sizes = rows.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], ["n", "size"]) for b in batches), "n long, size long").collect()
+    assert sum(r["n"] for r in sizes) == 150 and max(r["size"] for r in sizes) < 2 * session.BATCH_BYTES
+
+
 def test_only_readings_that_move_a_state_are_gone_through():
     at = pd.Timestamp("2024-01-01")
     rows = pd.DataFrame({"at": [at + pd.Timedelta(seconds=i % 500) for i in range(1000)], "ok": [i % 500 < 300 for i in range(1000)], "digest": [str(i) for i in range(1000)]})
