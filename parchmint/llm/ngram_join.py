@@ -29,6 +29,7 @@ from __future__ import annotations
 import heapq
 from bisect import bisect_left
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -261,54 +262,79 @@ def _searched(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
     return rows.mapInArrow(released(run, _WORDS.clear), "a long, b long")
 
 
+def _repeated(nodes: DataFrame) -> DataFrame:
+    """id, node, p, n, e: a row for each rare shingle of a prefix that others hold too (twice its upper half).
+
+    Only these halves are shuffled, to count them; a bitmap of those found twice then picks the
+    rows where the prefixes lie. It may let a few single ones pass, which meet nobody.
+    """
+    tokens = nodes.select(F.explode("rare").alias("token")).groupBy("token").agg(F.count("*").alias("size")).filter("size > 1")
+    marks = Marks(materialize(tokens.select("token"), "tokens"), "token", hashed=True)
+    bitmap, bits = marks.shared, marks.bits
+    schema = pa.schema([("id", pa.int64()), ("node", pa.int64()), ("p", pa.int32()), ("n", pa.int64()), ("e", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column(3)
+            token = lists.flatten().to_numpy().astype(np.int64)
+            sizes = np.diff(lists.offsets.to_numpy())
+            of = np.repeat(np.arange(b.num_rows), sizes)
+            place = np.arange(len(token)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            at = np.flatnonzero(Marks.known(bitmap.value, (token & (bits - 1)) + 1))
+            node, n, e = (pa.array(b.column(i).to_numpy()[of[at]]) for i in range(3))
+            yield pa.RecordBatch.from_arrays([pa.array(token[at] * 2), node, pa.array(place[at].astype(np.int32)), n, e], schema=schema)
+
+    return nodes.select("node", "n", F.col("end").alias("e"), "rare").mapInArrow(released(run), "id long, node long, p int, n long, e long")
+
+
 def solved(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(``indexed`` rows, nodes with key, doc_id and c: a node of their class that all of it shares).
+    """(doc_id, n_shingles, key of all rows; nodes with key, doc_id and c: a node of their class that all of it shares).
 
-    The two large tables are kept on the executors' disks and made again where one is lost; ids
-    of nodes and all links are written to the shared folder.
+    What straight scans make is kept on the executors' disks while it is needed and made again where
+    it is lost; nodes with their prefixes and all links are written to the shared folder.
     """
     made = held(indexed(docs, frequent_shingles(docs)))
-    nodes = made.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("end").alias("end"), F.first("sketch").alias("sketch"))
-    nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    # One row's prefix stands for its node. Rows that repeat an id with the same set are equal.
-    first = made.filter("key is not null").join(nodes.select(F.col("key").alias("k"), F.col("doc_id").alias("d"), "node"), F.col("key").eqNullSafe(F.col("k")) & F.col("doc_id").eqNullSafe(F.col("d")))
-    # Lists of rare shingles are short. Those of frequent ones may hold any share of all nodes, and are
+    # Rows of one key have the same set, and so the same prefix.
+    sets = made.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"), *(F.first(c).alias(c) for c in ("n_shingles", "end", "sketch", "rare", "often")))
+    nodes = materialize(sets.withColumnRenamed("n_shingles", "n").withColumn("node", F.monotonically_increasing_id()), "nodes")
+    rows = materialize(made.select("doc_id", "n_shingles", "key"), "rows")
+    made.unpersist()
+    # id, node, p (its place in the node's order), n (shingles), e (where the node's prefix ends), s (sketch; frequent only).
+    # Lists of rare shingles have even ids. Those of frequent ones may hold any share of all nodes, and are
     # therefore never gathered: they stay rows that share an id.
-    rare = first.select(F.posexplode("rare").alias("p", "token"), "node").groupBy("token").agg(F.collect_set(F.struct("node", "p")).alias("list")).filter(F.size("list") > 1)
-    often = first.select(F.size("rare").alias("p0"), F.posexplode(F.transform("often", lambda t: t.cast("long") * 2 + 1)).alias("p", "id"), "node").select("id", "node", (F.col("p") + F.col("p0")).alias("p")).distinct()
+    rare = _repeated(nodes).withColumn("s", F.lit(None).cast("array<long>"))
+    often = nodes.select(F.size("rare").alias("p0"), F.posexplode(F.transform("often", lambda t: t.cast("long") * 2 + 1)).alias("p", "id"), "node").select("id", "node", (F.col("p") + F.col("p0")).alias("p")).distinct()
     shared = often.groupBy("id").agg(F.count("*").alias("size")).filter("size > 1").select("id")
-    # id, node, p (its place in the node's order), n (shingles), e (where the node's prefix ends), s (sketch; frequent only)
-    facts = nodes.select("node", "n", F.col("end").alias("e"))
-    lists = rare.select((F.col("token").cast("long") * 2).alias("id"), F.inline("list")).join(facts, "node").withColumn("s", F.lit(None).cast("array<long>"))
-    lists = held(lists.unionByName(often.join(shared, "id").join(facts.join(nodes.select("node", F.col("sketch").alias("s")), "node"), "node")))
+    facts = nodes.select("node", "n", F.col("end").alias("e"), F.col("sketch").alias("s"))
+    lists = held(rare.unionByName(often.join(shared, "id").join(facts, "node")))
 
     # Round 1: a few nodes of each list against those that share most of their lists with them. Lists
     # of frequent shingles (odd ids) have HEADS such nodes, the first of each residue, others one.
     firsts = [F.min(F.when(F.pmod(F.xxhash64("node"), F.lit(HEADS)) == j, F.struct("node", "n", "e", "p", "s"))) for j in range(HEADS)]
-    heads = lists.groupBy("id").agg(F.array_compact(F.array(*firsts)).alias("h"))
-    heads = heads.select("id", F.inline(F.when(F.col("id") % 2 != 0, F.col("h")).otherwise(F.array(F.array_min("h")))))
-    stars = materialize(_likely(heads.alias("x").join(lists.alias("y"), (F.col("x.id") == F.col("y.id")) & (F.col("x.node") != F.col("y.node")) & _possible()), 2), "stars1")
+    several = lists.filter("id % 2 != 0").groupBy("id").agg(F.array_compact(F.array(*firsts)).alias("h")).select("id", F.inline("h"))
+    short = lists.filter("id % 2 = 0 and id is not null and node is not null").drop("s").repartition("id")  # dealt once for both sides
+    one = short.groupBy("id").agg(F.min(F.struct("node", "n", "e", "p")).alias("h"), F.count("*").alias("size")).filter("size > 1").select("id", "h.*", F.lit(None).cast("array<long>").alias("s"))
+    star = lambda heads, rows: heads.alias("x").join(rows.alias("y"), (F.col("x.id") == F.col("y.id")) & (F.col("x.node") != F.col("y.node")) & _possible())
+    stars = materialize(_likely(star(several, lists.filter("id % 2 != 0")), star(one, short.withColumn("s", F.lit(None).cast("array<long>"))), weight=2), "stars1")
     links = materialize(_searched(stars, docs, nodes), "links1")
 
     # Round 2: nodes of one list that are not connected yet.
     known = connected_components(links)
-    labelled = lists.join(known, "node", "left").select("id", "n", "node", "e", "p", "s", F.coalesce("component", "node").alias("c"))
-    rest = materialize(_crossing(labelled).join(stars, ["a", "b"], "left_anti"), "pairs2")
+    labelled = materialize(lists.join(known, "node", "left").select("id", "n", "node", "e", "p", "s", F.coalesce("component", "node").alias("c")), "labelled")
     lists.unpersist()
+    rest = materialize(_crossing(labelled).join(stars, ["a", "b"], "left_anti"), "pairs2")
     more = materialize(_searched(rest, docs, nodes), "links2")
     whole = connected_components(links.unionByName(more))
-    return made, materialize(nodes.join(whole, "node", "left").select("key", "doc_id", F.coalesce("component", "node").alias("c")), "classes")
+    return rows, materialize(nodes.join(whole, "node", "left").select("key", "doc_id", F.coalesce("component", "node").alias("c")), "classes")
 
 
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
-    made, nodes = solved(docs)
+    read, nodes = solved(docs)
     roots = nodes.groupBy("c").agg(F.min("doc_id").alias("component_id"))
     label = nodes.join(roots, "c").select("key", "component_id")
-    rows = made.select("doc_id", "n_shingles", "key").join(label, "key", "left").select("doc_id", "n_shingles", F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
-    rows = materialize(rows, "members")
-    made.unpersist()
-    return rows
+    rows = read.join(label, "key", "left").select("doc_id", "n_shingles", F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return materialize(rows, "members")
 
 
 def _mark(key: Column) -> Column:
@@ -323,12 +349,11 @@ def keep_one(docs: DataFrame) -> DataFrame:
     Only rows whose set stands in several rows or in a class of several sets pass through a join; a
     bitmap of these sets tells them from all others, which stay where they are.
     """
-    made, nodes = solved(docs)
+    read, nodes = solved(docs)
     kept = nodes.groupBy("c").agg(F.min(F.struct("doc_id", "key")).alias("k"), F.count("*").alias("sets")).select(F.col("k.doc_id").alias("__d"), F.col("k.key").alias("__k"), "c", "sets")
     several = nodes.join(kept.filter("sets > 1").select("c"), "c", "left_semi").select("key")
-    repeated = made.filter("key is not null").groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
+    repeated = read.filter("key is not null").groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
     suspects = materialize(several.unionByName(repeated).distinct().select(_mark(F.col("key")).alias("mark")), "suspects")
-    made.unpersist()
     marks = Marks(suspects, "mark", hashed=True)
     bitmap, bits = marks.shared, marks.bits
 
@@ -381,7 +406,7 @@ def _possible() -> Column:
     return (NUM * F.greatest("x.n", "y.n") <= DEN * F.least("x.n", "y.n")) & alike & (most >= _up(F.col("x.n") + F.col("y.n"), NUM, NUM + DEN))
 
 
-def _likely(pairs: DataFrame, weight: int = 1) -> DataFrame:
+def _likely(*pairs: DataFrame, weight: int = 1) -> DataFrame:
     """a, b of the pairs x, y (one row for each shared list) whose sizes and numbers of lists let them link.
 
     Shingles up to the end of the prefix that ends first are shared in both prefixes, and so in
@@ -391,7 +416,7 @@ def _likely(pairs: DataFrame, weight: int = 1) -> DataFrame:
     """
     first = F.col("x.node") < F.col("y.node")
     side = lambda c, one: F.when(first == one, F.col(f"x.{c}")).otherwise(F.col(f"y.{c}"))
-    counted = pairs.select(*(side(c, one).alias(f"{c}{int(one)}") for c in ("node", "n", "e") for one in (True, False)))
+    counted = reduce(DataFrame.unionByName, (some.select(*(side(c, one).alias(f"{c}{int(one)}") for c in ("node", "n", "e") for one in (True, False))) for some in pairs))
     counted = counted.groupBy(*counted.columns).agg(F.count("*").alias("lists"))
     need = _up(F.col("n1") + F.col("n0"), NUM, NUM + DEN)
     left = F.when(F.col("e1") < F.col("e0"), F.col("n1")).when(F.col("e1") > F.col("e0"), F.col("n0")).otherwise(F.greatest("n1", "n0"))

@@ -183,3 +183,10 @@ def test_pipeline_stages(spark, tmp_path):
     assert Counter((r["doc_id"], tuple(r["ids"])) for r in ids.collect()) == +want
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == sum(want.values())
+
+
+def test_only_halves_that_others_hold_become_rows(spark):
+    rows = [(0, 9, 70, [5, -7, 11]), (1 << 33, 8, 60, [-7, 12, 5]), (3, 7, 50, []), (4, 6, 40, [-7, 13])]
+    found = ngram_join._repeated(spark.createDataFrame(rows, "node long, n long, end long, rare array<int>")).collect()
+    want = {(10, 0, 0, 9, 70), (-14, 0, 1, 9, 70), (-14, 1 << 33, 0, 8, 60), (10, 1 << 33, 2, 8, 60), (-14, 4, 0, 6, 40)}
+    assert {tuple(r) for r in found} == want and len(found) == len(want)
